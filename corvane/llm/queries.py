@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
+from corvane.llm.simhash_dedup import near_duplicates
 from corvane.llm.token_counts import folded_content, token_counts
 from corvane.session import fresh_path, table
 
@@ -35,9 +37,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
 }
 
 SQL: dict[str, str] = {}

@@ -17,7 +17,9 @@ import struct
 MEMO_ENTRIES = 400_000
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_UNSURE = re.compile(r"<\||[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+#: White space and invisible characters outside the chunk rule, as code point ranges.
+_ODD_SPACE = ((0x0B, 0x0C), (0x1C, 0x1F), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x2064), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+_UNSURE = re.compile(r"<\||[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _ODD_SPACE) + "]")
 _LOADED: dict = {}
 
 
