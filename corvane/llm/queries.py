@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
+from corvane.llm.quality_rules import apply_policy, ledger
+from corvane.llm.secret_scan import secret_scan
 from corvane.llm.simhash_dedup import near_duplicates
 from corvane.llm.token_counts import folded_content, token_counts
 from corvane.session import fresh_path, table
@@ -37,6 +39,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document under the standard policy."""
+    return apply_policy(ledger(table(spark, sf_dir, "documents")))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -50,6 +62,8 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
 }
