@@ -13,6 +13,7 @@ from corvane.llm.packing import pack
 from corvane.llm.quality_rules import apply_policy, ledger
 from corvane.llm.secret_scan import secret_scan
 from corvane.llm.simhash_dedup import near_duplicates
+from corvane.llm.substring_dedup import dedup_substrings
 from corvane.llm.token_counts import folded_content, token_counts
 from corvane.session import fresh_path, table
 
@@ -51,6 +52,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without windows of 50 words that an earlier one holds, as a digest."""
+    kept = dedup_substrings(table(spark, sf_dir, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op10_line_dedup": op10_line_dedup,
