@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.html_extract import extract_main_text
 from corvane.llm.line_dedup import dedup_lines
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
@@ -75,6 +76,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that three or more share, as a digest."""
     cleaned = dedup_lines(table(spark, sf_dir, "documents"), fresh_path(spark, "line-index"))
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
 
