@@ -8,7 +8,7 @@ a new version next to the last, so an insertion or a deletion can be undone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -42,8 +42,8 @@ def _references(min_chars: int):
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def references(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,10 +178,19 @@ class LineIndex:
         lost = self.present().join(common, "key").where(F.col("doc_id") < F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
-    def clean(self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, n_lines, n_dropped, kept_text) of every row of ``docs`` by the present counts."""
-        rows = _rows(docs, id_col, text_col).join(self.dropped_keys(min_docs), "doc_id", "left")
-        return rows.mapInArrow(_drop_lines, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    def clean(
+        self, docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+    ) -> DataFrame:
+        """(doc_id, n_lines, n_dropped, kept_text) of every row of ``docs`` by the present counts.
+
+        ``carry`` adds ``row``, the whole row.
+        """
+        row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+        rows = _rows(docs, id_col, text_col, *row).join(self.dropped_keys(min_docs), "doc_id", "left")
+        schema = "doc_id long, n_lines long, n_dropped long, kept_text string"
+        if carry:
+            schema += f", row {docs.schema.simpleString()}"
+        return rows.mapInArrow(_drop_lines, schema)
 
 
 def _drop_lines(batches):
@@ -198,7 +207,16 @@ def _drop_lines(batches):
             for values, v in zip(out, (len(lines), len(lines) - len(kept), "\n".join(kept))):
                 values.append(v)
         arrays = [b.column("doc_id"), *[pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.string()))]]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+        carried = ["row"] * ("row" in b.schema.names)
+        arrays += [b.column(c) for c in carried]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text", *carried])
+
+
+def _insert_all(docs: DataFrame, index_dir: str, min_chars: int, id_col: str, text_col: str) -> LineIndex:
+    held = docs.where(F.col(id_col).isNotNull())
+    index = LineIndex(docs.sparkSession, index_dir, max(64, held.count() // 10_000), min_chars)
+    index.insert(held, id_col, text_col)
+    return index
 
 
 def dedup_lines(
@@ -215,9 +233,22 @@ def dedup_lines(
     it. Rows that repeat a doc_id count as one document and are all cleaned; rows with a null id keep all their
     lines. An empty table gives an empty result. Other columns are not looked at.
     """
-    spark = docs.sparkSession
-    held = docs.where(F.col(id_col).isNotNull())
-    shards = max(64, held.count() // 10_000)
-    index = LineIndex(spark, index_dir, shards, min_chars)
-    index.insert(held, id_col, text_col)
+    index = _insert_all(docs, index_dir, min_chars, id_col, text_col)
     return index.clean(docs, min_docs, id_col, text_col)
+
+
+def clean_documents(
+    docs: DataFrame,
+    index_dir: str,
+    min_docs: int = MIN_DOCS,
+    min_chars: int = MIN_CHARS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+) -> DataFrame:
+    """``docs`` with cleaned texts (null for null) and their lengths; every row and column stays."""
+    index = _insert_all(docs, index_dir, min_chars, id_col, text_col)
+    cleaned = index.clean(docs, min_docs, id_col, text_col, carry=True)
+    text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("kept_text"))
+    new = {text_col: text, length_col: F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -56,6 +56,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    keyed: bool = False,
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row; ``taken`` counts words, repeats included.
 
@@ -63,8 +64,10 @@ def mix(
     off the random order, so the sum of ``taken`` is the rounded target. Null texts have size 0, null
     sources are a source. Repeated rows count each; ties of key and id go by size, so reruns agree.
     An empty table gives an empty result. Only DataFrame functions are used.
+    ``keyed`` adds ``row_key``, by which mixed_documents finds the row again.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    row_key = [_row_key(id_col, source_col, text_col).alias("row_key")] * keyed
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_key)
     sized = materialise(rows, "sizes")
     targets = materialise(source_targets(sized, weights, max_epochs), "targets")
     shares = max(256, sized.count() // 50_000)
@@ -83,4 +86,36 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("base") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest))
-    return ordered.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return ordered.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *["row_key"] * keyed)
+
+
+def _row_key(*columns: str) -> Column:
+    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (1, 2, 3),
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    length_col: str = "n_chars",
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a document as often as whole epochs take it.
+
+    Of the one document of a source into which its budget's end falls, the words before the cut are taken too, joined
+    by spaces. Documents of which nothing is taken are not in the mix. Rows that repeat id, source and text
+    share what is taken of the most favoured of them.
+    """
+    taken = mix(docs, weights, max_epochs, seed, id_col, source_col, text_col, keyed=True)
+    taken = taken.where("taken > 0").groupBy("row_key").agg(F.max("taken").alias("taken"), F.first("size").alias("size"))
+    joined = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _row_key(id_col, source_col, text_col).alias("row_key"))
+    joined = joined.join(taken.withColumnRenamed("size", "words"), "row_key")
+    whole, rest = F.floor(F.col("taken") / F.col("words")).cast("int"), F.pmod("taken", "words").cast("int")
+    copies = joined.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int"))).alias("nth"))
+    words = F.array_remove(F.split(F.col(f"row.{text_col}"), r"[\x20\x09-\x0D]+"), "")
+    text = F.when(F.col("nth") > F.col("whole"), F.array_join(F.slice(words, 1, F.col("rest")), " ")).otherwise(F.col(f"row.{text_col}"))
+    new = {text_col: text, length_col: F.length(text).cast("long")}
+    return copies.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

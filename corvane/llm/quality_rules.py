@@ -85,15 +85,17 @@ def _covered(hashes: Column, window: int) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(repeated)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements of every row of ``docs``, one row each; other columns are not looked at."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Measurements of every row of ``docs``, one row each, with the whole row in ``row`` if it is to be carried."""
     text = F.col("text")
     # without a default split keeps no empty line at the end; -1 does
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = rows.select("doc_id", "text", words_of(text).alias("words"), lines.alias("lines"))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
+    kept = ["doc_id", *["row"] * carry]
+    parts = rows.select(*kept, "text", words_of(text).alias("words"), lines.alias("lines"))
     hashed = parts.select(
-        "doc_id",
+        *kept,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -105,13 +107,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return hashed.withColumn("n_repeat_words", _covered(F.col("hashes"), WINDOW)).drop("hashes")
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+) -> DataFrame:
     """The rule ledger: measurements and ``failed``, the bits of the rules that each row fails.
 
     Null and empty texts measure 0 everywhere and fail what their measurements fail. Repeated rows are
     measured each. An empty table gives an empty ledger. No shuffle, no Python.
     """
-    measured = measure(docs, id_col, text_col)
+    measured = measure(docs, id_col, text_col, carry)
     bits = [F.when(F.coalesce(F.expr(r.fails), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
     failed = bits[0]
     for b in bits[1:]:
@@ -127,6 +131,15 @@ def apply_policy(rows: DataFrame, policy: Policy = STANDARD, base: Policy = BASE
     )
 
 
+def good_documents(docs: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their columns as they were."""
+    judged = apply_policy(ledger(docs, RULES, id_col, text_col, carry=True), policy)
+    # one row in, one row out: a generator's output is what a filter can't be rewritten over, and without it the
+    # optimizer copies every measurement into the condition
+    verdict = judged.select("row", F.explode(F.array(F.struct("kept"))).alias("verdict"))
+    return verdict.where("verdict.kept").select("row.*")
+
+
 def ablation(rows: DataFrame, policy: Policy = STANDARD, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(rule, n_failed, n_only): for each rule of a policy, rows that fail it, and rows kept without it.
 

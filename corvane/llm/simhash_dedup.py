@@ -98,3 +98,14 @@ def near_duplicates(
     return docs_prints.join(by_print, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def first_of_each_group(
+    docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of near-duplicates; rows that repeat it in id and text are one."""
+    groups = near_duplicates(docs, radius, shingle, id_col, text_col)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["stay_id"]), "left_semi")
+    alike = Window.partitionBy(id_col, F.xxhash64(F.col(text_col))).orderBy(F.lit(1))
+    return kept.select("*", F.row_number().over(alike).alias("__nth")).where("__nth = 1").drop("__nth")
