@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: Words that are streamed at once, padding included.
+STREAM_CELLS = 1 << 19
+
+
 class BitRank:
     """A packed bit vector with the number of ones before any position."""
 
@@ -114,9 +118,14 @@ class FMIndex:
         out = [np.zeros(max(0, m - self.depth + 1), np.int64) for m in lengths.tolist()]
         live = np.flatnonzero(lengths >= self.depth)
         live = live[np.argsort(-lengths[live], kind="stable")]
-        if not len(live):
-            return out
-        width = int(lengths.max())
+        while len(live):  # passages of about one length at a time, so that padding stays small
+            n = max(1, STREAM_CELLS // int(lengths[live[0]]))
+            part, live = live[:n], live[n:]
+            self._stream(part, passages, lengths, out)
+        return out
+
+    def _stream(self, live: np.ndarray, passages: list[np.ndarray], lengths: np.ndarray, out: list[np.ndarray]) -> None:
+        width = int(lengths[live[0]])
         table = np.zeros((len(live), width), np.int64)  # passages from their last word to their first
         for row, p in enumerate(live.tolist()):
             table[row, : lengths[p]] = passages[p][::-1]
@@ -124,8 +133,7 @@ class FMIndex:
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
         for step in range(width):
             m = int(np.searchsorted(-lengths[live], -step, side="left"))  # passages longer than step
-            lo, hi = lo[:m], hi[:m]
-            lo, hi = self._front(table[:m, step], lo, hi)
+            lo, hi = self._front(table[:m, step], lo[:m], hi[:m])
             if step >= self.depth - 1:
                 ok = hi > lo
                 at = np.minimum(lo, self.n - 1)
@@ -133,4 +141,3 @@ class FMIndex:
                 lo, hi = np.where(ok, self.lo[at], 0), np.where(ok, self.hi[at], 0)
         for row, p in enumerate(live.tolist()):
             out[p] = found[row, : len(out[p])][::-1]
-        return out

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 from corvane.session import materialise
 
-#: Passages about which a shard is made, and different passages beyond which an anchor is settled by window.
-SHARD_PASSAGES, WIDE_ANCHOR = 1500, 400
+#: Bytes of passages about which a shard is made.
+SHARD_BYTES = 500_000
+#: Different passages, and bytes of them, beyond which an anchor is settled by window.
+WIDE_ANCHOR, WIDE_BYTES = 400, 1_000_000
+#: Rows that a task holds before it hands them on.
+OUT_ROWS = 20_000
 PASSAGE = "key long, doc_id long, start int, anchor long, digest binary, passage binary"
-FOUND = "anchor long, digest binary, at int, n int, first_doc long"
+SPANS = "array<struct<at:int,n:int,first_doc:bigint>>"
+FOUND = f"anchor long, digest binary, spans {SPANS}"
 
 
 def _digest(words: bytes) -> bytes:
@@ -53,6 +58,12 @@ def _passages(window: int):
 
         from corvane.llm.wordwindows import Words, anchors, runs
 
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        names = ["key", "doc_id", "start", "anchor", "digest", "passage"]
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             columns = [b.column(c).to_pylist() for c in ("key", "doc_id", "text", "anchors")]
@@ -68,8 +79,10 @@ def _passages(window: int):
                     passage = b" ".join(listed[s : e + window - 1])
                     for values, v in zip(out, (key, doc, s, int(own[s]), _digest(passage), passage)):
                         values.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["key", "doc_id", "start", "anchor", "digest", "passage"])
+                if len(out[0]) >= OUT_ROWS:
+                    yield batch(out)
+                    out = [[], [], [], [], [], []]
+            yield batch(out)
 
     return run
 
@@ -85,11 +98,11 @@ def _search_shard(window: int):
         ids: dict[bytes, int] = {}
         coded = [np.array([ids.setdefault(w, len(ids) + 1) for w in bytes(p).split(b" ")], np.int64) for p in pdf["passage"]]
         index = FMIndex(coded, pdf["first_doc"].to_numpy(np.int64), window)
-        rows = []
-        for anchor, digest, first in zip(pdf["anchor"], pdf["digest"], index.matches(coded)):
+        spans = []
+        for first in index.matches(coded):
             starts, ends = runs(first)
-            rows += [(anchor, digest, s, e - s, int(first[s])) for s, e in zip(starts.tolist(), ends.tolist())]
-        return pd.DataFrame(rows, columns=["anchor", "digest", "at", "n", "first_doc"])
+            spans.append([{"at": s, "n": e - s, "first_doc": int(first[s])} for s, e in zip(starts.tolist(), ends.tolist())])
+        return pd.DataFrame({"anchor": pdf["anchor"], "digest": pdf["digest"], "spans": spans})
 
     return run
 
@@ -98,6 +111,12 @@ def _windows(window: int):
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
+        names = ["anchor", "digest", "at", "words", "first_doc"]
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
+
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             columns = [b.column(c).to_pylist() for c in ("anchor", "digest", "passage", "first_doc")]
@@ -106,34 +125,45 @@ def _windows(window: int):
                 for i in range(len(words) - window + 1):
                     for values, v in zip(out, (anchor, digest, i, _digest(b" ".join(words[i : i + window])), first)):
                         values.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["anchor", "digest", "at", "words", "first_doc"])
+                    if len(out[0]) >= OUT_ROWS:
+                        yield batch(out)
+                        out = [[], [], [], [], []]
+            yield batch(out)
 
     return run
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(key, start, n): runs of ``n`` windows from ``start`` that a smaller doc_id holds, of (key, doc_id, text)."""
-    spark = rows.sparkSession
+    """(key, spans): runs of ``n`` windows from ``start`` that a smaller doc_id holds, of (key, doc_id, text)."""
     found = materialise(rows.select("doc_id", "text").mapInArrow(_anchor_rows(window), "anchor long, doc_id long"), "anchors")
     ends = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     shared = found.join(ends.where("lo < hi").select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     passages = materialise(rows.join(shared, "doc_id").mapInArrow(_passages(window), PASSAGE), "passages")
     different = passages.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first_doc"), F.first("passage").alias("passage"))
     different = materialise(different, "different")
-    per_anchor = different.groupBy("anchor").count()
-    wide = per_anchor.where(F.col("count") > WIDE_ANCHOR).select("anchor")
-    many = different.count()
-    # passages that are alone with their anchor hold nothing that another has
-    narrow = different.join(per_anchor.where(F.col("count").between(1, WIDE_ANCHOR)).select("anchor"), "anchor")
-    shards = max(1, many // SHARD_PASSAGES)
+    size = F.octet_length("passage").cast("long")
+    per_anchor = different.groupBy("anchor").agg(F.count("*").alias("ways"), F.sum(size).alias("bytes"))
+    is_wide = (F.col("ways") > 1) & ((F.col("ways") > WIDE_ANCHOR) | (F.col("bytes") > WIDE_BYTES))
+    of_anchor = materialise(per_anchor.select("anchor", "ways", is_wide.alias("wide"), "bytes"), "ways")
+    totals = of_anchor.where("ways > 1 AND NOT wide").agg(F.sum("bytes")).first()[0] or 0
+    shards = max(1, totals // SHARD_BYTES)
+    passage = different.join(of_anchor.drop("bytes"), "anchor")
+    # a passage that is the only one of its anchor: every copy of it begins with the first document's
+    n = (F.size(F.split(F.col("passage").cast("string"), " ")) - (window - 1)).alias("n")
+    alone = passage.where("ways = 1").select("anchor", "digest", F.array(F.struct(F.lit(0).alias("at"), n, "first_doc")).alias("spans"))
+    narrow = passage.where("ways > 1 AND NOT wide").select("anchor", "digest", "first_doc", "passage")
     searched = narrow.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search_shard(window), FOUND)
-    each = materialise(different.join(wide, "anchor").mapInArrow(_windows(window), "anchor long, digest binary, at int, words binary, first_doc long"), "wide")
+    wide = passage.where("wide").select("anchor", "digest", "first_doc", "passage")
+    each = materialise(wide.mapInArrow(_windows(window), "anchor long, digest binary, at int, words binary, first_doc long"), "wide")
     least = each.groupBy("words").agg(F.min("first_doc").alias("first_doc"))
-    settled = each.drop("first_doc").join(least, "words").select("anchor", "digest", "at", F.lit(1).alias("n"), "first_doc")
-    verdicts = searched.unionByName(settled)
+    settled = each.drop("first_doc").join(least, "words").groupBy("anchor", "digest").agg(
+        F.collect_list(F.struct("at", F.lit(1).alias("n"), "first_doc")).alias("spans")
+    )
+    verdicts = alone.unionByName(searched).unionByName(settled)
     placed = passages.select("key", "doc_id", "start", "anchor", "digest").join(verdicts, ["anchor", "digest"])
-    return placed.where(F.col("first_doc") < F.col("doc_id")).select("key", (F.col("start") + F.col("at")).alias("start"), "n")
+    lost = F.filter("spans", lambda x: x["first_doc"] < F.col("doc_id"))
+    spans = F.transform(lost, lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["n"].alias("n")))
+    return placed.where(F.size(lost) > 0).select("key", spans.alias("spans"))
 
 
 def _without(window: int):
@@ -172,6 +202,6 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows, window).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    spans = repeated_spans(rows, window).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
     return rows.join(spans, "key", "left").mapInArrow(_without(window), out)
