@@ -56,9 +56,9 @@ def truncate_chars(text: Column, n: int) -> Column:
 
 def truncate_bytes(text: Column, n: int) -> Column:
     """At most ``n`` bytes of UTF-8, cut on a character's bound."""
-    cut = F.substring(F.encode(text, "UTF-8"), 1, n)
-    # a character that the cut breaks decodes to replacement characters, which are taken off again
-    whole = F.regexp_replace(F.decode(cut, "UTF-8"), "�+$", "")
+    cut = F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")
+    # the bytes of a character that the cut breaks become replacement characters, which are taken off again
+    whole = F.regexp_replace(F.make_valid_utf8(cut), "\\x{FFFD}+$", "")
     return F.when(F.octet_length(text) <= n, text).otherwise(whole)
 
 

@@ -6,6 +6,7 @@ import re
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.text import TRACKING_PARAMS, TRACKING_PREFIXES
@@ -47,6 +48,10 @@ def canonical(raw: str | None) -> str | None:
     return f"{url.scheme}://{host}{path}{query}"
 
 
-@F.pandas_udf("string")
-def canonical_url(urls: pd.Series) -> pd.Series:
+def _canonical_batch(urls: pd.Series) -> pd.Series:
     return urls.map(canonical)
+
+
+def canonical_url(url: Column | str) -> Column:
+    """``canonical`` over Arrow batches."""
+    return F.pandas_udf(_canonical_batch, "string")(url)

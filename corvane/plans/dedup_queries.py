@@ -89,17 +89,17 @@ def dedup_all_stages(spark, d):
 
 
 _ROOTS = f"""{_STAGED.replace('WITH', 'WITH RECURSIVE', 1)},
-    up AS (SELECT doc_id, coalesce(parent, doc_id) AS at, parent IS NULL AS done FROM staged
-        UNION ALL SELECT u.doc_id, coalesce(s.parent, s.doc_id), s.parent IS NULL FROM up u JOIN staged s ON s.doc_id = u.at WHERE NOT u.done)"""
+    up AS (SELECT doc_id, coalesce(parent, doc_id) AS root, parent IS NULL AS done FROM staged
+        UNION ALL SELECT u.doc_id, coalesce(s.parent, s.doc_id), s.parent IS NULL FROM up u JOIN staged s ON s.doc_id = u.root WHERE NOT u.done)"""
 
 
-@query(f"{_ROOTS} SELECT doc_id, at AS root FROM up WHERE done")
+@query(f"{_ROOTS} SELECT doc_id, root FROM up WHERE done")
 def forest_roots(spark, d):
     docs, stages = _stages(spark, d)
     return dedup.forest_roots(dedup.staged_parents(docs, stages))
 
 
-@query(f"{_ROOTS} SELECT u.at AS canonical, doc_id, stage FROM up u JOIN staged USING (doc_id) WHERE done AND parent IS NOT NULL")
+@query(f"{_ROOTS} SELECT u.root AS canonical, doc_id, stage FROM up u JOIN staged USING (doc_id) WHERE done AND parent IS NOT NULL")
 def duplicate_groups(spark, d):
     docs, stages = _stages(spark, d)
     staged = materialise(dedup.staged_parents(docs, stages), "staged")
