@@ -100,7 +100,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 SQL: dict[str, str] = {
+    "op4_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i : i + 4], ' ') AS w FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 3)) AS i)),
+        twice AS (SELECT doc_id, w FROM windows GROUP BY ALL HAVING count(*) > 1),
+        covered AS (SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN twice USING (doc_id, w), range(5) r(k)),
+        repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+        m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+            length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+            length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS n_upper,
+            list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {_STRIP})) > 0) AS ls FROM d),
+        n AS (SELECT doc_id, n_words, word_chars, n_symbols, n_upper, CAST(len(ls) AS BIGINT) AS n_word_lines,
+            CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM m LEFT JOIN repeats USING (doc_id)),
+        f AS (SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+            + 8 * (2 * n_dup_lines > n_word_lines)::INT + 16 * (2 * n_upper > word_chars)::INT
+            + 32 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS BIGINT) AS failed FROM n)
+        SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f""",
+    "op6_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+        windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS w FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
+        first AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w),
+        lost AS (SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN first USING (w), range(50) r(k) WHERE first_doc < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS text FROM words ANTI JOIN lost USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op10_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+        keyed AS (SELECT *, translate(trim(line, {_STRIP}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        common AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last_doc > doc_id) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (last_doc IS NULL OR last_doc = doc_id), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id""",
     "op2_topk_search": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
