@@ -132,3 +132,45 @@ def identifiers(items: DataFrame) -> DataFrame:
     )
     value = F.when(F.col("entity_type") == "account", F.substring_index("entity_key", ":", -1)).otherwise(F.col("entity_key"))
     return items.select(namespace.alias("namespace"), value.alias("value"), "entity_key").where("namespace IS NOT NULL").distinct()
+
+
+def extract_people(docs: DataFrame) -> DataFrame:
+    """The author field (column author): the name in brackets after an address, or else the field itself."""
+    from corvane.functions.text import collapse_space, person_key
+
+    shown = F.regexp_extract("author", r"\(([^()]+)\)\s*$", 1)
+    name = collapse_space(F.when(shown != "", shown).otherwise(F.col("author")))
+    rows = docs.where("author IS NOT NULL").select("doc_id", name.alias("hit")).where("hit <> '' AND NOT contains(hit, '@')")
+    return rows.select("doc_id", F.lit("person").alias("entity_type"), person_key(F.col("hit")).alias("entity_key"), F.lit(0.6).alias("confidence"))
+
+
+def extract_organizations(docs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Each of some attribute fields that says something."""
+    from corvane.functions.text import person_key
+
+    each = F.explode(F.array_distinct(F.array(*[person_key(F.col(f)) for f in fields]))).alias("entity_key")
+    rows = docs.select("doc_id", each).where("entity_key IS NOT NULL AND entity_key <> ''")
+    return rows.select("doc_id", F.lit("organization").alias("entity_type"), "entity_key", F.lit(0.6).alias("confidence"))
+
+
+def derived_edges(items: DataFrame) -> DataFrame:
+    """A domain belongs to the url, or is associated with the address, that it comes from; one edge a pair."""
+    ends = items.where(F.col("entity_type").isin("url", "email"))
+    host = F.when(F.col("entity_type") == "email", F.substring_index("entity_key", "@", -1)).otherwise(F.regexp_extract("entity_key", r"^[a-z]+://([^/:?#]+)", 1))
+    kind = F.when(F.col("entity_type") == "email", "associated_with").otherwise("belongs_to")
+    return ends.select(host.alias("domain"), kind.alias("relationship_type"), "entity_type", "entity_key").distinct()
+
+
+def public_suffix(host, suffixes: tuple[str, ...]):
+    """The longest of ``suffixes`` that a host ends in; null if none does."""
+    best = F.lit(None).cast("string")
+    for s in sorted(suffixes, key=len):
+        best = F.when((host == s) | F.endswith(host, F.lit(f".{s}")), F.lit(s)).otherwise(best)
+    return best
+
+
+def registrable_domain(host, suffixes: tuple[str, ...]):
+    """The suffix and one label more."""
+    suffix = public_suffix(host, suffixes)
+    rest = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
+    return F.when(suffix.isNotNull() & (rest != "") & (host != suffix), F.concat_ws(".", F.substring_index(rest, ".", -1), suffix))

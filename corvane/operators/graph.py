@@ -144,3 +144,22 @@ def neighbour_jaccard(edges: DataFrame, least: float = 0.5) -> DataFrame:
     sized = apart.join(degree, "a").join(degree.select(F.col("a").alias("c"), F.col("n").alias("m")), "c")
     score = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
     return sized.select("a", "c", score.alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def export_walk(edges: DataFrame, starts: DataFrame, depth: int, merged: DataFrame, per_node: int = 100, most: int = 10_000) -> DataFrame:
+    """(node, hop): entities to export: breadth first over at most ``per_node`` edges a node, merged ones left out."""
+    from pyspark.sql import Window
+
+    gone = merged.select(F.col("entity").alias("node"))
+    ways = both_ways(edges).join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+    nth = F.row_number().over(Window.partitionBy("a").orderBy("edge_id"))
+    ways = materialise(ways.withColumn("nth", nth).where(F.col("nth") <= per_node).select("a", "b"), "ways")
+    seen = materialise(starts.select("node").distinct().join(gone, "node", "left_anti").withColumn("hop", F.lit(0)), "export")
+    frontier = seen
+    for hop in range(1, depth + 1):
+        reached = frontier.join(ways, frontier["node"] == ways["a"]).select(F.col("b").alias("node")).distinct()
+        frontier = materialise(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "export")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.orderBy("hop", "node").limit(most)

@@ -78,3 +78,50 @@ def repoint(rows: DataFrame, merged: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` names a merged entity name its survivor."""
     into = merged.select(F.col("entity").alias(column), F.col("survivor").alias("to"))
     return rows.join(into, column, "left").withColumn(column, F.coalesce("to", column)).drop("to").select(rows.columns)
+
+
+IDENTITY_TYPES = ("person", "organization", "threat_actor")
+
+
+def by_semantics(vectors: DataFrame, least: float = 0.85, others: int = 100) -> DataFrame:
+    """Pairs (entity, entity_type, embedding) of a type by cosine, each against the first ``others`` of its type by id.
+
+    The first of a type are few rows a type, whatever a type's size. Types that tell identities are left out.
+    """
+    from pyspark.sql import Window
+
+    from corvane.functions.text import cosine
+
+    rows = vectors.where(~F.col("entity_type").isin(*IDENTITY_TYPES)).select("entity", "entity_type", "embedding")
+    nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= others + 1).drop("nth")
+    second = first.select("entity_type", F.col("entity").alias("other"), F.col("embedding").alias("v"))
+    met = rows.join(second, "entity_type").where(F.col("entity") != F.col("other"))
+    close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), cosine(F.col("embedding"), F.col("v")).alias("cos"))
+    kept = close.where(F.col("cos") >= least).groupBy("a", "b").agg(F.max("cos").alias("cos"))
+    return kept.select("a", "b", F.lit("semantic").alias("method"), F.round(0.8 * F.col("cos"), 6).alias("score"))
+
+
+def by_graph_context(neighbour_pairs: DataFrame) -> DataFrame:
+    """Pairs (a, c, jaccard) of entities two hops apart that share neighbours."""
+    return neighbour_pairs.select("a", F.col("c").alias("b"), F.lit("graph_context").alias("method"), F.round(0.7 * F.col("jaccard"), 6).alias("score"))
+
+
+def refuse_large_merges(references: DataFrame, most: int = 100) -> DataFrame:
+    """(entity, refused): entities with a list of references (entity, kind) too long to be merged safely."""
+    sizes = references.groupBy("entity", "kind").agg(F.count("*").alias("n"))
+    return sizes.groupBy("entity").agg((F.max("n") >= most).alias("refused"))
+
+
+def merge_snapshot(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """Edges that a merge touches, as they were; what an undo puts back."""
+    touched = merged.select(F.col("entity").alias("e")).union(merged.select(F.col("survivor").alias("e"))).distinct()
+    by_src = edges.join(touched, edges["src"] == touched["e"], "left_semi")
+    return by_src.unionByName(edges.join(touched, edges["dst"] == touched["e"], "left_semi")).distinct()
+
+
+def undo_merge(now: DataFrame, snapshot: DataFrame, merged: DataFrame) -> DataFrame:
+    """Edges after a merge is taken back: those of the survivor go, the snapshot's come back."""
+    gone = merged.select(F.col("survivor").alias("e")).distinct()
+    rest = now.join(gone, now["src"] == gone["e"], "left_anti").join(gone, now["dst"] == gone["e"], "left_anti")
+    return rest.unionByName(snapshot.select(rest.columns))
