@@ -29,7 +29,7 @@ _EXACT = f"hashes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256('||'
 
 
 def _stages(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     empty = F.lit(None).cast("string")
     exact = dedup.parent_by_key(docs, T.content_hash(empty, empty, F.col("text")))
     near = dedup.simhash_candidates(materialise(dedup.simhash_fingerprints(docs), "prints"))
@@ -43,7 +43,7 @@ def dedup_exact_canonical(spark, d):
 
 def _stages_exact(spark, d):
     empty = F.lit(None).cast("string")
-    return dedup.parent_by_key(table(spark, d, "documents"), T.content_hash(empty, empty, F.col("text")))
+    return dedup.parent_by_key(table(spark, d, "documents", spread=True), T.content_hash(empty, empty, F.col("text")))
 
 
 @query("""
@@ -54,7 +54,7 @@ def _stages_exact(spark, d):
 def dedup_canonical_url(spark, d):
     from corvane.functions.urls import canonical_url
 
-    pages = table(spark, d, "pages").where(~T.is_import_url(F.col("url")))
+    pages = table(spark, d, "pages", spread=True).where(~T.is_import_url(F.col("url")))
     return dedup.parent_by_key(pages, canonical_url("url"), "page_id")
 
 
@@ -69,7 +69,7 @@ def dedup_external_key(spark, d):
 
 @query(f"WITH {_PRINTS} SELECT doc_id, print FROM prints")
 def simhash_fingerprints(spark, d):
-    return dedup.simhash_fingerprints(table(spark, d, "documents"))
+    return dedup.simhash_fingerprints(table(spark, d, "documents", spread=True))
 
 
 @query(f"WITH {_NEAR} SELECT doc_id, parent, distance FROM simhash")

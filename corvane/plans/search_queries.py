@@ -26,12 +26,12 @@ def _probe(spark, d):
 
 @query(f"WITH {_BM25} SELECT rank, doc_id, score FROM bm WHERE rank <= 20")
 def bm25_topk(spark, d):
-    return search.bm25(table(spark, d, "documents"), ["blend", "the"], 20)
+    return search.bm25(table(spark, d, "documents", spread=True), ["blend", "the"], 20)
 
 
 @query(f"WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents) SELECT doc_id FROM t WHERE (list_contains(terms, 'blend') OR list_contains(terms, 'ouou')) AND list_contains(terms, 'the') AND NOT list_contains(terms, 'of')")
 def keyword_search(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", search.terms_of(F.col("text")).alias("terms"))
+    rows = table(spark, d, "documents", spread=True).select("doc_id", search.terms_of(F.col("text")).alias("terms"))
     return rows.where(search.query_condition("(blend OR ouou) the AND NOT of", F.col("terms"))).select("doc_id")
 
 
@@ -57,7 +57,7 @@ def rrf_hybrid(spark, d):
     from pyspark.sql import Window
 
     n = search.pool_size(20)
-    left = search.bm25(table(spark, d, "documents"), ["blend", "the"], n).select(F.col("doc_id").alias("id"), "rank")
+    left = search.bm25(table(spark, d, "documents", spread=True), ["blend", "the"], n).select(F.col("doc_id").alias("id"), "rank")
     nearest = search.nearest(table(spark, d, "embeddings"), _probe(spark, d), n)
     right = nearest.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"))
     return search.fuse_ranks(left, right, 20)
@@ -65,12 +65,12 @@ def rrf_hybrid(spark, d):
 
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id < 150 ORDER BY doc_id DESC LIMIT 20")
 def keyset_page(spark, d):
-    return search.keyset_page(table(spark, d, "documents"), 150, 20).select("doc_id", "lang", "source")
+    return search.keyset_page(table(spark, d, "documents", spread=True), 150, 20).select("doc_id", "lang", "source")
 
 
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm WHERE score < 4.0 OR (score = 4.0 AND doc_id > 10) ORDER BY score DESC, doc_id LIMIT 10")
 def search_after_page(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     rows = search.bm25(docs, ["blend", "the"], 10_000_000).select(F.col("doc_id").alias("id"), "score")
     return search.search_after(rows, (4.0, 10), 10).select(F.col("id").alias("doc_id"), "score")
 

@@ -16,14 +16,14 @@ FLAT = "trim(" + _SPACE.format("text") + ")"
 
 @query(f"SELECT doc_id, {FLAT} AS flat FROM documents")
 def ws_normalize(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.collapse_space(F.col("text")).alias("flat"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.collapse_space(F.col("text")).alias("flat"))
 
 
 @query(f"""
     SELECT sha256('||' || {FLAT}) AS content_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents
     GROUP BY 1 HAVING count(*) > 1""")
 def content_hash_groups(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", T.content_hash(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text")).alias("content_hash"))
+    rows = table(spark, d, "documents", spread=True).select("doc_id", T.content_hash(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text")).alias("content_hash"))
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
 
 
@@ -39,7 +39,7 @@ _TRACKS = (
     SELECT page_id, name, ({_TRACKS}) AS tracks FROM p""")
 def tracking_params(spark, d):
     pairs = F.explode(F.split(F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2)), "&")).alias("pair")
-    rows = table(spark, d, "pages").select("page_id", pairs).where("pair <> ''")
+    rows = table(spark, d, "pages", spread=True).select("page_id", pairs).where("pair <> ''")
     name = F.split_part("pair", F.lit("="), F.lit(1))
     return rows.select("page_id", name.alias("name"), T.is_tracking_param(name).alias("tracks"))
 
@@ -52,7 +52,7 @@ def tracking_params(spark, d):
 def url_canonical_pages(spark, d):
     from corvane.functions.urls import canonical_url
 
-    return table(spark, d, "pages").select("page_id", canonical_url("url").alias("canonical"))
+    return table(spark, d, "pages", spread=True).select("page_id", canonical_url("url").alias("canonical"))
 
 
 @query("""
@@ -62,7 +62,7 @@ def url_canonical_pages(spark, d):
         CASE WHEN starts_with(ltrim(lower(substr(html, 1, 512))), '<!doctype html') THEN 'html' ELSE 'unknown' END AS by_body
     FROM pages""")
 def classify_content(spark, d):
-    return table(spark, d, "pages").select(
+    return table(spark, d, "pages", spread=True).select(
         "page_id", imports.classify_content(F.lit(None).cast("string"), F.col("url")).alias("by_path"), imports.sniff_body(F.col("html")).alias("by_body")
     )
 
@@ -71,30 +71,30 @@ def classify_content(spark, d):
     SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&#x27;', '''')) AS title
     FROM pages""")
 def page_titles(spark, d):
-    return web.read_pages(table(spark, d, "pages")).select("page_id", "title")
+    return web.read_pages(table(spark, d, "pages", spread=True)).select("page_id", "title")
 
 
 @query()
 def page_visible_text(spark, d):
-    return web.read_pages(table(spark, d, "pages"))
+    return web.read_pages(table(spark, d, "pages", spread=True))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS snippet FROM documents")
 def search_snippets(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.snippet(F.lit(None).cast("string"), F.col("text")).alias("snippet"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.snippet(F.lit(None).cast("string"), F.col("text")).alias("snippet"))
 
 
 @query("""
     SELECT doc_id, CASE WHEN lower(split_part(replace(lang, '_', '-'), '-', 1)) = 'en' THEN 'english' ELSE 'multilingual' END AS model,
         sha256(CASE WHEN lower(lang) = 'en' THEN text ELSE 'passage: ' || text END) AS input_hash FROM documents""")
 def embedding_routing(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     return docs.select("doc_id", T.embedding_model(F.col("lang")).alias("model"), F.sha2(T.embedding_input(F.col("lang"), F.col("text"), "passage"), 256).alias("input_hash"))
 
 
 @query("SELECT doc_id, regexp_replace(replace(text, 'Bearer ', 'Bearer [已省略] '), 'sk-[^\\s\"'',)\\]]*', 'sk-[已省略]', 'g') AS redacted FROM documents")
 def credential_redaction(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.redact_credentials(F.col("text")).alias("redacted"))
+    return table(spark, d, "documents", spread=True).select("doc_id", T.redact_credentials(F.col("text")).alias("redacted"))
 
 
 _UUID_HEX = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))"
@@ -106,7 +106,7 @@ _UUID_HEX = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url))"
         || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid
     FROM (SELECT page_id, {_UUID_HEX} AS h FROM pages)""")
 def name_based_ids(spark, d):
-    return table(spark, d, "pages").select("page_id", T.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("url")).alias("uuid"))
+    return table(spark, d, "pages", spread=True).select("page_id", T.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.col("url")).alias("uuid"))
 
 
 # extraction
@@ -118,7 +118,7 @@ _HITS = "SELECT doc_id, unnest(regexp_extract_all(text, '{}')) AS hit FROM docum
     SELECT doc_id, lower(hit) AS entity_key, count(*) AS n
     FROM ({_HITS.format(r'(?i)\b[a-z0-9._%+\-]+@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)+\b')}) GROUP BY ALL""")
 def extract_email(spark, d):
-    return extract.extract_emails(table(spark, d, "documents")).groupBy("doc_id", "entity_key").agg(F.count("*").alias("n"))
+    return extract.extract_emails(table(spark, d, "documents", spread=True)).groupBy("doc_id", "entity_key").agg(F.count("*").alias("n"))
 
 
 _IPV4_ITEMS = f"""
@@ -128,7 +128,7 @@ _IPV4_ITEMS = f"""
 
 @query(f"SELECT doc_id, hit AS entity_key, count(*) AS n FROM ({_IPV4_ITEMS}) GROUP BY ALL")
 def extract_ipv4(spark, d):
-    return extract.extract_ipv4(table(spark, d, "documents")).groupBy("doc_id", "entity_key").agg(F.count("*").alias("n"))
+    return extract.extract_ipv4(table(spark, d, "documents", spread=True)).groupBy("doc_id", "entity_key").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -141,7 +141,7 @@ def extract_ipv4(spark, d):
         ELSE 'public' END AS class
     FROM n""")
 def ip_classes(spark, d):
-    ips = extract.extract_ipv4(table(spark, d, "documents")).select(F.col("entity_key").alias("ip")).distinct()
+    ips = extract.extract_ipv4(table(spark, d, "documents", spread=True)).select(F.col("entity_key").alias("ip")).distinct()
     return ips.select("ip", T.ipv4_number(F.col("ip")).alias("number"), T.ipv4_class(F.col("ip")).alias("class"))
 
 
@@ -149,7 +149,7 @@ def ip_classes(spark, d):
     SELECT doc_id, lower(hit) AS entity_key, CASE WHEN length(hit) = 40 THEN 0.7::DOUBLE ELSE 0.9::DOUBLE END AS confidence, count(*) AS n
     FROM ({_HITS.format(r'(?i)\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b')}) GROUP BY ALL""")
 def extract_hash(spark, d):
-    return extract.extract_hashes(table(spark, d, "documents")).groupBy("doc_id", "entity_key", "confidence").agg(F.count("*").alias("n"))
+    return extract.extract_hashes(table(spark, d, "documents", spread=True)).groupBy("doc_id", "entity_key", "confidence").agg(F.count("*").alias("n"))
 
 
 _EMAIL_RE = r"(?i)\b[a-z0-9._%+\-]+@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)+\b"
@@ -165,31 +165,31 @@ _ITEMS = f"""(
     SELECT entity_type, entity_key, max(confidence) AS confidence, min(doc_id) AS first_doc, max(doc_id) AS last_doc,
         count(DISTINCT doc_id) AS n_docs FROM {_ITEMS} GROUP BY ALL""")
 def entity_upsert(spark, d):
-    return extract.entities(extract.extract_all(table(spark, d, "documents")))
+    return extract.entities(extract.extract_all(table(spark, d, "documents", spread=True)))
 
 
 @query(f"""
     SELECT doc_id, 'mentions' AS relationship_type, entity_type, entity_key, least(count(*), 100) AS evidence_count, max(confidence) AS confidence
     FROM {_ITEMS} GROUP BY ALL""")
 def relationship_upsert(spark, d):
-    return extract.relationships(extract.extract_all(table(spark, d, "documents"))).drop("first_at", "last_at")
+    return extract.relationships(extract.extract_all(table(spark, d, "documents", spread=True))).drop("first_at", "last_at")
 
 
 @query(f"SELECT DISTINCT entity_type AS namespace, entity_key AS value, entity_key FROM {_ITEMS} WHERE entity_type <> 'hash'")
 def identifier_rows(spark, d):
-    return extract.identifiers(extract.extract_all(table(spark, d, "documents")))
+    return extract.identifiers(extract.extract_all(table(spark, d, "documents", spread=True)))
 
 
 @query()
 def extract_excerpts(spark, d):
-    return extract.extract_all(table(spark, d, "documents"))
+    return extract.extract_all(table(spark, d, "documents", spread=True))
 
 
 # chunking
 
 
 def _chunks(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), "text", F.when(F.col("doc_id") % 3 == 0, "imported").when(F.col("doc_id") % 3 == 1, "article").otherwise("message").alias("object_type"))
+    docs = table(spark, d, "documents", spread=True).select("doc_id", F.lit("").alias("title"), "text", F.when(F.col("doc_id") % 3 == 0, "imported").when(F.col("doc_id") % 3 == 1, "article").otherwise("message").alias("object_type"))
     return chunk.chunk_documents(docs)
 
 

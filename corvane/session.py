@@ -36,6 +36,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Bytes of input a core below which a table's own splits can't be trusted to occupy the cores.
+SPREAD_BYTES = 32 * 1024 * 1024
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the input tables.
+
+    ``spread`` deals rows out evenly where the files are so small that one row group may be all there is, for queries that
+    spend much on each row. By the plan's size estimate large tables are read as they lie.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if spread else None
+    return rows.repartition(cores) if spread and size < cores * SPREAD_BYTES else rows
