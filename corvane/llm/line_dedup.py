@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 MIN_CHARS, MIN_DOCS = 20, 3
 LOG = "key binary, doc_id long, sign int"
 FILTERS = "shard int, filter binary"
+PROBED = "shard int, key binary, maybe boolean, filter binary"
 
 
 def line_key(line: str) -> str:
@@ -135,12 +136,12 @@ class LineIndex:
         batch = self._read([f"{to}/refs"], "key binary, doc_id long")
         keys = batch.select("key").distinct().withColumn("shard", self._shard())
         probed = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(
-            _probe_and_add, "shard int, key binary, maybe boolean, filter binary"
+            _probe_and_add, PROBED
         )
         probed.write.parquet(f"{to}/probed")
-        probed = self.spark.read.schema("shard int, key binary, maybe boolean, filter binary").parquet(f"{to}/probed")
-        filters = probed.where("filter IS NOT NULL").select("shard", "filter")
-        maybe = probed.where("maybe").select("shard", "key")
+        # two readings, so that the columns of one are not those of the other where they meet below
+        filters = self._read([f"{to}/probed"], PROBED).where("filter IS NOT NULL").select("shard", "filter")
+        maybe = self._read([f"{to}/probed"], PROBED).where("maybe").select("shard", "key")
         new = batch.distinct()
         if self.version and not maybe.isEmpty():
             old = self.present().join(maybe.select("key"), "key", "left_semi")
