@@ -96,10 +96,11 @@ def _best_range(hit: Column, cls: CharClass) -> Column:
             i = acc["i"]
             leaving = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
             has_in = F.element_at(acc["counts"], entering)
-            has_out = F.when(leaving > 0, F.element_at(acc["counts"], F.greatest(leaving, F.lit(1))))
+            # element_at counts as never null, so nothing here may rest on a null index
+            has_out = F.greatest(F.element_at(acc["counts"], F.greatest(leaving, F.lit(1))), F.lit(1))
             same = leaving == entering
             change = F.when(same, F.lit(0.0)).otherwise(
-                _xlog(has_in + 1) - _xlog(has_in) + F.coalesce(_xlog(has_out - 1) - _xlog(has_out), F.lit(0.0))
+                _xlog(has_in + 1) - _xlog(has_in) + F.when(leaving > 0, _xlog(has_out - 1) - _xlog(has_out)).otherwise(F.lit(0.0))
             )
             total = acc["total"] + change
             counts = F.transform(

@@ -243,7 +243,8 @@ def test_entropy_by_increments(spark):
             n = Counter(hit[i : i + secret_scan.WINDOW])
             h = -sum(c / secret_scan.WINDOW * np.log2(c / secret_scan.WINDOW) for c in n.values())
             best += [i] if h >= cls.least_bits - 1e-9 else []
-        assert got[hit] == ("" if allowed or not best else f"entropy:{best[0]}:{best[-1] + secret_scan.WINDOW}"), hit
+        found = ",".join(x for x in got[hit].split(",") if x.startswith("entropy"))  # the second is a base match too
+        assert found == ("" if allowed or not best else f"entropy:{best[0]}:{best[-1] + secret_scan.WINDOW}"), hit
 
 
 # 6
