@@ -1,9 +1,10 @@
 """Operator 9, HTML extraction, by equivalence-class template deduction.
 
-Tokens of a page are its tags and outer texts, each with its path. Tokens of one host that occur equally often on
+Tokens of a page are its tags and texts, each with its path. Tokens of one host that occur equally often on
 every page have one occurrence vector and form an equivalence class. Classes that enough pages have are valid;
 each is nested in the class of its parent element, and together they are the host's template. What a page has
-between the template's tokens are its slots; the article's slots are the text.
+between the template's tokens are its slots; the article's slots are the text. Which slots are the article's is told by
+element, role and whole class and id names.
 """
 
 from __future__ import annotations
@@ -12,25 +13,27 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.session import materialise
 
 #: A class is valid on a host if at least this share of its pages, and as many pages, have it.
 LEAST_SHARE, LEAST_PAGES = 0.5, 3
-#: Texts that at least this share of a host's pages repeat belong to the template.
+#: Classes of nothing but texts need this share.
 TEXT_SHARE = 0.8
+#: Where the template would take more than this share of an article's characters, the host's pages are copies of each other.
+COPY_SHARE = 0.5
 #: Template rows up to which templates are broadcast; beyond it pages meet them in a shuffle on the host.
 BROADCAST_ROWS = 20_000
 
 _LEX = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
-_NAME = re.compile(r"[A-Za-z]+")
+_NUMBERED = re.compile(r"[-_]?\d+$")
 _RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg")}
 
-# Element names and words of class, id and role, after the HTML standard and common usage.
+# Element names, and whole names of class, id and role, after the HTML standard and common usage.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -40,12 +43,15 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption legend".split())
 CLOSES_OWN = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CONTAINERS = frozenset("body div section main article td fieldset dd center blockquote".split())
-SKIPPED = frozenset("head script style noscript template svg iframe title textarea nav footer aside form button select dialog menu search object audio video canvas".split())
+SKIPPED = frozenset("head script style noscript template svg iframe title textarea nav footer aside button select dialog menu search object audio video canvas".split())
 MAIN = frozenset(("article", "main"))
-ASIDE_WORDS = frozenset(
+ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert comment comments disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer share sharing social "
-    "related newsletter subscribe subscription popup modal paywall masthead topbar toolbar pagination pager login signup search".split()
+    "related newsletter subscribe subscription popup modal paywall masthead topbar toolbar pagination pager login signup search "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper comment-list comments-area cookie-banner cookie-bar cookie-consent "
+    "cookie-notice disqus_thread main-menu main-nav nav-menu newsletter-signup related-articles related-posts share-buttons "
+    "side-bar site-footer site-nav social-links social-share".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -53,28 +59,51 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form
 class Element:
     """An open element: its label in paths, whether it is article or aside, and its path."""
 
-    __slots__ = ("aside", "main", "name", "path", "slot")
+    __slots__ = ("always", "aside", "holds_main", "in_article", "main", "maybe", "name", "parent", "path", "region")
 
     def __init__(self, name: str, attributes: str, parent: Element | None):
-        label, words, role = name, [], ""
+        label, names, role = name, [], ""
         for m in _ATTRIBUTE.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").strip().lower()
             if m[1].lower() == "role":
                 role = value
             else:
-                words += _NAME.findall(value)
+                names += re.findall("[a-z]+", value)
                 label += ("." if m[1].lower() == "class" else "#") + _DIGITS.sub("0", value)
-        self.name = name
+        self.name, self.parent = name, parent
         self.path = f"{parent.path}>{label}" if parent else label
-        # the nearest container's path names the slot that a text is in
-        self.slot = self.path if name in CONTAINERS or parent is None else parent.slot
+        # the outermost container below the body is the region that a text is in; "" is the body itself
+        self.region = parent.region if parent else ""
+        if not self.region and name in CONTAINERS and name != "body":
+            self.region = self.path
         own_main = name in MAIN or role in ("main", "article")
         self.main = own_main or (parent is not None and parent.main)
-        outer_header = name == "header" and not self.main
-        named_aside = not own_main and name not in ("html", "body") and not ASIDE_WORDS.isdisjoint(words)
-        self.aside = (
-            (parent is not None and parent.aside) or name in SKIPPED or outer_header or role in ASIDE_ROLES or named_aside
-        )
+        self.in_article = name == "article" or role == "article" or (parent is not None and parent.in_article)
+        named = not own_main and name not in ("html", "body") and not ASIDE_NAMES.isdisjoint(names)
+        self.always = name in SKIPPED
+        self.maybe = name == "form" or (name == "header" and not self.main) or role in ASIDE_ROLES or named
+        self.holds_main = False
+        self.aside = False
+        while own_main and parent is not None and not parent.always and not parent.holds_main:
+            parent.holds_main = True
+            parent = parent.parent
+
+    def settle(self) -> None:
+        """Tell whether this is aside, once the page is read and the parent settled: what holds an article isn't.
+
+        An aside within an article stays one, as the articles that it holds are comments or teasers.
+        """
+        outer = self.parent
+        self.aside = (outer is not None and outer.aside) or self.always or self.maybe
+
+
+def parsed(html: str) -> list[tuple[str, Element | None, str]]:
+    """The tokens of a page, with their elements settled."""
+    found = list(tokens(html))
+    for kind, element, _ in found:
+        if kind == "open":
+            element.settle()
+    return found
 
 
 def tokens(html: str) -> Iterator[tuple[str, Element | None, str]]:
@@ -129,7 +158,7 @@ def _text_token(element: Element, text: str) -> str | None:
     return f"{element.path}>#{blake2b(plain.encode(), digest_size=8).hexdigest()}" if plain else None
 
 
-_TOKENS = "host string, page_key long, token string, n long, slot string, chars long"
+_TOKENS = "host string, page_key long, token string, n long, region string, chars long"
 
 
 def _page_tokens(batches):
@@ -139,58 +168,81 @@ def _page_tokens(batches):
     for b in batches:
         out: list[list] = [[], [], [], [], [], []]
         for page, host, html in zip(*(b.column(c).to_pylist() for c in ("page_key", "host", "html"))):
-            counts: dict[tuple, int] = {}
-            for kind, element, text in tokens(html):
+            counts: dict[str, list] = {}
+            for kind, element, text in parsed(html):
                 if kind == "open":
-                    token = (element.path, None, 0)
-                elif kind == "text" and element is not None and not element.main and not element.aside:
-                    token = (_text_token(element, text), element.slot, len(text))
+                    token, region = element.path, None
+                elif kind == "text" and element is not None and not element.aside:
+                    token, region = _text_token(element, text), None if element.main else element.region
                 else:
                     continue
-                if token[0]:
-                    counts[token] = counts.get(token, 0) + 1
-            for (token, slot, chars), n in counts.items():
-                for values, v in zip(out, (host, page, token, n, slot, chars)):
+                if token:
+                    row = counts.setdefault(token, [0, region, 0])
+                    row[0] += 1
+                    row[2] += len(text)
+            for token, (n, region, chars) in counts.items():
+                for values, v in zip(out, (host, page, token, n, region, chars)):
                     values.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=[c.split()[0] for c in _TOKENS.split(", ")])
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, token, vector, parent_vector, share, slot, weight) from (page_key, host, html).
+    """(host, token, vector, parent_vector, share, region, weight) from (page_key, host, html).
 
-    Rows with a vector are the valid classes' tokens, each nested in the class of its parent. A class is told by a sum over
-    pages of a page's hash times the token's count there, which is one number for equal occurrence vectors, so no
-    page list is ever gathered. Rows without one are the host's slots (token null) with the characters of those of their
-    texts that are not template.
+    Rows with a vector are the tokens of the valid classes, each class nested in that of its outermost token's parent. A class
+    is told by a sum over pages of a page's hash times the token's count there, which is one number for equal occurrence
+    vectors, so no page list is ever gathered. Rows without one are the host's regions outside articles (token null)
+    with the characters of those of their texts that are not template.
     """
     found = pages.mapInArrow(_page_tokens, _TOKENS)
     code = F.xxhash64("page_key", F.lit(11)).cast("decimal(20,0)") * F.col("n").cast("decimal(10,0)")
     vectors = found.groupBy("host", "token").agg(
-        F.sum(code).alias("vector"), F.count("*").alias("n_pages"), F.max("slot").alias("slot"), F.sum("chars").alias("weight")
+        F.sum(code).alias("vector"), F.count("*").alias("n_pages"), F.max("region").alias("region"), F.sum("chars").alias("weight")
     )
     hosts = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     # the join is on one row a host and few a token, after aggregation
     shares = materialise(vectors.join(hosts, "host").withColumn("share", F.col("n_pages") / F.col("host_pages")), "tokens")
-    least = F.when(F.col("slot").isNotNull(), TEXT_SHARE).otherwise(LEAST_SHARE)
-    is_valid = (F.col("n_pages") >= LEAST_PAGES) & (F.col("share") >= least)
-    valid = shares.where(is_valid).select("host", "token", "vector", "share")
-    parent = F.regexp_replace("token", ">[^>]*$", "")
-    outer = valid.select("host", F.col("token").alias("parent"), F.col("vector").alias("parent_vector"))
-    nested = valid.withColumn("parent", parent).join(outer, ["host", "parent"], "left").drop("parent")
-    slots = shares.where(~is_valid & F.col("slot").isNotNull()).groupBy("host", "slot").agg(F.sum("weight").alias("weight"))
-    return nested.unionByName(slots, allowMissingColumns=True)
+    often = shares.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("share") >= LEAST_SHARE))
+    depth = F.size(F.split("token", ">"))
+    classes = often.groupBy("host", "vector").agg(
+        F.max("share").alias("share"), F.min(_is_text()).alias("only_texts"), F.min_by("token", F.struct(depth, "token")).alias("outermost")
+    )
+    valid = classes.where((F.col("share") >= TEXT_SHARE) | ~F.col("only_texts"))
+    outer = often.select("host", F.col("token").alias("parent"), F.col("vector").alias("parent_vector"))
+    nested = valid.withColumn("parent", F.regexp_replace("outermost", ">[^>]*$", "")).join(outer, ["host", "parent"], "left")
+    nested = nested.withColumn("parent_vector", F.when(F.col("parent") != F.col("outermost"), F.col("parent_vector")))
+    members = often.drop("share").join(nested.select("host", "vector", "parent_vector", "share"), ["host", "vector"])
+    template = members.select("host", "token", "vector", "parent_vector", "share")
+    spoken = F.col("region").isNotNull()
+    rest = shares.where(spoken).select("host", "region", "weight").unionByName(members.where(spoken).select("host", "region", (-F.col("weight")).alias("weight")))
+    regions = rest.groupBy("host", "region").agg(F.sum("weight").alias("weight")).where("weight > 0")
+    return template.unionByName(regions, allowMissingColumns=True)
+
+
+def _is_text() -> Column:
+    return F.substring_index("token", ">", -1).startswith("#")
 
 
-def page_text(html: str, template: frozenset[str] = frozenset(), main_slot: str | None = None) -> str:
+def page_text(html: str, template: frozenset[str] = frozenset(), main_region: str | None = None) -> str:
     """The article's slots of a page, a line for each block.
 
-    Template texts are no slots. Where the page has an article (or main) element its slots are the text. Else it is the slot
-    that holds most of the host's text, or, if the page hasn't that one, most of its own, with what is in it and a top heading.
+    Template texts are no slots. Where the page has an article (or main) element its slots are the text. Else it is the
+    slots of the region that holds most of the page's text, and of the one that holds most of the host's, with a top heading.
     """
+    found = parsed(html)
+    gone: set[int] = set()
+    sizes = {True: [0, 0], False: [0, 0]}
+    for i, (kind, element, text) in enumerate(found if template else ()):
+        if kind == "text" and element is not None and not element.aside and (token := _text_token(element, text)):
+            hit = token in template
+            sizes[element.main][hit] += len(text)
+            if hit:
+                gone.add(i)
+    inner_kept, outer_kept = sizes[True][1] > COPY_SHARE * sum(sizes[True]), not sizes[False][0]
     parts: dict[bool, list[str]] = {True: [], False: []}
     inner: list[str] = []
     outer: list[tuple[str, str]] = []
-    slot, has_main = "", False
+    region, has_main = "", False
 
     def flush() -> None:
         for main in (True, False):
@@ -198,16 +250,18 @@ def page_text(html: str, template: frozenset[str] = frozenset(), main_slot: str
             if line and main:
                 inner.append(line)
             elif line:
-                outer.append((slot, line))
+                outer.append((region, line))
             parts[main].clear()
 
-    for kind, element, text in tokens(html):
+    for i, (kind, element, text) in enumerate(found):
         if kind == "text":
             if element is None:
                 parts[False].append(unescape(text))
-            elif not element.aside and (element.main or _text_token(element, text) not in template):
+                region = region if parts[False][:-1] else ""
+            elif not element.aside and (i not in gone or (inner_kept if element.main else outer_kept)):
                 parts[element.main].append(unescape(text))
-                slot = "h1" if element.name == "h1" else element.slot
+                if not element.main:
+                    region = "h1" if element.name == "h1" else element.region
         elif kind == "break":
             parts[element.main].append(" ")
         elif element.name in BLOCK:
@@ -217,14 +271,13 @@ def page_text(html: str, template: frozenset[str] = frozenset(), main_slot: str
     flush()
     if has_main:
         return "\n".join(inner)
-    sizes: dict[str, int] = {}
+    lengths: dict[str, int] = {}
     for where, line in outer:
         if where != "h1":
-            sizes[where] = sizes.get(where, 0) + len(line)
-    if main_slot not in sizes:
-        main_slot = max(sizes, key=lambda x: (sizes[x], x), default="")
-    within = lambda x: x in ("h1", main_slot) or x.startswith(f"{main_slot}>")
-    return "\n".join(line for where, line in outer if within(where))
+            lengths[where] = lengths.get(where, 0) + len(line)
+    kept = {"h1", main_region if main_region in lengths else max(lengths, key=lambda x: (lengths[x], x), default="")}
+    # "" is the body itself, with all that is in it
+    return "\n".join(line for where, line in outer if where in kept or "" in kept)
 
 
 def _texts(batches):
@@ -233,11 +286,11 @@ def _texts(batches):
     templates: dict[str, tuple[frozenset[str], str | None]] = {}
     for b in batches:
         texts = []
-        for host, html, found, slot in zip(*(b.column(c).to_pylist() for c in ("host", "html", "template", "main_slot"))):
+        for host, html, found, region in zip(*(b.column(c).to_pylist() for c in ("host", "html", "template", "main_region"))):
             if host not in templates:
                 if len(templates) > 10_000:
                     templates.clear()
-                templates[host] = frozenset(found or ()), slot
+                templates[host] = frozenset(found or ()), region
             texts.append(page_text(html, *templates[host]))
         keep = [c for c in b.schema.names if c in ("page_id", "url")]
         arrays = [*[b.column(c) for c in keep], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
@@ -248,10 +301,10 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
     Null and empty html give an empty text. Pages without a host (null or odd urls) share the template of the
-    empty host. Hosts with fewer than three pages have no template; their pages' own elements decide. Repeated
+    empty host. Hosts with fewer than three pages have no template. Repeated
     rows come out as often as they went in; an empty table gives an empty result.
 
-    Scale: what is shuffled for the templates is a row for each token outside articles, combined by host and
+    Scale: what is shuffled for the templates is a row for each token, combined by host and
     token in each task. Templates of a checked size are broadcast, so that pages are read twice and never moved.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -259,10 +312,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("host", host)
     keyed = rows.select(F.xxhash64("page_id", "url").alias("page_key"), "host", "html")
     template = materialise(deduce_templates(keyed), "templates")
-    is_text = F.substring_index("token", ">", -1).startswith("#")
     by_host = template.groupBy("host").agg(
-        F.sort_array(F.collect_set(F.when(is_text, F.col("token")))).alias("template"),
-        F.max_by("slot", F.struct("weight", "slot")).alias("main_slot"),
+        F.sort_array(F.collect_set(F.when(_is_text(), F.col("token")))).alias("template"),
+        F.max_by("region", F.struct("weight", "region")).alias("main_region"),
     )
     if template.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)

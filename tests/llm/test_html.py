@@ -68,3 +68,18 @@ def test_classes_are_nested(spark):
 
 def test_empty_table(spark):
     assert extract_main_text(rows(spark).limit(0)).isEmpty()
+
+
+def test_template_in_articles(spark):
+    # a heading and a text on half of the pages are one class; near copies of an article are no template
+    body = "<body><article><p>{0}</p>{1}<p>Read our newsletter</p></article></body>"
+    more = "<h4>Further reading</h4>"
+    data = [(i, f"http://a.example/{i}", body.format(f"the text of the page {i} goes on " * 4, more * (i < 3))) for i in range(5)]
+    data += [(9 + i, f"http://b.example/{i}", f"<article><p>{'one long text ' * 9}</p><p>{i}</p></article>") for i in range(4)]
+    data += [(20 + i, "http://c.example/", "<body><div>all the same</div></body>") for i in range(4)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert found[i] == ("the text of the page %d goes on " % i * 4).strip()
+    for i in range(4):
+        assert found[9 + i] == ("one long text " * 9).strip() + f"\n{i}"
+        assert found[20 + i] == "all the same"
