@@ -68,7 +68,7 @@ class Element:
             if m[1].lower() == "role":
                 role = value
             else:
-                names += re.findall("[a-z]+", value)
+                names += [_NUMBERED.sub("", n) for n in value.split()]
                 label += ("." if m[1].lower() == "class" else "#") + _DIGITS.sub("0", value)
         self.name, self.parent = name, parent
         self.path = f"{parent.path}>{label}" if parent else label
@@ -94,7 +94,8 @@ class Element:
         An aside within an article stays one, as the articles that it holds are comments or teasers.
         """
         outer = self.parent
-        self.aside = (outer is not None and outer.aside) or self.always or self.maybe
+        excused = self.holds_main and not (outer is not None and outer.in_article)
+        self.aside = (outer is not None and outer.aside) or self.always or (self.maybe and not excused)
 
 
 def parsed(html: str) -> list[tuple[str, Element | None, str]]:
@@ -275,7 +276,7 @@ def page_text(html: str, template: frozenset[str] = frozenset(), main_region: st
     for where, line in outer:
         if where != "h1":
             lengths[where] = lengths.get(where, 0) + len(line)
-    kept = {"h1", main_region if main_region in lengths else max(lengths, key=lambda x: (lengths[x], x), default="")}
+    kept = {"h1", main_region, max(lengths, key=lambda x: (lengths[x], x), default="")}
     # "" is the body itself, with all that is in it
     return "\n".join(line for where, line in outer if where in kept or "" in kept)
 

@@ -83,3 +83,29 @@ def test_template_in_articles(spark):
     for i in range(4):
         assert found[9 + i] == ("one long text " * 9).strip() + f"\n{i}"
         assert found[20 + i] == "all the same"
+
+
+LONG, OTHER = "long text " * 9, "other text " * 7
+
+
+@pytest.mark.parametrize(
+    ("html", "wanted"),
+    [
+        ("<div class='page with-sidebar'><article>t</article></div>", "t"),
+        ("<body class=ad-free><div class='has-banner no-comments'><article>t</article></div>", "t"),
+        ("<div class=sidebar><article>t</article></div>", "t"),
+        ("<form id=search><main><p>t</p></main></form>", "t"),
+        ("<article>t<div class=comments><article>first!</article></div></article>", "t"),
+        ("<body><div class=content><div class=lead>" + OTHER + "</div><div class=body>" + LONG + "</div></div>", f"{OTHER.strip()}\n{LONG.strip()}"),
+    ],
+)
+def test_nothing_of_an_article_is_dropped(html, wanted):
+    assert text(html) == wanted
+
+
+def test_hosts_with_two_layouts(spark):
+    one, two = "<body><div class=one>{0} line " * 1 + LONG + "</div></body>", "<body><div class=one>{0} short</div><div class=two>{0} " + OTHER + "</div></body>"
+    data = [(i, "http://a.example/", (one if i < 4 else two).format(i)) for i in range(6)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert found[1] == "1 line " + LONG.strip()
+    assert found[5] == "5 short\n5 " + OTHER.strip()
