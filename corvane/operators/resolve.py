@@ -83,21 +83,90 @@ def repoint(rows: DataFrame, merged: DataFrame, column: str) -> DataFrame:
 IDENTITY_TYPES = ("person", "organization", "threat_actor")
 
 
-def by_semantics(vectors: DataFrame, least: float = 0.85, others: int = 100) -> DataFrame:
-    """Pairs (entity, entity_type, embedding) of a type by cosine, each against the first ``others`` of its type by id.
+#: Vectors of a block, and pairs whose products are summed at once.
+BLOCK_ROWS, EXACT_PAIRS = 2048, 1 << 15
+
+
+def _packed(pdf):
+    """A block's vectors as one row."""
+    import numpy as np
+    import pandas as pd
+
+    first, vectors = pdf.iloc[0], np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    row = {"entity_type": first["entity_type"], "dim": vectors.shape[1], "block": int(first["block"]), "ids": pdf["entity"].tolist(), "vectors": vectors.tobytes()}
+    return pd.DataFrame([row])
+
+
+def _close(least: float):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                value = lambda name, n=n: batch.column(name)[n]
+                ids = [value("ids").values, value("other_ids").values]
+                v = [np.frombuffer(value(c).as_py(), np.float64).reshape(len(i), -1) for c, i in zip(("vectors", "other_vectors"), ids)]
+                # sums in order, as the column expression's
+                length = [np.sqrt(np.cumsum(x * x, axis=1)[:, -1]) for x in v]
+                unit = [x / np.where(k > 0, k, 1)[:, None] for x, k in zip(v, length)]
+                near = unit[0] @ unit[1].T >= least - 1e-9
+                x, y = np.nonzero(np.triu(near, 1) if value("block").as_py() == value("other_block").as_py() else near)
+                for at in range(0, len(x), EXACT_PAIRS):
+                    i, j = x[at : at + EXACT_PAIRS], y[at : at + EXACT_PAIRS]
+                    cos = np.cumsum(v[0][i] * v[1][j], axis=1)[:, -1] / (length[0][i] * length[1][j])
+                    ok = cos >= least
+                    arrays = [ids[0].take(pa.array(i[ok])), ids[1].take(pa.array(j[ok])), pa.array(cos[ok])]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["entity", "other", "cos"])
+
+    return run
+
+
+def _all_close(rows: DataFrame, least: float) -> DataFrame:
+    """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks."""
+    v = F.col("embedding").cast("array<double>")
+    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
+    held = rows.where("entity IS NOT NULL AND entity_type IS NOT NULL").where(F.coalesce(usable, F.lit(False))).select("entity", "entity_type", v.alias("v"), F.size(v).alias("dim"))
+    sizes = held.groupBy("entity_type", "dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n_blocks"))
+    dealt = held.join(sizes, ["entity_type", "dim"]).withColumn("block", F.pmod(F.xxhash64("entity"), F.col("n_blocks")).cast("int"))
+    kind = dict(rows.dtypes)
+    blocks = dealt.select("entity_type", "dim", "block", "entity", "v").groupBy("entity_type", "dim", "block").applyInPandas(
+        _packed, f"entity_type {kind['entity_type']}, dim int, block int, ids array<{kind['entity']}>, vectors binary"
+    )
+    blocks = blocks.join(sizes, ["entity_type", "dim"])
+    last = (F.col("n_blocks") - 1).cast("int")
+    left = blocks.withColumn("other_block", F.explode(F.sequence("block", last))).drop("n_blocks")
+    right = blocks.select(
+        "entity_type", "dim", F.col("block").alias("other_block"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"),
+        F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"),
+    )
+    pairs = left.join(right, ["entity_type", "dim", "block", "other_block"])
+    return pairs.mapInArrow(_close(least), f"entity {kind['entity']}, other {kind['entity']}, cos double")
+
+
+def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = None) -> DataFrame:
+    """Pairs of (entity, entity_type, embedding) of a type by cosine. Types that tell identities are left out.
 
-    The first of a type are few rows a type, whatever a type's size. Types that tell identities are left out.
+    All pairs of a type are compared, a block of vectors with a block, so tasks are even and of bounded memory; vectors that
+    are null, zero or not finite, and those of other lengths, are like nothing. With ``others`` each is compared only with
+    that many of its type, the first by id, which misses links between all others.
     """
     from pyspark.sql import Window
 
     from corvane.functions.text import cosine
 
     rows = vectors.where(~F.col("entity_type").isin(*IDENTITY_TYPES)).select("entity", "entity_type", "embedding")
-    nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))
-    first = rows.withColumn("nth", nth).where(F.col("nth") <= others + 1).drop("nth")
-    second = first.select("entity_type", F.col("entity").alias("other"), F.col("embedding").alias("v"))
-    met = rows.join(second, "entity_type").where(F.col("entity") != F.col("other"))
-    close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), cosine(F.col("embedding"), F.col("v")).alias("cos"))
+    if others is None:
+        if least <= 0:
+            raise ValueError("the least cosine must be over 0")
+        met = _all_close(rows, least).where(F.col("entity") != F.col("other"))
+        close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), "cos")
+    else:
+        nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))
+        first = rows.withColumn("nth", nth).where(F.col("nth") <= others + 1).drop("nth")
+        second = first.select("entity_type", F.col("entity").alias("other"), F.col("embedding").alias("v"))
+        met = rows.join(second, "entity_type").where(F.col("entity") != F.col("other"))
+        close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), cosine(F.col("embedding"), F.col("v")).alias("cos"))
     kept = close.where(F.col("cos") >= least).groupBy("a", "b").agg(F.max("cos").alias("cos"))
     return kept.select("a", "b", F.lit("semantic").alias("method"), F.round(0.8 * F.col("cos"), 6).alias("score"))
 

@@ -103,8 +103,21 @@ _VECTORS = "v AS (SELECT vec_id AS entity, 'kind' || label % 3 AS entity_type, e
         FROM v JOIN f ON v.entity_type = f.entity_type AND v.entity <> f.entity)
     SELECT a, b, 'semantic' AS method, round(0.8 * max(cos), 6) AS score FROM m WHERE cos >= 0.4 GROUP BY a, b""")
 def resolve_semantic(spark, d):
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("entity"), F.concat(F.lit("kind"), F.col("label") % 3).alias("entity_type"), "embedding")
-    return resolve.by_semantics(rows, least=0.4)
+    """Each entity against the first 100 of its type, the reference's trade-off; ``resolve_semantic_all`` misses none."""
+    return resolve.by_semantics(_typed_vectors(spark, d), least=0.4, others=100)
+
+
+def _typed_vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("entity"), F.concat(F.lit("kind"), F.col("label") % 3).alias("entity_type"), "embedding")
+
+
+@query(f"""WITH {_VECTORS},
+    m AS (SELECT x.entity AS a, y.entity AS b, list_inner_product(x.e, y.e) / (sqrt(list_inner_product(x.e, x.e)) * sqrt(list_inner_product(y.e, y.e))) AS cos
+        FROM v x JOIN v y ON x.entity_type = y.entity_type AND x.entity < y.entity)
+    SELECT a, b, 'semantic' AS method, round(0.8 * max(cos), 6) AS score FROM m WHERE cos >= 0.4 GROUP BY a, b""")
+def resolve_semantic_all(spark, d):
+    """All pairs of a type."""
+    return resolve.by_semantics(_typed_vectors(spark, d), least=0.4)
 
 
 @query("SELECT c_custkey AS doc_id, 'person' AS entity_type, lower(c_name) AS entity_key, 0.6::DOUBLE AS confidence FROM customer")

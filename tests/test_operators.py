@@ -292,3 +292,19 @@ def test_pressure_falls_by_steps():
     assert jobs.next_level(3, 0, 10, 30) == (3, False)
     assert jobs.next_level(3, 0, 31, 30) == (2, True)
     assert jobs.next_level(1, 1, 99, 30) == (1, False)
+
+
+def test_semantic_pairs_are_not_capped(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 64)
+    v = np.random.default_rng(4).normal(size=(300, 8))
+    v[290] = 2 * v[150]  # both far behind the first hundred
+    data = [(i, "person" if i % 50 == 49 else "tool", [float(x) for x in r]) for i, r in enumerate(v)] + [(900, "tool", None), (901, "tool", [0.0] * 8), (902, "tool", [1.0])]
+    rows = spark.createDataFrame(data, "entity long, entity_type string, embedding array<double>")
+    got = {(r.a, r.b): r.score for r in resolve.by_semantics(rows, least=0.7).collect()}
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = unit @ unit.T
+    wanted = {(i, j) for i in range(300) for j in range(i + 1, 300) if cos[i, j] >= 0.7 and i % 50 != 49 and j % 50 != 49}
+    assert set(got) == wanted and got[150, 290] == 0.8
+    assert (150, 290) not in {(r.a, r.b) for r in resolve.by_semantics(rows, 0.7, others=100).collect()}
