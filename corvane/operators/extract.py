@@ -15,7 +15,6 @@ HASH = rf"(?i){_L}(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}}){_R}"
 ACCOUNT = rf"(?i){_L}(?:https?://)?(?:www\.)?(github\.com|twitter\.com|x\.com|t\.me)/([A-Za-z0-9_]{{1,32}})(?![A-Za-z0-9_-])"
 #: How far an excerpt reaches to either side.
 EXCERPT = 240
-MAX_ITEMS = 500
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -85,16 +84,18 @@ def email_domains(emails: DataFrame) -> DataFrame:
     return emails.select("doc_id", F.lit("domain").alias("entity_type"), F.substring_index("entity_key", "@", -1).alias("entity_key"), "confidence", "at", "text", "hit")
 
 
-def extract_all(docs: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(doc_id, entity_type, entity_key, confidence, at, excerpt) of all extractors, the first ``max_items`` a document."""
+def extract_all(docs: DataFrame, max_items: int | None = None) -> DataFrame:
+    """(doc_id, entity_type, entity_key, confidence, at, excerpt) of all extractors; with ``max_items`` only the first so many a document."""
     emails = extract_emails(docs)
     parts = [extract_cves(docs), extract_ipv4(docs), emails, email_domains(emails), extract_hashes(docs), extract_accounts(docs), extract_urls(docs)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
+    found = rows.withColumn("excerpt", excerpt(F.col("text"), F.col("at"), F.length("hit"))).drop("text", "hit")
+    if max_items is None:
+        return found
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "entity_key", "entity_type"))
-    kept = rows.withColumn("excerpt", excerpt(F.col("text"), F.col("at"), F.length("hit"))).drop("text", "hit").withColumn("nth", nth)
-    return kept.where(F.col("nth") <= max_items).drop("nth")
+    return found.withColumn("nth", nth).where(F.col("nth") <= max_items).drop("nth")
 
 
 def excerpt(text: Column, at: Column, n: Column) -> Column:

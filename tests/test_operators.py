@@ -308,3 +308,10 @@ def test_semantic_pairs_are_not_capped(spark, monkeypatch):
     wanted = {(i, j) for i in range(300) for j in range(i + 1, 300) if cos[i, j] >= 0.7 and i % 50 != 49 and j % 50 != 49}
     assert set(got) == wanted and got[150, 290] == 0.8
     assert (150, 290) not in {(r.a, r.b) for r in resolve.by_semantics(rows, 0.7, others=100).collect()}
+
+
+def test_extraction_of_a_long_document(spark):
+    text = " ".join(f"CVE-2026-{i:05}" for i in range(1300))
+    items = extract.extract_all(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert extract.entities(items).count() == extract.identifiers(items).count() == 1300
+    assert items.count() == 1300 and extract.extract_all(spark.createDataFrame([(1, text)], "doc_id long, text string"), 500).count() == 500
