@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 TERMINATORS = frozenset("。！？；!?;…")
 OPENERS = frozenset("「『“（(【《〈[")
 CLOSERS = frozenset("」』”’）)】》〉]\"'")
-MAX_SOURCE_BYTES = 2 * 1024 * 1024
 CHUNK = "doc_id long, strategy string, seq int, start int, end int, token_count int, header string, chunk string"
 
 
@@ -89,14 +88,19 @@ def packed(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
     return spans
 
 
-def _chunks(config: ChunkConfig):
+def _chunks(config: ChunkConfig, max_bytes: int | None):
+    columns = [c.split()[0] for c in CHUNK.split(", ")] + ["truncated"] * (max_bytes is not None)
+
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             rows = []
             for doc, title, text, strategy in zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["strategy"]):
-                text = (text or "").encode()[:MAX_SOURCE_BYTES].decode(errors="ignore")
+                text, cut = text or "", ()
+                if max_bytes is not None:
+                    source = text.encode()
+                    text, cut = source[:max_bytes].decode(errors="ignore"), (len(source) > max_bytes,)
                 head_tokens = tokens_of(title or "")
                 head = (title or "")[: head_tokens[min(config.header, len(head_tokens)) - 1][1]] if head_tokens else ""
                 room = config.limit - len(tokens_of(head)) - 16
@@ -105,16 +109,19 @@ def _chunks(config: ChunkConfig):
                 spans = [(a, b) for a, b in spans if text[a:b].strip()]
                 for seq, (a, b) in enumerate(spans):
                     piece = text[a:b]
-                    rows.append((doc, strategy, seq, a, b, len(tokens_of(piece)), "" if head in piece else head, piece))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK.split(", ")])
+                    rows.append((doc, strategy, seq, a, b, len(tokens_of(piece)), "" if head in piece else head, piece, *cut))
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks of (doc_id, title, text, object_type): imports are records, articles stay whole if they fit, else packed."""
+def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), max_bytes: int | None = None) -> DataFrame:
+    """Chunks of (doc_id, title, text, object_type): imports are records, articles stay whole if they fit, else packed.
+
+    The whole text is chunked. With ``max_bytes`` only that much of it is, and a column ``truncated`` tells of which documents.
+    """
     kind = F.when(F.col("object_type") == "imported", "record").when(F.col("object_type") == "article", "whole").otherwise("fixed")
-    return docs.select(F.col("doc_id").cast("long"), "title", "text", kind.alias("strategy")).mapInPandas(_chunks(config), CHUNK)
+    return docs.select(F.col("doc_id").cast("long"), "title", "text", kind.alias("strategy")).mapInPandas(_chunks(config, max_bytes), CHUNK + ", truncated boolean" * (max_bytes is not None))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -315,3 +315,12 @@ def test_extraction_of_a_long_document(spark):
     items = extract.extract_all(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert extract.entities(items).count() == extract.identifiers(items).count() == 1300
     assert items.count() == 1300 and extract.extract_all(spark.createDataFrame([(1, text)], "doc_id long, text string"), 500).count() == 500
+
+
+def test_chunks_of_a_very_long_text(spark):
+    text = "Some words of a line.\n" * 120_000  # over 2 MiB
+    docs = spark.createDataFrame([(1, "", text, "message"), (2, "", "short", "message")], "doc_id long, title string, text string, object_type string")
+    chunks = chunk.chunk_documents(docs)
+    assert "truncated" not in chunks.columns and chunks.where("doc_id = 1").agg({"end": "max"}).first()[0] == len(text)
+    cut = chunk.chunk_documents(docs, max_bytes=1000).groupBy("doc_id").agg(F.max("end").alias("end"), F.max("truncated").alias("truncated")).collect()
+    assert {(r.doc_id, r.end, r.truncated) for r in cut} == {(1, 1000, True), (2, 5, False)}
