@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def ranked_by_id(rows: DataFrame, id_col: str = "doc_id", shares: int = 1024) ->
 def simhash_candidates(prints: DataFrame, max_distance: int = MAX_DISTANCE, scan_back: int = SCAN_BACK) -> DataFrame:
     """(doc_id, parent, distance): the best earlier document within the distance among the ``scan_back`` before.
 
-    A 64-bit value within distance 3 of another shares one of its four 16-bit bands; the bound on how far back to
+    ``simhash_candidates_unbounded`` looks at all. A 64-bit value within distance 3 of another shares one of its four 16-bit bands; the bound on how far back to
     look is a second key, so no band ever pairs more than two stretches of ``scan_back`` ranks.
     """
     ranked = ranked_by_id(prints)
@@ -85,6 +87,29 @@ def simhash_candidates(prints: DataFrame, max_distance: int = MAX_DISTANCE, scan
     return best.select("doc_id", "best.parent", "best.distance")
 
 
+def simhash_candidates_unbounded(prints: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, parent, distance): the best earlier document within the distance, however far before.
+
+    Of 64 bits in ``max_distance`` + 3 blocks, two values within the distance have three in common, so each distinct
+    fingerprint meets others under every choice of three. A document that repeats an earlier one's fingerprint has
+    that one's first document as its parent; only the first documents of fingerprints need a search.
+    """
+    n = max_distance + 3
+    cuts = [64 * i // n for i in range(n + 1)]
+    masks = [sum((1 << cuts[b + 1]) - (1 << cuts[b]) for b in choice) for choice in combinations(range(n), 3)]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    firsts = materialise(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "first-prints")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)]))
+    keyed = firsts.select("first", "print", keys.alias("k")).select("first", "print", "k.*")
+    earlier = keyed.select(F.col("first").alias("parent"), F.col("print").alias("p"), "choice", "value")
+    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("p")))
+    met = keyed.join(earlier, ["choice", "value"]).where((F.col("parent") < F.col("first")) & (distance <= max_distance))
+    near = met.select(F.col("first").alias("doc_id"), F.struct(distance.alias("distance"), "parent").alias("hit"))
+    best = near.groupBy("doc_id").agg(F.min("hit").alias("best")).select("doc_id", "best.parent", "best.distance")
+    same = prints.join(firsts, "print").where(F.col("doc_id") > F.col("first")).select("doc_id", F.col("first").alias("parent"), F.lit(0).alias("distance"))
+    return best.unionByName(same)
+
+
 def staged_parents(docs: DataFrame, stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """(doc_id, stage, parent): the first stage that finds a parent decides."""
     rows = None

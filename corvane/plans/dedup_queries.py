@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import dedup
-from corvane.plans.catalog import query
+from corvane.plans.catalog import SQL, query
 from corvane.plans.text_queries import FLAT
 from corvane.session import materialise, table
 
+#: Chains of parents are followed to their end where no bound keeps them short; rounds grow with its logarithm.
+MANY_HOPS = 1 << 40
+
 _PRINTS = """
     words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS w FROM documents),
     long_docs AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id HAVING count(*) >= 16),
@@ -28,11 +31,11 @@ _NEAR = f"""{_PRINTS},
 _EXACT = f"hashes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256('||' || {FLAT})) AS parent FROM documents)"
 
 
-def _stages(spark, d):
+def _stages(spark, d, candidates=dedup.simhash_candidates):
     docs = table(spark, d, "documents", spread=True)
     empty = F.lit(None).cast("string")
     exact = dedup.parent_by_key(docs, T.content_hash(empty, empty, F.col("text")))
-    near = dedup.simhash_candidates(materialise(dedup.simhash_fingerprints(docs), "prints"))
+    near = candidates(materialise(dedup.simhash_fingerprints(docs), "prints"))
     return docs, [("content_hash", exact), ("simhash", near)]
 
 
@@ -110,3 +113,45 @@ def duplicate_groups(spark, d):
 def duplicate_rate(spark, d):
     docs, stages = _stages(spark, d)
     return dedup.duplicate_rate(dedup.staged_parents(docs, stages))
+
+
+# the same without a bound on how far apart near copies may lie
+
+
+def _far(sql: str) -> str:
+    return sql.replace("b.r BETWEEN a.r - 500 AND a.r - 1", "b.r < a.r")
+
+
+def _unbounded_stages(spark, d):
+    return _stages(spark, d, dedup.simhash_candidates_unbounded)
+
+
+def _unbounded_staged(spark, d):
+    docs, stages = _unbounded_stages(spark, d)
+    return materialise(dedup.staged_parents(docs, stages), "staged")
+
+
+@query(_far(SQL["simhash_near_pairs"]))
+def simhash_near_pairs_unbounded(spark, d):
+    return _unbounded_stages(spark, d)[1][1][1]
+
+
+@query(_far(SQL["dedup_all_stages"]))
+def dedup_all_stages_unbounded(spark, d):
+    return _unbounded_staged(spark, d)
+
+
+@query(_far(SQL["forest_roots"]))
+def forest_roots_unbounded(spark, d):
+    return dedup.forest_roots(_unbounded_staged(spark, d), MANY_HOPS)
+
+
+@query(_far(SQL["duplicate_groups"]))
+def duplicate_groups_unbounded(spark, d):
+    staged = _unbounded_staged(spark, d)
+    return dedup.duplicate_groups(staged, dedup.forest_roots(staged, MANY_HOPS))
+
+
+@query(_far(SQL["duplicate_rate"]))
+def duplicate_rate_unbounded(spark, d):
+    return dedup.duplicate_rate(_unbounded_staged(spark, d))

@@ -324,3 +324,20 @@ def test_chunks_of_a_very_long_text(spark):
     assert "truncated" not in chunks.columns and chunks.where("doc_id = 1").agg({"end": "max"}).first()[0] == len(text)
     cut = chunk.chunk_documents(docs, max_bytes=1000).groupBy("doc_id").agg(F.max("end").alias("end"), F.max("truncated").alias("truncated")).collect()
     assert {(r.doc_id, r.end, r.truncated) for r in cut} == {(1, 1000, True), (2, 5, False)}
+
+
+def test_near_copies_far_apart(spark):
+    import random
+
+    rng = random.Random(6)
+    prints = [rng.getrandbits(64) for _ in range(700)]
+    for i in range(40):
+        prints.append(prints[i] ^ sum(1 << b for b in rng.sample(range(64), i % 5)))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame(list(enumerate(signed)), "doc_id long, print long")
+    wanted = set()
+    for i, p in enumerate(prints):
+        near = [((p ^ q).bit_count(), j) for j, q in enumerate(prints[:i]) if (p ^ q).bit_count() <= 3]
+        wanted |= {(i, min(near)[1], min(near)[0])} if near else set()
+    assert len(wanted) == 32 and {tuple(r) for r in dedup.simhash_candidates_unbounded(rows).select("doc_id", "parent", "distance").collect()} == wanted
+    assert dedup.simhash_candidates(rows).isEmpty()
