@@ -35,6 +35,8 @@ class CharClass:
 
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A word of a path or name: letters of one case or capitalised, with a short number after it, or a number.
+_WORD = r"(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})[0-9]{0,2}|[0-9]{1,8})"
 #: From narrow to wide; a string belongs to the first whose pattern it matches.
 CLASSES = (
     CharClass("hex", r"^[0-9a-f]+$", _DIGITS + "abcdef", 3.0),
@@ -42,15 +44,12 @@ CLASSES = (
     CharClass("alnum", r"^[0-9A-Za-z]+$", _DIGITS + _LOWER + _UPPER, 3.6),
     CharClass("base64", r"^[0-9A-Za-z+/_=-]+$", _DIGITS + _LOWER + _UPPER + "+/_=-", 3.8),
 )
-#: Strings that look random and are known not to be secret: UUIDs, numbers, dates, paths and names with
-#: separators, placeholders, and strings that do not mix letters with at least three digits.
+#: Whole strings that look random and are known not to be secret: UUIDs, numbers, dates, and paths and names of short
+#: words with separators.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^[A-Za-z+/_=-]+$",
-    r"(?i)(example|placeholder|changeme|your[_-]|xxxx|0000000|1234567)",
-    r"^([^0-9]*[0-9]){0,2}[^0-9]*$",
-    r"^[A-Za-z0-9]{1,12}([-_/][A-Za-z0-9]{1,12})+$",
+    r"^[/_-]*" + _WORD + r"([/_=+-]+" + _WORD + r")+[/_=-]*$",
 )
 
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int,hit:string>"
@@ -119,7 +118,7 @@ def _best_range(hit: Column, cls: CharClass) -> Column:
 
 
 def _entropy_spans(candidates: Column, base: Column, kind_no: int) -> Column:
-    """Spans of candidates that reach their class's entropy, are not allowed and touch no base span."""
+    """Spans of what base spans leave of the candidates, where that reaches its class's entropy and is not allowed."""
 
     def judged(x: Column) -> Column:
         best = None
@@ -131,13 +130,28 @@ def _entropy_spans(candidates: Column, base: Column, kind_no: int) -> Column:
             F.when(best["first"] >= 0, x["start"] + best["last"]).alias("end"), x["hit"].alias("hit"),
         )
 
+    def left_over(x: Column) -> Column:
+        within = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+
+        def part(start: Column, end: Column) -> Column:
+            hit = F.substring(x["hit"], start - x["start"] + 1, F.greatest(end - start, F.lit(0)))
+            return F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit("candidate").alias("kind"), end.alias("end"), hit.alias("hit"))
+
+        init = F.struct(x["start"].alias("at"), F.array().cast(_NO_SPANS).alias("out"))
+        step = lambda acc, b: F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(part(acc["at"], b["start"])).cast(_NO_SPANS)).alias("out")
+        )
+        cut = F.aggregate(within, init, step, lambda acc: F.concat(acc["out"], F.array(part(acc["at"], x["end"])).cast(_NO_SPANS)))
+        return F.when(F.size(within) == 0, F.array(x).cast(_NO_SPANS)).otherwise(cut)
+
     def open_to_doubt(x: Column) -> Column:
-        ok = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        ok = F.length(x["hit"]) >= WINDOW
         for pattern in ALLOWED:
             ok = ok & ~x["hit"].rlike(pattern)
         return ok
 
-    return F.filter(F.transform(F.filter(candidates, open_to_doubt), judged), lambda x: x["end"].isNotNull())
+    parts = F.filter(F.flatten(F.transform(candidates, left_over)), open_to_doubt)
+    return F.filter(F.transform(parts, judged), lambda x: x["end"].isNotNull())
 
 
 def _joined(spans: Column) -> Column:

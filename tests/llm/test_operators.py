@@ -247,6 +247,19 @@ def test_entropy_by_increments(spark):
         assert found == ("" if allowed or not best else f"entropy:{best[0]}:{best[-1] + secret_scan.WINDOW}"), hit
 
 
+def test_entropy_decides(spark):
+    key = "qZ7xKfWmRtYbNcVdPgHs"  # one digit
+    found = {
+        key: "entropy:0:20", "qZbxKfWmRtYbNcVdPgHs": "entropy:0:20", key + "example" + key: "entropy:0:47",
+        key + "_" + "0123456789abcdef01234567" + "_" + key: "entropy:0:21,hex:21:45,entropy:45:66",
+        key + "_password=abcdefgh": "entropy:0:21,assign:21:38",
+        "some/long/path/to_a_file/of2/words": "", "550e8400-e29b-41d4-a716-446655440000": "", "2026-11-27/12345678-00000": "",
+    }
+    rows = [(i, h) for i, h in enumerate(found)]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {h: got[i] for i, h in rows} == found
+
+
 # 6
 
 
