@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import materialise
+
 # Legal changes of a job's state.
 TRANSITIONS = (
     ("queued", "running"), ("queued", "cancelled"), ("running", "completed"), ("running", "failed"), ("running", "retrying"),
@@ -98,12 +100,21 @@ def connector_health(now: Column) -> Column:
 
 
 def fair_dispatch(due: DataFrame, most_failing: int = 8) -> DataFrame:
-    """``due`` in fair order (``turn``), with at most so many failing ones."""
+    """``due`` in fair order (``turn``), with at most so many failing ones, and as many whose errors aren't known.
+
+    Turns are numbered by shares of the order and prefix sums of their sizes, so no task holds all.
+    """
     order = [F.col("error_count"), F.col("last_success").desc_nulls_last(), F.col("id")]
-    failing = F.col("error_count") > 0
-    nth = F.row_number().over(Window.partitionBy(failing).orderBy(*order))
-    kept = due.withColumn("nth", nth).where(~failing | (F.col("nth") <= most_failing)).drop("nth")
-    return kept.withColumn("turn", F.row_number().over(Window.orderBy(*order)))
+    kept = due.where("error_count <= 0")
+    for some in ("error_count > 0", "error_count IS NULL"):
+        kept = kept.unionByName(due.where(some).orderBy(*order).limit(most_failing))
+    # written before it is numbered, so that a share is what it was when it was counted
+    dealt = materialise(kept.repartitionByRange(*order).withColumn("share", F.spark_partition_id()), "turns")
+    ahead = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("share").count().select("share", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("share").orderBy(*order))
+    numbered = dealt.withColumn("own", own).join(F.broadcast(bases), "share")
+    return numbered.withColumn("turn", (F.col("base") + F.col("own")).cast("int")).drop("share", "own", "base")
 
 
 def purgeable(jobs: DataFrame, job_type: str, statuses: tuple[str, ...], before, limit: int = 5000) -> DataFrame:

@@ -122,7 +122,13 @@ def query_condition(text: str, terms: Column) -> Column:
 
 
 def bm25(docs: DataFrame, query_terms: list[str], k: int = 10, text_col: str = "text") -> DataFrame:
-    """(rank, doc_id, score): the best ``k`` documents that hold all terms, ties by id.
+    """(rank, doc_id, score): the best ``k`` documents that hold all terms, ties by id."""
+    best = bm25_scores(docs, query_terms, text_col).orderBy(F.desc("score"), "doc_id").limit(k)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
+
+
+def bm25_scores(docs: DataFrame, query_terms: list[str], text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of all documents that hold all terms, in no order.
 
     One pass gives each document's length and term counts; corpus figures are one aggregate over them.
     """
@@ -138,7 +144,7 @@ def bm25(docs: DataFrame, query_terms: list[str], k: int = 10, text_col: str = "
         *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(query_terms))],
     ).first()
     if not corpus["docs"]:
-        return counted.select(F.lit(1).alias("rank"), "doc_id", F.lit(0.0).alias("score")).limit(0)
+        return counted.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     score = F.lit(0.0)
     held = F.lit(True)
     for i in range(len(query_terms)):
@@ -146,8 +152,7 @@ def bm25(docs: DataFrame, query_terms: list[str], k: int = 10, text_col: str = "
         idf = math.log(1 + (corpus["docs"] - df + 0.5) / (df + 0.5))
         score = score + idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("n") / corpus["avg_n"]))
         held = held & (t > 0)
-    best = counted.where(held).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score")
+    return counted.where(held).select("doc_id", F.round(score, 6).alias("score"))
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None, metric: str = "cosine") -> DataFrame:

@@ -71,7 +71,7 @@ def keyset_page(spark, d):
 @query(f"WITH {_BM25} SELECT doc_id, score FROM bm WHERE score < 4.0 OR (score = 4.0 AND doc_id > 10) ORDER BY score DESC, doc_id LIMIT 10")
 def search_after_page(spark, d):
     docs = table(spark, d, "documents", spread=True)
-    rows = search.bm25(docs, ["blend", "the"], 10_000_000).select(F.col("doc_id").alias("id"), "score")
+    rows = search.bm25_scores(docs, ["blend", "the"]).select(F.col("doc_id").alias("id"), "score")
     return search.search_after(rows, (4.0, 10), 10).select(F.col("id").alias("doc_id"), "score")
 
 

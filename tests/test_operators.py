@@ -341,3 +341,20 @@ def test_near_copies_far_apart(spark):
         wanted |= {(i, min(near)[1], min(near)[0])} if near else set()
     assert len(wanted) == 32 and {tuple(r) for r in dedup.simhash_candidates_unbounded(rows).select("doc_id", "parent", "distance").collect()} == wanted
     assert dedup.simhash_candidates(rows).isEmpty()
+
+
+def test_no_cap_or_single_task_in_paging_and_turns(spark):
+    import inspect
+
+    from corvane.plans import search_queries
+
+    assert "10_000_000" not in inspect.getsource(search_queries.search_after_page)
+    docs = spark.createDataFrame([(i, "blend the " + "x " * (i % 7)) for i in range(50)], "doc_id long, text string")
+    assert search.bm25_scores(docs, ["blend", "the"]).count() == 50
+    due = [(i, i % 3, i // 4 if i % 5 else None) for i in range(200)]
+    got = ops.fair_dispatch(spark.createDataFrame(due, "id long, error_count int, last_success int"), 8)
+    assert "SinglePartition, ENSURE_REQUIREMENTS" not in got.select("id")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    key = lambda r: (r[1], r[2] is None, -(r[2] or 0), r[0])
+    kept = sorted(r for r in due if not r[1]) + sorted((r for r in due if r[1]), key=key)[:8]
+    assert [r.id for r in sorted(got.collect(), key=lambda r: r.turn)] == [r[0] for r in sorted(kept, key=key)]
+    assert [r.turn for r in sorted(got.collect(), key=lambda r: r.turn)] == list(range(1, len(kept) + 1))
