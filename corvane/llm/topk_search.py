@@ -1,9 +1,10 @@
 """Operator 2, exact top-k search, by multi-resolution segment statistics.
 
 A vector is cut into equal segments; their means and deviations bound distances from below: over a segment of
-length n, |q - c|^2 >= n * ((mean_q - mean_c)^2 + (dev_q - dev_c)^2). With the vectors' own lengths that bounds their inner
-product from above. Bounds are taken from one segment up to many, each on what the last has left, and the
-survivors' products are computed exactly in integers.
+length n, |q - c|^2 >= n * ((mean_q - mean_c)^2 + (dev_q - dev_c)^2). As n * (mean^2 + dev^2) is the segment's own square, that
+bound is |q|^2 + |c|^2 - 2 * (a . b) with a and b the scaled means and deviations, so a . b bounds the inner product from
+above. Bounds are taken from one segment up to many, each on what the last has left, and the survivors' products
+are computed exactly in integers. What a query must reach is first set over one block for all of them.
 """
 
 from __future__ import annotations
@@ -11,16 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a candidate and of a query block. Memory of a task is about the product of the two in doubles.
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+from corvane.session import materialise
+
+#: Rows of a candidate and of a query block. Candidates travel once a query block, queries once a candidate block.
+CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 4096
+#: Queries of a block that are looked at at once: memory of a task is about this times a candidate block, in doubles.
+TILE = 256
 #: Pairs whose exact products are computed at once.
 EXACT_PAIRS = 1 << 16
-BLOCK = "dim int, n int, ids binary, vectors binary"
+BLOCK = "dim int, n int, width int, ids binary, vectors binary"
 HITS = "query_id long, vec_id long, score long"
 
 
-def _packed(part: str, keep: int | None):
-    """Pack a block's vectors into one row. ``keep``: of equal vectors only so many smallest ids matter."""
+def _needed(vectors, ids, k: int):
+    """Rows that may be among the k best of some query: of equal vectors only few matter, whatever id the query excludes.
+
+    Rows are in order of their ids. Of one id and vector k rows matter. Of equal vectors a row matters if fewer than k before it are left
+    when the id that most of them have is excluded.
+    """
+    import numpy as np
+    import pandas as pd
+
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    rows = pd.DataFrame({"group": group.ravel(), "id": ids, "at": np.arange(len(ids))})
+    rows = rows[rows.groupby(["group", "id"]).cumcount() < k]
+    run = rows.groupby(["group", "id"]).cumcount() + 1
+    longest = run.groupby(rows["group"]).cummax().groupby(rows["group"]).shift(fill_value=0)
+    return rows["at"].to_numpy()[(rows.groupby("group").cumcount() - longest < k).to_numpy()]
+
+
+def _packed(part: str, k: int | None):
+    """Pack a block's vectors into one row, in the narrowest integers; with ``k`` only those that matter to a search."""
 
     def run(pdf):
         import numpy as np
@@ -28,11 +50,12 @@ def _packed(part: str, keep: int | None):
 
         pdf = pdf.sort_values("vec_id", kind="stable")
         vectors, ids = np.stack(pdf["v"].to_numpy()).astype(np.int64), pdf["vec_id"].to_numpy(np.int64)
-        if keep:
-            _, group = np.unique(vectors, axis=0, return_inverse=True)
-            nth = pd.Series(group.ravel()).groupby(group.ravel()).cumcount().to_numpy()
-            vectors, ids = vectors[nth < keep], ids[nth < keep]
-        row = {"block": int(pdf["block"].iloc[0]), "dim": vectors.shape[1], "n": len(ids), "ids": ids.tobytes(), "vectors": vectors.tobytes()}
+        if k:
+            kept = _needed(vectors, ids, k)
+            vectors, ids = vectors[kept], ids[kept]
+        width = next(w for w in (2, 4, 8) if w == 8 or np.abs(vectors).max(initial=0) < 1 << (8 * w - 1))
+        packed = vectors.astype(f"<i{width}").tobytes()
+        row = {"block": int(pdf["block"].iloc[0]), "dim": vectors.shape[1], "n": len(ids), "width": width, "ids": ids.tobytes(), "vectors": packed}
         return pd.DataFrame([row]).rename(columns={c: f"{part}_{c}" for c in row if c != "dim"})
 
     return run
@@ -47,13 +70,12 @@ def _statistics(x, segments: int):
     return np.stack([s * p.mean(axis=1) for s, p in zip(scale, parts)] + [s * p.std(axis=1) for s, p in zip(scale, parts)], axis=1)
 
 
-def search_block(query_ids, queries, ids, vectors, k: int):
-    """(query row, candidate row, score) of all pairs that may be among a query's k best in this block."""
+def search_block(query_ids, queries, ids, vectors, k: int, floor=None):
+    """(query row, candidate row, score) of all pairs that may be among a query's k best; ``floor`` is what a query's must reach."""
     import numpy as np
 
-    dim = vectors.shape[1]
-    own = query_ids[:, None] == ids[None, :]
-    q_len, c_len = (queries.astype(np.float64) ** 2).sum(axis=1), (vectors.astype(np.float64) ** 2).sum(axis=1)
+    dim, n = vectors.shape[1], min(k, len(ids))
+    of_candidates: dict = {}
 
     def exact(qi, ci):
         out = np.empty(len(qi), np.int64)
@@ -62,33 +84,84 @@ def search_block(query_ids, queries, ids, vectors, k: int):
             out[s] = np.einsum("ij,ij->i", queries[qi[s]], vectors[ci[s]])
         return out
 
-    def bounds(segments, qi=None, ci=None):
-        a, b = _statistics(queries, segments), _statistics(vectors, segments)
-        if qi is None:
-            gap = q_len[:, None] + c_len[None, :] - 2 * (a @ b.T)
-            return (q_len[:, None] + c_len[None, :] - gap) / 2
-        near = np.concatenate([np.einsum("ij,ij->i", a[qi[s : s + EXACT_PAIRS]], b[ci[s : s + EXACT_PAIRS]]) for s in range(0, len(qi), EXACT_PAIRS)])
-        gap = q_len[qi] + c_len[ci] - 2 * near
-        return (q_len[qi] + c_len[ci] - gap) / 2
-
-    slack = 1e-9 * (q_len.max() + c_len.max()) + 1e-6
-    upper = bounds(1)
-    upper[own] = -np.inf
-    n = min(k, len(ids))
-    # the most promising by the coarsest bound set each query's first threshold
-    rows = np.repeat(np.arange(len(queries)), n)
-    cols = np.argpartition(-upper, n - 1, axis=1)[:, :n].ravel()
-    seeds = np.where(own[rows, cols], np.iinfo(np.int64).min, exact(rows, cols)).reshape(len(queries), n)
-    floor = seeds.min(axis=1).astype(np.float64) if n == k else np.full(len(queries), -np.inf)
-    qi, ci = np.nonzero((upper >= floor[:, None] - slack) & ~own)
-    segments = 4
-    while segments <= dim // 2 and len(qi):
-        dense = 4 * len(qi) > upper.size
-        near = bounds(segments)[qi, ci] if dense else bounds(segments, qi, ci)
-        ok = near >= floor[qi] - slack
-        qi, ci = qi[ok], ci[ok]
-        segments *= 4
-    return qi, ci, exact(qi, ci)
+    def statistics(rows, segments):
+        if segments not in of_candidates:
+            of_candidates[segments] = _statistics(vectors, segments)
+        return _statistics(queries[rows], segments), of_candidates[segments]
+
+    largest = np.abs(vectors).max(initial=0).astype(np.float64)
+    found = []
+    for first in range(0, len(queries), TILE):
+        tile = np.arange(first, min(first + TILE, len(queries)))
+        own = query_ids[tile, None] == ids[None, :]
+        # rounding of a bound: far below one part in 2**40 of the largest it can be
+        slack = 1e-9 * dim * largest * np.abs(queries[tile]).max(initial=0) + 1e-6
+        a, b = statistics(tile, 1)
+        upper = a @ b.T
+        upper[own] = -np.inf
+        # the most promising by the coarsest bound set each query's first threshold
+        rows = np.repeat(np.arange(len(tile)), n)
+        cols = np.argpartition(-upper, n - 1, axis=1)[:, :n].ravel()
+        seeds = np.where(own[rows, cols], np.iinfo(np.int64).min, exact(tile[rows], cols)).reshape(len(tile), n)
+        least = seeds.min(axis=1).astype(np.float64) if n == k else np.full(len(tile), -np.inf)
+        if floor is not None:
+            least = np.maximum(least, floor[tile])
+        qi, ci = np.nonzero((upper >= least[:, None] - slack) & ~own)
+        segments = 4
+        while segments <= dim // 2 and len(qi):
+            a, b = statistics(tile, segments)
+            if 4 * len(qi) > upper.size:
+                near = (a @ b.T)[qi, ci]
+            else:
+                parts = [slice(at, at + EXACT_PAIRS) for at in range(0, len(qi), EXACT_PAIRS)]
+                near = np.concatenate([np.einsum("ij,ij->i", a[qi[x]], b[ci[x]]) for x in parts])
+            ok = near >= least[qi] - slack
+            qi, ci = qi[ok], ci[ok]
+            segments *= 4
+        found.append((tile[qi], ci, exact(tile[qi], ci)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _loaded(r: dict, part: str):
+    """Ids and vectors of a packed block."""
+    import numpy as np
+
+    ids = np.frombuffer(r[f"{part}_ids"], np.int64)
+    return ids, np.frombuffer(r[f"{part}_vectors"], f"<i{r[f'{part}_width']}").astype(np.int64).reshape(len(ids), -1)
+
+
+def _best(query_ids, queries, ids, vectors, k: int, floor=None):
+    """The pairs of ``search_block`` that are among a query's k best in this block, best first."""
+    import numpy as np
+
+    qi, ci, score = search_block(query_ids, queries, ids, vectors, k, floor)
+    order = np.lexsort((ids[ci], -score, qi))
+    qi, ci, score = qi[order], ci[order], score[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") < k
+    return qi[best], ci[best], score[best]
+
+
+def _floors(k: int):
+    """Each query's k-th best score in one block, which its k best of all must reach."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                query_ids, queries = _loaded(r, "q")
+                floor = np.full(len(query_ids), -np.inf)
+                if r["c_ids"]:
+                    qi, _, score = _best(query_ids, queries, *_loaded(r, "c"), k)
+                    last = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left") == k - 1
+                    floor[qi[last]] = score[last]
+                found.append(floor.tobytes())
+            kept = [c for c in b.schema.names if not c.startswith("c_")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(found, pa.binary())], names=[*kept, "q_floor"])
+
+    return run
 
 
 def _search(k: int):
@@ -98,16 +171,9 @@ def _search(k: int):
 
         for b in batches:
             for r in b.to_pylist():
-                load = lambda name, r=r: np.frombuffer(r[name], np.int64)
-                query_ids, ids = load("q_ids"), load("c_ids")
-                queries, vectors = load("q_vectors").reshape(len(query_ids), -1), load("c_vectors").reshape(len(ids), -1)
-                qi, ci, score = search_block(query_ids, queries, ids, vectors, k)
-                order = np.lexsort((ids[ci], -score, qi))
-                qi, ci, score = qi[order], ci[order], score[order]
-                nth = np.arange(len(qi)) - np.searchsorted(qi, qi, side="left")
-                best = nth < k
-                arrays = [pa.array(query_ids[qi[best]]), pa.array(ids[ci[best]]), pa.array(score[best])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "vec_id", "score"])
+                (query_ids, queries), (ids, vectors) = _loaded(r, "q"), _loaded(r, "c")
+                qi, ci, score = _best(query_ids, queries, ids, vectors, k, np.frombuffer(r["q_floor"], np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi]), pa.array(ids[ci]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -121,12 +187,12 @@ def integer_vectors(embeddings: DataFrame, scale: int = 1024, id_col: str = "vec
     return rows.select("vec_id", F.transform(v, lambda x: F.floor(scale * x).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, part: str, size: int, keep: int | None) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, part: str, size: int, k: int | None) -> tuple[DataFrame, int]:
     n = max(1, -(-rows.count() // size))
     schema = ", ".join(f"{part}_{c}" if not c.startswith("dim") else c for c in (f"block int, {BLOCK}").split(", "))
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int").alias("block")
     grouped = rows.select("vec_id", "v", F.size("v").alias("dim"), block).groupBy("block", "dim")
-    return grouped.applyInPandas(_packed(part, keep), schema), n
+    return materialise(grouped.applyInPandas(_packed(part, k), schema), f"{part}-blocks"), n
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -137,13 +203,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     must keep inner products within 64 bits.
 
     Scale: the stated query set meets all vectors in blocks, keyed by the pair of blocks, so tasks are even and of
-    bounded memory whatever the data; a vector with very many copies is cut to the k + 1 smallest ids a block.
+    bounded memory whatever the data; blocks are packed once and written. A vector with very many copies is cut in each block to the
+    rows that can matter, at most 2k. Rows of one id are in one block: an id with very many different vectors is one block row.
     """
     asked, n_asked = _blocks(queries.dropDuplicates(["vec_id", "v"]), "q", QUERY_BLOCK, None)
-    held, n_held = _blocks(vectors, "c", CANDIDATE_BLOCK, k + 1)
+    held, n_held = _blocks(vectors, "c", CANDIDATE_BLOCK, k)
+    one = held.where("c_block = 0").select("dim", *[c for c in held.columns if c.startswith("c_") and c != "c_block"])
+    floored = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema) + ", q_floor binary"
+    met = asked.join(one, "dim", "left").select(*asked.columns, *[c for c in one.columns if c != "dim"])
+    asked = materialise(met.mapInArrow(_floors(k), floored), "q-floors")
     left = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     right = asked.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1))))
-    pairs = left.join(right, ["q_block", "c_block", "dim"]).select("q_ids", "q_vectors", "c_ids", "c_vectors")
+    pairs = left.join(right, ["q_block", "c_block", "dim"]).drop("q_block", "c_block", "q_n", "c_n")
     hits = pairs.mapInArrow(_search(k), HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -93,6 +93,30 @@ def test_top_k_of_few(spark):
     assert topk_search.top_k(ints.limit(0), ints.limit(0)).isEmpty()
 
 
+def plain_top_k(rows, k):
+    out = []
+    for q in sorted({i for i, _ in rows if i % 100 == 0}):
+        for asked in {tuple(v) for i, v in rows if i == q}:
+            scores = sorted((-int(np.dot(asked, v)), i) for i, v in rows if i != q and len(v) == len(asked))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    return out
+
+
+@pytest.mark.parametrize("blocks", [(8192, 4096, 256), (7, 3, 2)])
+def test_top_k_of_repeated_ids(spark, monkeypatch, blocks):
+    for name, n in zip(("CANDIDATE_BLOCK", "QUERY_BLOCK", "TILE"), blocks):
+        monkeypatch.setattr(topk_search, name, n)
+    rng = np.random.default_rng(3)
+    same, far = [3, 4, 5, 6, 7, 8, 9, 10], [1 << 40] * 8
+    rows = [(100, same)] * 12 + [(200, same)] + [(201, same)] * 3 + [(300, far), (301, [5])]  # many rows of one id and vector
+    rows += [(int(i), [int(x) for x in rng.integers(-3, 4, 8)]) for i in rng.integers(202, 260, 60)]
+    rows += [(int(i), same) for i in rng.integers(250, 270, 30)]
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    for k in (1, 4, 10):
+        got = topk_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k)
+        expect(got, ["query_id", "rank", "vec_id", "score"], plain_top_k(rows, k))
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     q, c = rng.integers(-2000, 2000, (5, 24)), rng.integers(-2000, 2000, (40, 24))
