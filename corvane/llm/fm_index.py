@@ -61,12 +61,11 @@ class FMIndex:
         mask[ends] = False
         text[mask] = np.concatenate(passages)
         order, same = self._sorted(text, ends)
-        # interval of suffixes that share ``depth`` words, and the least weight in it
+        # intervals of suffixes that share ``depth`` words: a bit where one begins, its bounds and the least weight in it
         first = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1
-        self.lo, self.hi = first[group], np.append(first[1:], n)[group]
+        self.begins, self.bounds = BitRank(~same), np.append(first, n).astype(np.int32)
         owner = np.repeat(np.arange(len(passages)), lengths + 1)
-        self.least = np.minimum.reduceat(weights[owner[order]], first)[group]
+        self.least = np.minimum.reduceat(weights[owner[order]], first)
         bwt = text[order - 1]
         self.tree = WaveletTree(bwt)
         counts = np.bincount(text, minlength=int(text.max(initial=0)) + 1)
@@ -113,7 +112,7 @@ class FMIndex:
         return shift + self.tree.place(word, lo), shift + self.tree.place(word, hi)
 
     def matches(self, passages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each window of ``depth`` words the least weight of a passage that holds it."""
+        """For each window of ``depth`` words the least weight of an indexed passage that holds it. Each window is in some passage."""
         lengths = np.array([len(p) for p in passages])
         out = [np.zeros(max(0, m - self.depth + 1), np.int64) for m in lengths.tolist()]
         live = np.flatnonzero(lengths >= self.depth)
@@ -136,8 +135,8 @@ class FMIndex:
             lo, hi = self._front(table[:m, step], lo[:m], hi[:m])
             if step >= self.depth - 1:
                 ok = hi > lo
-                at = np.minimum(lo, self.n - 1)
-                found[:m, step - self.depth + 1] = np.where(ok, self.least[at], np.iinfo(np.int64).max)
-                lo, hi = np.where(ok, self.lo[at], 0), np.where(ok, self.hi[at], 0)
+                group = self.begins.ones(np.minimum(lo, self.n - 1) + 1) - 1
+                found[:m, step - self.depth + 1] = np.where(ok, self.least[group], np.iinfo(np.int64).max)
+                lo, hi = np.where(ok, self.bounds[group], 0), np.where(ok, self.bounds[group + 1], 0)
         for row, p in enumerate(live.tolist()):
             out[p] = found[row, : len(out[p])][::-1]

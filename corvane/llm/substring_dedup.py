@@ -17,9 +17,11 @@ from corvane.session import materialise
 SHARD_BYTES = 500_000
 #: Different passages, and bytes of them, beyond which an anchor is settled by window.
 WIDE_ANCHOR, WIDE_BYTES = 400, 1_000_000
+#: A window of wide anchors that has over one HOT_SHARE-th of all their rows is broadcast; so fewer than HOT_SHARE are.
+HOT_SHARE = 1000
 #: Rows that a task holds before it hands them on.
 OUT_ROWS = 20_000
-PASSAGE = "key long, doc_id long, start int, anchor long, digest binary, passage binary"
+PASSAGE = "key binary, doc_id long, start int, anchor long, digest binary, passage binary"
 SPANS = "array<struct<at:int,n:int,first_doc:bigint>>"
 FOUND = f"anchor long, digest binary, spans {SPANS}"
 
@@ -58,7 +60,7 @@ def _passages(window: int):
 
         from corvane.llm.wordwindows import Words, anchors, runs
 
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         names = ["key", "doc_id", "start", "anchor", "digest", "passage"]
 
         def batch(out):
@@ -133,8 +135,28 @@ def _windows(window: int):
     return run
 
 
+def _by_window(wide: DataFrame, window: int) -> DataFrame:
+    """(anchor, digest, spans) of passages of wide anchors, settled window by window by a grouped minimum over 128-bit digests.
+
+    A window that one passage alone has is settled by its group. Those that several have go back to them by a join, in which the
+    fewer than ``HOT_SHARE`` that have over a ``HOT_SHARE``-th of all rows each are broadcast.
+    """
+    each = materialise(wide.mapInArrow(_windows(window), "anchor long, digest binary, at int, words binary, first_doc long"), "wide")
+    place = F.struct("anchor", "digest", "at")
+    least = each.groupBy("words").agg(F.min("first_doc").alias("least_doc"), F.count("*").alias("n"), F.min(place).alias("place"))
+    least = materialise(least, "windows")
+    alone = least.where("n = 1").select("place.*", F.col("least_doc").alias("first_doc"))
+    shared = least.where("n > 1").select("words", F.col("least_doc").alias("first_doc"), "n")
+    bound = each.count() / HOT_SHARE
+    hot = F.broadcast(shared.where(F.col("n") > bound).drop("n"))
+    rows = each.drop("first_doc")
+    met = rows.join(hot, "words").unionByName(rows.join(hot, "words", "left_anti").join(shared.where(F.col("n") <= bound).drop("n"), "words"))
+    settled = alone.unionByName(met.drop("words"))
+    return settled.groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first_doc")).alias("spans"))
+
+
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """(key, spans): runs of ``n`` windows from ``start`` that a smaller doc_id holds, of (key, doc_id, text)."""
+    """(doc_id, key, spans): runs of ``n`` windows from ``start`` that a smaller doc_id holds, of (doc_id, key, text)."""
     found = materialise(rows.select("doc_id", "text").mapInArrow(_anchor_rows(window), "anchor long, doc_id long"), "anchors")
     ends = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     shared = found.join(ends.where("lo < hi").select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
@@ -144,26 +166,18 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     size = F.octet_length("passage").cast("long")
     per_anchor = different.groupBy("anchor").agg(F.count("*").alias("ways"), F.sum(size).alias("bytes"))
     is_wide = (F.col("ways") > 1) & ((F.col("ways") > WIDE_ANCHOR) | (F.col("bytes") > WIDE_BYTES))
-    of_anchor = materialise(per_anchor.select("anchor", "ways", is_wide.alias("wide"), "bytes"), "ways")
-    totals = of_anchor.where("ways > 1 AND NOT wide").agg(F.sum("bytes")).first()[0] or 0
+    of_anchor = materialise(per_anchor.select("anchor", is_wide.alias("wide"), "bytes"), "ways")
+    totals = of_anchor.where("NOT wide").agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, totals // SHARD_BYTES)
     passage = different.join(of_anchor.drop("bytes"), "anchor")
-    # a passage that is the only one of its anchor: every copy of it begins with the first document's
-    n = (F.size(F.split(F.col("passage").cast("string"), " ")) - (window - 1)).alias("n")
-    alone = passage.where("ways = 1").select("anchor", "digest", F.array(F.struct(F.lit(0).alias("at"), n, "first_doc")).alias("spans"))
-    narrow = passage.where("ways > 1 AND NOT wide").select("anchor", "digest", "first_doc", "passage")
+    narrow = passage.where("NOT wide").select("anchor", "digest", "first_doc", "passage")
     searched = narrow.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInPandas(_search_shard(window), FOUND)
-    wide = passage.where("wide").select("anchor", "digest", "first_doc", "passage")
-    each = materialise(wide.mapInArrow(_windows(window), "anchor long, digest binary, at int, words binary, first_doc long"), "wide")
-    least = each.groupBy("words").agg(F.min("first_doc").alias("first_doc"))
-    settled = each.drop("first_doc").join(least, "words").groupBy("anchor", "digest").agg(
-        F.collect_list(F.struct("at", F.lit(1).alias("n"), "first_doc")).alias("spans")
-    )
-    verdicts = alone.unionByName(searched).unionByName(settled)
+    settled = _by_window(passage.where("wide").select("anchor", "digest", "first_doc", "passage"), window)
+    verdicts = searched.unionByName(settled)
     placed = passages.select("key", "doc_id", "start", "anchor", "digest").join(verdicts, ["anchor", "digest"])
     lost = F.filter("spans", lambda x: x["first_doc"] < F.col("doc_id"))
     spans = F.transform(lost, lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["n"].alias("n")))
-    return placed.where(F.size(lost) > 0).select("key", spans.alias("spans"))
+    return placed.where(F.size(lost) > 0).select("doc_id", "key", spans.alias("spans"))
 
 
 def _without(window: int):
@@ -201,7 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     window by window, by a grouped minimum over digests, so no shard grows with it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows, window).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = rows.withColumn("key", F.unhex(F.md5("text")))
+    spans = repeated_spans(rows, window).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
-    return rows.join(spans, "key", "left").mapInArrow(_without(window), out)
+    return rows.join(spans, ["doc_id", "key"], "left").mapInArrow(_without(window), out)
