@@ -9,6 +9,10 @@ import numpy as np
 STREAM_CELLS = 1 << 19
 
 
+#: For each position in a word the bits below it.
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class BitRank:
     """A packed bit vector with the number of ones before any position."""
 
@@ -20,8 +24,7 @@ class BitRank:
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         word = i >> 6
-        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[i & 63])
 
 
 class WaveletTree:
@@ -80,20 +83,31 @@ class FMIndex:
         n = len(text)
         rank = text + len(ends)
         rank[ends] = np.arange(len(ends))
+        rank = np.unique(rank, return_inverse=True)[1]
+        order, open_ = np.argsort(rank, kind="stable"), np.ones(n, bool)
         by_power = []
         k = 1
         while True:
             by_power.append(rank)
-            ahead = np.zeros(n, np.int64)
-            ahead[:-k] = rank[k:] + 1
-            key = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(key, kind="stable")
-            ordered = key[order]
-            new = np.empty(n, np.int64)
-            new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-            rank = new
+            # only suffixes that share a rank are sorted on, each within the places of its rank
+            places = np.flatnonzero(open_)
+            suffixes = order[places]
+            ahead = np.where(suffixes + k < n, rank[np.minimum(suffixes + k, n - 1)] + 1, 0)
+            key = rank[suffixes] * (n + 2) + ahead
+            within = np.argsort(key, kind="stable")
+            suffixes, key = suffixes[within], key[within]
+            order[places] = suffixes
+            differs = np.concatenate(([True], key[1:] != key[:-1]))
+            # the rank of a group is the place of its first suffix
+            rank = rank.copy()
+            rank[suffixes] = np.maximum.accumulate(np.where(differs, places, 0))
+            single = differs & np.append(differs[1:], True)
+            open_[places[single]] = False
             k *= 2
-            if k >= n or (int(rank.max()) == n - 1 and k >= self.depth):
+            if k >= n or (k >= self.depth and not open_.any()):
+                break
+            if not open_.any():
+                by_power += [rank] * (max(0, (self.depth // k).bit_length() - 1))
                 break
         by_power.append(rank)
         same = np.ones(n, bool)
@@ -108,8 +122,9 @@ class FMIndex:
         return order, same & (at == self.depth)
 
     def _front(self, word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = self.shift[word]
-        return shift + self.tree.place(word, lo), shift + self.tree.place(word, hi)
+        at = self.tree.place(np.concatenate((word, word)), np.concatenate((lo, hi)))
+        at += np.tile(self.shift[word], 2)
+        return at[: len(word)], at[len(word) :]
 
     def matches(self, passages: list[np.ndarray]) -> list[np.ndarray]:
         """For each window of ``depth`` words the least weight of an indexed passage that holds it. Each window is in some passage."""

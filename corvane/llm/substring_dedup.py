@@ -91,14 +91,18 @@ def _passages(window: int):
 
 def _search_shard(window: int):
     def run(pdf):
+        from itertools import chain
+
         import numpy as np
         import pandas as pd
 
         from corvane.llm.fm_index import FMIndex
         from corvane.llm.wordwindows import runs
 
-        ids: dict[bytes, int] = {}
-        coded = [np.array([ids.setdefault(w, len(ids) + 1) for w in bytes(p).split(b" ")], np.int64) for p in pdf["passage"]]
+        words = [bytes(p).split(b" ") for p in pdf["passage"]]
+        ids = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)), 1)}
+        every = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64)
+        coded = np.split(every, np.cumsum([len(w) for w in words])[:-1])
         index = FMIndex(coded, pdf["first_doc"].to_numpy(np.int64), window)
         spans = []
         for first in index.matches(coded):
