@@ -2,18 +2,24 @@
 
 The index is a log of references: (line key, document, +1 or -1). Its sums are the exact counts. Each shard of the
 key space also has a cuckoo filter of the keys it holds, so a batch's keys that no document has used before
-are told apart without reading the log, and a document's deletion takes keys out again. Every state is
-a new version next to the last, so an insertion or a deletion can be undone.
+are told apart without reading the log, and a document's deletion takes keys out again. Every change adds an entry to a
+manifest in the index's folder, next to the last, so an index can be opened again anywhere, and a change undone.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm.skew import join_counted
+from corvane.session import materialise
+
 MIN_CHARS, MIN_DOCS = 20, 3
 LOG = "key binary, doc_id long, sign int"
 FILTERS = "shard int, filter binary"
+ENTRY = "parent int, shards int, min_chars int, logs array<string>, filters string"
 PROBED = "shard int, key binary, maybe boolean, filter binary"
 
 
@@ -52,25 +58,27 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_i
     return _rows(docs, id_col, text_col).mapInArrow(_references(min_chars), "key binary, doc_id long")
 
 
-def _hash64(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little")
+def _hashes(keys):
+    import numpy as np
+
+    return np.frombuffer(b"".join(bytes(k)[:8] for k in keys), "<u8")
+
+
+def _loaded(right):
+    from corvane.llm.cuckoo import CuckooFilter
+
+    return CuckooFilter.from_bytes(bytes(right["filter"].iloc[0]) if len(right) else None)
 
 
 def _probe_and_add(left, right):
     """One shard: keys of a batch, each with whether the filter may know it, and the grown filter."""
     import pandas as pd
 
-    from corvane.llm.cuckoo import CuckooFilter
-
-    shard = int((left if len(left) else right)["shard"].iloc[0])
-    known = CuckooFilter.from_bytes(bytes(right["filter"].iloc[0]) if len(right) else None)
-    hashes = [_hash64(k) for k in left["key"]]
-    seen = [known.has(h) for h in hashes]
+    shard, known, hashes = int((left if len(left) else right)["shard"].iloc[0]), _loaded(right), _hashes(left["key"])
+    seen = known.has(hashes)
     known.reserve(int(1.3 * len(hashes)))
-    for h, s in zip(hashes, seen):
-        # a key that only looks known is added by the exact check that follows
-        if not s:
-            known.add(h)
+    # a key that only looks known is added by the exact check that follows
+    known.add(hashes[~seen])
     out = pd.DataFrame({"shard": shard, "key": left["key"], "maybe": seen, "filter": None})
     return pd.concat([out, pd.DataFrame({"shard": [shard], "key": [None], "maybe": [False], "filter": [known.to_bytes()]})])
 
@@ -79,28 +87,44 @@ def _change(add: bool):
     def run(left, right):
         import pandas as pd
 
-        from corvane.llm.cuckoo import CuckooFilter
-
-        shard = int((left if len(left) else right)["shard"].iloc[0])
-        known = CuckooFilter.from_bytes(bytes(right["filter"].iloc[0]) if len(right) else None)
-        for k in left["key"]:
-            (known.add if add else known.drop)(_hash64(k))
+        shard, known = int((left if len(left) else right)["shard"].iloc[0]), _loaded(right)
+        (known.add if add else known.drop)(_hashes(left["key"]))
         return pd.DataFrame({"shard": [shard], "filter": [known.to_bytes()]})
 
     return run
 
 
 class LineIndex:
-    """The index in ``path``, a folder that driver and executors share.
+    """The index in ``path``, a folder that driver and executors share: the one that is there, or a new one.
 
     ``shards`` is fixed when the index is made: about as many as keep a shard's distinct keys under a hundred
     thousand or so, since a shard's filter (a few bytes a key) is one row. Keys are spread by their digest, and only
     distinct keys are grouped by shard, so a line that every document holds is one key there.
+
+    The folder holds ``manifest/N``, one row an entry, and the files that entries name. The highest entry counts. A change writes its files under names
+    of its own and then its entry, which fails if another change was faster; files without an entry are not part
+    of the index, so a change that is broken off leaves it as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 256, min_chars: int = MIN_CHARS):
-        self.spark, self.path, self.shards, self.min_chars = spark, path.rstrip("/"), shards, min_chars
-        self.version, self._logs = 0, []
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version, self.parent, self._logs, self._filters = self._last(), 0, [], None
+        self.shards, self.min_chars = shards, min_chars
+        if self.version:
+            self._enter(self._entry(self.version))
+
+    def _last(self) -> int:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [f.getPath() for f in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(at, "*/_SUCCESS")) or ()]
+        return max((int(p.getParent().getName()) for p in done), default=0)
+
+    def _entry(self, version: int):
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/manifest/{version}").first()
+
+    def _enter(self, entry) -> None:
+        self.parent, self.shards, self.min_chars = entry.parent, entry.shards, entry.min_chars
+        self._logs, self._filters = list(entry.logs), entry.filters
 
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
@@ -108,9 +132,12 @@ class LineIndex:
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _fresh(self, label: str) -> str:
+        return f"{self.path}/data/{label}-{uuid.uuid4().hex}"
+
     def filters(self) -> DataFrame:
         """(shard, filter) of the present version."""
-        return self._read([f"{self.path}/v{self.version}/filters"] if self.version else [], FILTERS)
+        return self._read([self._filters] if self._filters else [], FILTERS)
 
     def present(self) -> DataFrame:
         """(key, doc_id): the references that hold now."""
@@ -121,30 +148,31 @@ class LineIndex:
         """(key, n_docs, last_doc): the exact reference counts."""
         return self.present().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
-    def _commit(self, log: DataFrame | None, filters: DataFrame) -> None:
-        to = f"{self.path}/v{self.version + 1}"
-        filters.write.parquet(f"{to}/filters")
-        if log is not None:
-            log.write.parquet(f"{to}/log")
-            self._logs.append(f"{to}/log")
+    def _commit(self, log: DataFrame, filters: DataFrame) -> None:
+        to_log, to_filters = self._fresh("log"), self._fresh("filters")
+        filters.write.parquet(to_filters)
+        log.write.parquet(to_log)
+        self._record(self.version, [*self._logs, to_log], to_filters)
+
+    def _record(self, parent: int, logs: list[str], filters: str | None) -> None:
+        entry = self.spark.createDataFrame([(parent, self.shards, self.min_chars, logs, filters)], ENTRY)
+        entry.coalesce(1).write.parquet(f"{self.path}/manifest/{self.version + 1}")
         self.version += 1
+        self.parent, self._logs, self._filters = parent, logs, filters
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add documents. A document that is there already adds only lines that it didn't have."""
-        to = f"{self.path}/batch{self.version + 1}"
-        references(docs, self.min_chars, id_col, text_col).write.parquet(f"{to}/refs")
-        batch = self._read([f"{to}/refs"], "key binary, doc_id long")
+        refs, probes = self._fresh("refs"), self._fresh("probed")
+        references(docs, self.min_chars, id_col, text_col).write.parquet(refs)
+        batch = self._read([refs], "key binary, doc_id long")
         keys = batch.select("key").distinct().withColumn("shard", self._shard())
-        probed = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(
-            _probe_and_add, PROBED
-        )
-        probed.write.parquet(f"{to}/probed")
+        keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_probe_and_add, PROBED).write.parquet(probes)
         # two readings, so that the columns of one are not those of the other where they meet below
-        filters = self._read([f"{to}/probed"], PROBED).where("filter IS NOT NULL").select("shard", "filter")
-        maybe = self._read([f"{to}/probed"], PROBED).where("maybe").select("shard", "key")
+        filters = self._read([probes], PROBED).where("filter IS NOT NULL").select("shard", "filter")
+        maybe = self._read([probes], PROBED).where("maybe").select("shard", "key")
         new = batch.distinct()
-        if self.version and not maybe.isEmpty():
-            old = self.present().join(maybe.select("key"), "key", "left_semi")
+        if self._logs and not maybe.isEmpty():
+            old = materialise(self.present().join(maybe.select("key"), "key", "left_semi"), "known-lines")
             new = new.join(old, ["key", "doc_id"], "left_anti")
             # keys that a filter took for others' are known now for themselves
             wrong = maybe.join(old.select("key").distinct(), "key", "left_anti")
@@ -153,30 +181,27 @@ class LineIndex:
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take documents (a column ``doc_id``) out; keys that nothing refers to any more leave the filters."""
-        gone = self.present().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("key", "doc_id")
-        to = f"{self.path}/batch{self.version + 1}/gone"
-        gone.write.parquet(to)
-        gone = self._read([to], "key binary, doc_id long")
+        gone = materialise(self.present().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("key", "doc_id"), "gone-lines")
         touched = gone.groupBy("key").agg(F.count("*").alias("minus"))
         empty = touched.join(self.counts(), "key").where("n_docs = minus").select("key").withColumn("shard", self._shard())
         filters = empty.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_change(add=False), FILTERS)
         self._commit(gone.withColumn("sign", F.lit(-1)), filters)
 
     def undo(self) -> None:
-        """Back to the version before the last change."""
-        if not self.version:
+        """Back to the state before the last change that isn't undone; that is a new entry, so nothing is overwritten."""
+        if not self._logs:
             raise ValueError("nothing to undo")
-        self._logs = [p for p in self._logs if p != f"{self.path}/v{self.version}/log"]
-        # the undone version is overwritten, not reused: changes to come are written beside it
-        self.version -= 1
-        self.path, old = f"{self.path}-undone", self.path
-        if self.version:
-            self._read([f"{old}/v{self.version}/filters"], FILTERS).write.parquet(f"{self.path}/v{self.version}/filters")
+        if not self.parent:
+            self._record(0, [], None)
+            return
+        before = self._entry(self.parent)
+        self._record(before.parent, list(before.logs), before.filters)
 
     def dropped_keys(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
-        common = self.counts().where(F.col("n_docs") >= min_docs)
-        lost = self.present().join(common, "key").where(F.col("doc_id") < F.col("last_doc"))
+        common = materialise(self.counts().where(F.col("n_docs") >= min_docs), "common-lines")
+        present = self.present()
+        lost = join_counted(present, common, "key", "n_docs", present.count()).where(F.col("doc_id") < F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def clean(
@@ -213,10 +238,11 @@ def _drop_lines(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_lines", "n_dropped", "kept_text", *carried])
 
 
-def _insert_all(docs: DataFrame, index_dir: str, min_chars: int, id_col: str, text_col: str) -> LineIndex:
+def _insert_all(docs: DataFrame, index_dir: str, min_chars: int, id_col: str, text_col: str, batches: int) -> LineIndex:
     held = docs.where(F.col(id_col).isNotNull())
     index = LineIndex(docs.sparkSession, index_dir, max(64, held.count() // 10_000), min_chars)
-    index.insert(held, id_col, text_col)
+    for i in range(batches):
+        index.insert(held.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(batches)) == i), id_col, text_col)
     return index
 
 
@@ -227,14 +253,16 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    batches: int = 1,
 ) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, kept_text): ``docs`` inserted into a new index and cleaned by it.
+    """(doc_id, n_lines, n_dropped, kept_text): ``docs`` inserted into the index in ``index_dir`` and cleaned by it.
 
     Null and empty texts are one empty line. A key in ``min_docs`` documents stays in the largest doc_id that holds
     it. Rows that repeat a doc_id count as one document and are all cleaned; rows with a null id keep all their
-    lines. An empty table gives an empty result. Other columns are not looked at.
+    lines. An empty table gives an empty result. Other columns are not looked at. Documents are inserted in ``batches``
+    parts, which changes nothing in the result: what a part has in common with the ones before it is told by the filters.
     """
-    index = _insert_all(docs, index_dir, min_chars, id_col, text_col)
+    index = _insert_all(docs, index_dir, min_chars, id_col, text_col, batches)
     return index.clean(docs, min_docs, id_col, text_col)
 
 
@@ -246,9 +274,10 @@ def clean_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     length_col: str = "n_chars",
+    batches: int = 1,
 ) -> DataFrame:
     """``docs`` with cleaned texts (null for null) and their lengths; every row and column stays."""
-    index = _insert_all(docs, index_dir, min_chars, id_col, text_col)
+    index = _insert_all(docs, index_dir, min_chars, id_col, text_col, batches)
     cleaned = index.clean(docs, min_docs, id_col, text_col, carry=True)
     text = F.when(F.col(f"row.{text_col}").isNotNull(), F.col("kept_text"))
     new = {text_col: text, length_col: F.coalesce(F.length(text), F.lit(0)).cast("long")}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.html_extract import extract_main_text
-from corvane.llm.line_dedup import dedup_lines
+from corvane.llm.line_dedup import LineIndex, dedup_lines
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
 from corvane.llm.quality_rules import apply_policy, ledger
@@ -82,11 +82,20 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that three or more share, as a digest."""
-    cleaned = dedup_lines(table(spark, sf_dir, "documents"), fresh_path(spark, "line-index"))
+    """Every document without the lines that three or more share, as a digest; the index grows in two insertions."""
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"), fresh_path(spark, "line-index"), batches=2)
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def line_index_after_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same once all documents in one language are taken out of the index, which is opened again before and after that."""
+    docs, path = table(spark, sf_dir, "documents"), fresh_path(spark, "line-index")
+    dedup_lines(docs, path, batches=2)
+    LineIndex(spark, path).delete(docs.where("lang = 'fr'"))
+    left = LineIndex(spark, path).clean(docs.where("lang IS NULL OR lang <> 'fr'"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_topk_search": op2_topk_search,
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "line_index_after_retraction": line_index_after_retraction,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -151,3 +161,5 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
+# the same over the documents that stay
+SQL["line_index_after_retraction"] = SQL["op10_line_dedup"].replace("FROM documents)", "FROM documents WHERE lang IS NULL OR lang <> 'fr')")

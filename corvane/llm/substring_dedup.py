@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.skew import join_counted
 from corvane.session import materialise
 
 #: Bytes of passages about which a shard is made.
 SHARD_BYTES = 500_000
 #: Different passages, and bytes of them, beyond which an anchor is settled by window.
 WIDE_ANCHOR, WIDE_BYTES = 400, 1_000_000
-#: A window of wide anchors that has over one HOT_SHARE-th of all their rows is broadcast; so fewer than HOT_SHARE are.
-HOT_SHARE = 1000
 #: Rows that a task holds before it hands them on.
 OUT_ROWS = 20_000
 PASSAGE = "key binary, doc_id long, start int, anchor long, digest binary, passage binary"
@@ -142,8 +141,7 @@ def _windows(window: int):
 def _by_window(wide: DataFrame, window: int) -> DataFrame:
     """(anchor, digest, spans) of passages of wide anchors, settled window by window by a grouped minimum over 128-bit digests.
 
-    A window that one passage alone has is settled by its group. Those that several have go back to them by a join, in which the
-    fewer than ``HOT_SHARE`` that have over a ``HOT_SHARE``-th of all rows each are broadcast.
+    A window that one passage alone has is settled by its group. Those that several have go back to them by a join in which very frequent ones are broadcast.
     """
     each = materialise(wide.mapInArrow(_windows(window), "anchor long, digest binary, at int, words binary, first_doc long"), "wide")
     place = F.struct("anchor", "digest", "at")
@@ -151,10 +149,7 @@ def _by_window(wide: DataFrame, window: int) -> DataFrame:
     least = materialise(least, "windows")
     alone = least.where("n = 1").select("place.*", F.col("least_doc").alias("first_doc"))
     shared = least.where("n > 1").select("words", F.col("least_doc").alias("first_doc"), "n")
-    bound = each.count() / HOT_SHARE
-    hot = F.broadcast(shared.where(F.col("n") > bound).drop("n"))
-    rows = each.drop("first_doc")
-    met = rows.join(hot, "words").unionByName(rows.join(hot, "words", "left_anti").join(shared.where(F.col("n") <= bound).drop("n"), "words"))
+    met = join_counted(each.drop("first_doc"), shared, "words", "n", each.count()).drop("n")
     settled = alone.unionByName(met.drop("words"))
     return settled.groupBy("anchor", "digest").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "first_doc")).alias("spans"))
 

@@ -455,28 +455,77 @@ def test_line_index_changes_and_undo(spark, docs, rows):
     index.delete(spark.createDataFrame([(60,), (27,)], "doc_id long"))
     left = [r for r in rows if r[0] not in (60, 27)]
     expect(index.clean(docs.where("doc_id not in (60, 27)")), LINE_COLUMNS, clean_lines(left))
-    index.undo()
-    expect(index.clean(docs), LINE_COLUMNS, clean_lines(rows))
-    index.delete(docs.select("doc_id"))
-    assert index.present().isEmpty()
+    again = line_dedup.LineIndex(spark, index.path)  # opened by someone else, who needs to know nothing but the folder
+    assert (again.version, again.shards) == (index.version, 4) == (3, 4)
+    expect(again.clean(docs.where("doc_id not in (60, 27)")), LINE_COLUMNS, clean_lines(left))
+    again.undo()
+    expect(again.clean(docs), LINE_COLUMNS, clean_lines(rows))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):  # a change to a state that is not the last one any more
+        index.delete(docs.select("doc_id"))
+    again.delete(docs.select("doc_id"))
+    assert again.present().isEmpty()
+    again.insert(docs)
+    expect(again.clean(docs), LINE_COLUMNS, clean_lines(rows))
+    for _ in range(4):  # both later changes, then the two insertions
+        again.undo()
+    assert again.present().isEmpty()
+    with pytest.raises(ValueError, match="nothing to undo"):
+        line_dedup.LineIndex(spark, index.path).undo()
+
+
+def test_filters_tell_what_is_known(spark, docs):
+    from corvane.llm.cuckoo import CuckooFilter
+
+    index = line_dedup.LineIndex(spark, fresh_path(spark, "lines"), shards=3)
+    held = lambda: {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in index.filters().collect()}
+    keys = index.present().select("key", index._shard().alias("shard"))
     index.insert(docs)
-    expect(index.clean(docs), LINE_COLUMNS, clean_lines(rows))
+    keys = index.present().select("key", index._shard().alias("shard")).distinct().collect()
+    filters = held()
+    assert keys and all(filters[r.shard].has(line_dedup._hashes([r.key])).all() for r in keys)
+    index.delete(docs.select("doc_id"))
+    filters = held()
+    assert not any(filters[r.shard].has(line_dedup._hashes([r.key])).any() for r in keys)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_line_dedup_in_batches(spark, with_null_id, rows, batches):
+    got = line_dedup.dedup_lines(with_null_id, fresh_path(spark, "lines"), batches=batches)
+    expect(got, LINE_COLUMNS, clean_lines([*rows, (None, rows[9][1])]))
+
+
+def test_join_with_frequent_keys(spark, monkeypatch):
+    from corvane.llm import skew
+
+    rows = spark.createDataFrame([(i % 5 if i % 2 else 7, i) for i in range(200)] + [(None, -1), (99, -2)], "k long, v long")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    wanted = by(rows.join(counts, "k"), "k", "v", "n", "most")
+    for share in (1, 4, 1000):
+        monkeypatch.setattr(skew, "HOT_SHARE", share)
+        assert by(skew.join_counted(rows, counts, "k", "n", 202), "k", "v", "n", "most") == wanted
 
 
 def test_cuckoo_filter():
     from corvane.llm.cuckoo import CuckooFilter
 
-    keys = [int(x) for x in np.random.default_rng(4).integers(0, 1 << 63, 5000)]
+    keys = np.unique(np.random.default_rng(4).integers(0, 1 << 63, 5000, np.uint64))
     known = CuckooFilter()
-    for k in keys:
-        known.add(k)
+    for part in np.array_split(keys, 7):
+        known.add(part)
     known = CuckooFilter.from_bytes(known.to_bytes())
-    assert all(map(known.has, keys))
-    others = [int(x) for x in np.random.default_rng(5).integers(0, 1 << 63, 5000)]
-    assert sum(map(known.has, others)) < 50
-    for k in keys[:2500]:
-        assert known.drop(k)
-    assert all(map(known.has, keys[2500:])) and sum(map(known.has, keys[:2500])) < 50
+    assert known.has(keys).all() and len(known.stages) > 1
+    assert known.has(np.random.default_rng(5).integers(0, 1 << 63, 5000, np.uint64)).sum() < 50
+    known.drop(keys[::2])
+    assert known.has(keys[1::2]).all() and known.has(keys[::2]).sum() < 50
+    # keys that share fingerprints and buckets: each holds a slot of its own, as far as there are any
+    alike = np.arange(6, dtype=np.uint64) * np.uint64(1 << 40)
+    known = CuckooFilter()
+    known.reserve(64)
+    known.add(alike)
+    known.drop(alike[:3])
+    assert known.has(alike[3:]).all()
+    known.drop(alike[3:])
+    assert not known.has(alike).any()
 
 
 # all
