@@ -60,6 +60,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base kinds of secrets in every document, which SQL can say too."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without windows of 50 words that an earlier one holds, as a digest."""
     kept = dedup_substrings(table(spark, sf_dir, "documents"), window=50)
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "secret_counts": secret_counts,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
@@ -113,6 +119,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+# letters in either case, ASCII alone
+_NAMES = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 SQL: dict[str, str] = {
     "op4_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
@@ -130,6 +140,10 @@ SQL: dict[str, str] = {
             + 8 * (2 * n_dup_lines > n_word_lines)::INT + 16 * (2 * n_upper > word_chars)::INT
             + 32 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT AS BIGINT) AS failed FROM n)
         SELECT *, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f""",
+    "secret_counts": rf"""
+        SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+            CAST(len(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]{{16,}}')) AS BIGINT) AS n_access,
+            CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{{24,}}')) AS BIGINT) AS n_hex FROM documents""",
     "op6_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS w FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),

@@ -22,6 +22,10 @@ ENTROPY_KIND = "entropy"
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: Items that a fold appends to one result.
+BLOCK = 128
+#: Counts that one number holds, five bits each.
+PACKED = 12
 
 
 @dataclass(frozen=True)
@@ -44,113 +48,171 @@ CLASSES = (
     CharClass("alnum", r"^[0-9A-Za-z]+$", _DIGITS + _LOWER + _UPPER, 3.6),
     CharClass("base64", r"^[0-9A-Za-z+/_=-]+$", _DIGITS + _LOWER + _UPPER + "+/_=-", 3.8),
 )
-#: Whole strings that look random and are known not to be secret: UUIDs, numbers, dates, and paths and names of short
-#: words with separators.
+#: Whole strings that look random and are known not to be secret: UUIDs, numbers, dates, paths and names of short
+#: words with separators, and names of capitalised words without.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
     r"^[/_-]*" + _WORD + r"([/_=+-]+" + _WORD + r")+[/_=-]*$",
+    r"^[A-Za-z][a-z]{0,14}([A-Z][a-z]{2,14})+[0-9]{0,2}$",
 )
 
 SPAN = "struct<start:int,kind_no:int,kind:string,end:int,hit:string>"
 _NO_SPANS = f"array<{SPAN}>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(items: Column, kind: str, value, combine, make) -> Column:
+    """``make(item, so far)`` of every item, where ``so far`` combines the values (not negative) of those before.
+
+    A fold that appends to its result copies it each time, so the fold runs within blocks and over the blocks' totals: what is
+    copied is then ``BLOCK`` times the items rather than their square.
+    """
+    zero = F.lit(0)
+
+    def grown(xs: Column, start: Column, out_kind: str, of, made) -> Column:
+        init = F.struct(start.alias("at"), F.array().cast(out_kind).alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(made(x, acc["at"])).cast(out_kind)).alias("out"))
+        return F.aggregate(xs, init, step, lambda acc: acc["out"])
+
+    def in_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda acc, x: combine(acc, value(x))))
+        starts = grown(totals, zero, "array<int>", lambda t: t, lambda t, at: at)
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: grown(block, at, kind, value, make)))
+
+    last = lambda xs: F.greatest(F.ceil(F.size(xs) / BLOCK).cast("int") - 1, zero)
+    cut = _let(items, lambda xs: F.transform(F.sequence(zero, last(xs)), lambda i: F.slice(xs, i * BLOCK + 1, BLOCK)))
+    return _let(cut, in_blocks)
+
+
 def spans_of(text: Column, pattern: str, kind: str, kind_no: int) -> Column:
     """Leftmost non-overlapping matches with code point offsets, end exclusive."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    init = F.struct(F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("out"))
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    found = _scan(pairs, _NO_SPANS, lambda x: F.length(x["gap"]) + F.length(x["hit"]), lambda a, b: a + b, span)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_NO_SPANS))
 
 
-def _xlog(n: Column) -> Column:
-    """n * log2(n) of a small count, from a table."""
-    return F.element_at(F.array(*[F.lit(float(k * math.log2(k)) if k else 0.0) for k in range(WINDOW + 2)]), n + 1)
+def _xlog(n: int) -> float:
+    return n * math.log2(n) if n else 0.0
 
 
-def _best_range(hit: Column, cls: CharClass) -> Column:
-    """(from, to) of the windows of ``hit`` that reach the class's entropy; null if none does.
+def _best_range(hit: Column) -> Column:
+    """(from, to) of the windows of ``hit`` that reach its class's entropy; -1 if none does, null if it is of no class.
 
-    The state is the window's counts and the sum of count * log2(count), to which a step adds only what the
-    entering and the leaving character change.
+    The state is the window's counts, five bits each in a few numbers, and the sum of count * log2(count). A step adds what the
+    entering and the leaving character change, and touches only their counts.
     """
-    code = F.transform(F.split(hit, ""), lambda c: F.instr(F.lit(cls.alphabet), c))
-    floor = WINDOW * (math.log2(WINDOW) - cls.least_bits)  # entropy >= least_bits is sum <= floor
+    alphabet = CLASSES[-1].alphabet  # it has those of the others
+    least = F.lit(None).cast("double")
+    for cls in reversed(CLASSES):
+        least = F.when(hit.rlike(cls.pattern), F.lit(cls.least_bits)).otherwise(least)
+    code = F.transform(F.split(hit, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
+    growth = F.array(*[F.lit(float(_xlog(k + 1) - _xlog(k))) for k in range(WINDOW + 1)])
+    floor = WINDOW * (math.log2(WINDOW) - least)  # entropy >= least is sum <= floor
+    words = [f"w{i}" for i in range(-(-len(alphabet) // PACKED))]
+    units = F.array(*[F.lit(1 << (5 * i)).cast("long") for i in range(PACKED)])
     init = F.struct(
-        F.array_repeat(F.lit(0), len(cls.alphabet)).alias("counts"), F.lit(0.0).alias("total"),
+        *[F.lit(0).cast("long").alias(w) for w in words], F.lit(0.0).alias("total"),
         F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(0).alias("i"),
     )
 
-    def run(codes: Column) -> Column:
+    def run(codes: Column, floor: Column) -> Column:
         def step(acc: Column, entering: Column) -> Column:
             i = acc["i"]
-            leaving = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(0))
-            has_in = F.element_at(acc["counts"], entering)
-            # element_at counts as never null, so nothing here may rest on a null index
-            has_out = F.greatest(F.element_at(acc["counts"], F.greatest(leaving, F.lit(1))), F.lit(1))
-            same = leaving == entering
-            change = F.when(same, F.lit(0.0)).otherwise(
-                _xlog(has_in + 1) - _xlog(has_in) + F.when(leaving > 0, _xlog(has_out - 1) - _xlog(has_out)).otherwise(F.lit(0.0))
+            # nothing leaves the first windows: a code that no number holds
+            leaving = F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(F.lit(PACKED * len(words)))
+
+            def count(c: Column) -> Column:
+                held = F.lit(0).cast("long")
+                for j, w in enumerate(words):
+                    held = F.when(F.floor(c / PACKED) == j, acc[w]).otherwise(held)
+                return F.call_function("shiftright", held, 5 * F.pmod(c, F.lit(PACKED))).bitwiseAND(F.lit(31).cast("long")).cast("int")
+
+            # what one more, or one less, of a character adds to the sum
+            change = F.when(leaving == entering, F.lit(0.0)).otherwise(
+                F.element_at(growth, count(entering) + 1) - F.when(i >= WINDOW, F.element_at(growth, F.greatest(count(leaving), F.lit(1)))).otherwise(F.lit(0.0))
             )
+
+            def one(c: Column, j: int) -> Column:
+                return F.when(F.floor(c / PACKED) == j, F.element_at(units, F.pmod(c, F.lit(PACKED)) + 1)).otherwise(F.lit(0).cast("long"))
+
             total = acc["total"] + change
-            counts = F.transform(
-                acc["counts"], lambda n, j: n + (j + 1 == entering).cast("int") - (j + 1 == leaving).cast("int")
-            )
             reached = (i >= WINDOW - 1) & (total <= floor + 1e-9)
             return F.struct(
-                counts.alias("counts"), total.alias("total"),
+                *[(acc[w] + one(entering, j) - one(leaving, j)).alias(w) for j, w in enumerate(words)], total.alias("total"),
                 F.when(reached & (acc["first"] < 0), i - (WINDOW - 1)).otherwise(acc["first"]).alias("first"),
                 F.when(reached, i + 1).otherwise(acc["last"]).alias("last"), (i + 1).alias("i"),
             )
 
         return F.aggregate(codes, init, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
-    return F.element_at(F.transform(F.array(code), run), 1)
+    return _let(floor, lambda floor: _let(code, lambda codes: run(codes, floor)))
+
+
+_FREE = "array<struct<from:int,to:int>>"
+
+
+def _free_of(base: Column, length: Column) -> Column:
+    """What sorted base spans leave of a text of that length: (from, to), in order."""
+    before = lambda xs: _scan(xs, _FREE, lambda x: x["end"], F.greatest, lambda x, reach: F.struct(reach.alias("from"), x["start"].alias("to")))
+    last = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: F.greatest(acc, x["end"]))
+    every = _let(base, lambda xs: F.concat(before(xs), F.array(F.struct(last(xs).alias("from"), length.alias("to"))).cast(_FREE)))
+    return F.filter(every, lambda x: x["from"] < x["to"])
+
+
+def _first_where(items: Column, holds) -> Column:
+    """Index of the first of sorted items that a condition holds for, by bisection; their number if for none."""
+    init = F.struct(F.lit(0).alias("lo"), F.size(items).alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        ok = F.coalesce(holds(F.get(items, mid)), F.lit(True))  # beyond the end once both have met there
+        return F.struct(F.when(ok, acc["lo"]).otherwise(mid + 1).alias("lo"), F.when(ok, F.least(mid, acc["hi"])).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.ceil(F.log2(F.size(items) + 1)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), steps), init, step, lambda acc: acc["lo"])
 
 
-def _entropy_spans(candidates: Column, base: Column, kind_no: int) -> Column:
+def _entropy_spans(candidates: Column, free: Column, kind_no: int) -> Column:
     """Spans of what base spans leave of the candidates, where that reaches its class's entropy and is not allowed."""
 
     def judged(x: Column) -> Column:
-        best = None
-        for cls in reversed(CLASSES):
-            own = _best_range(x["hit"], cls)
-            best = own if best is None else F.when(x["hit"].rlike(cls.pattern), own).otherwise(best)
-        return F.struct(
+        return _let(_best_range(x["hit"]), lambda best: F.struct(
             (x["start"] + best["first"]).alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(ENTROPY_KIND).alias("kind"),
             F.when(best["first"] >= 0, x["start"] + best["last"]).alias("end"), x["hit"].alias("hit"),
-        )
+        ))
 
-    def left_over(x: Column) -> Column:
-        within = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def left_over(free: Column, x: Column) -> Column:
+        lo = _first_where(free, lambda g: g["to"] > x["start"])
+        hi = _first_where(free, lambda g: g["from"] >= x["end"])
+        cut = F.transform(F.slice(free, lo + 1, F.greatest(hi - lo, F.lit(0))), lambda g: F.struct(
+            F.greatest(g["from"], x["start"]).alias("from"), F.least(g["to"], x["end"]).alias("to")))
 
-        def part(start: Column, end: Column) -> Column:
-            hit = F.substring(x["hit"], start - x["start"] + 1, F.greatest(end - start, F.lit(0)))
-            return F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit("candidate").alias("kind"), end.alias("end"), hit.alias("hit"))
+        def part(g: Column) -> Column:
+            hit = F.substring(x["hit"], g["from"] - x["start"] + 1, g["to"] - g["from"])
+            return F.struct(g["from"].alias("start"), F.lit(kind_no).alias("kind_no"), F.lit("candidate").alias("kind"), g["to"].alias("end"), hit.alias("hit"))
 
-        init = F.struct(x["start"].alias("at"), F.array().cast(_NO_SPANS).alias("out"))
-        step = lambda acc, b: F.struct(
-            F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(part(acc["at"], b["start"])).cast(_NO_SPANS)).alias("out")
-        )
-        cut = F.aggregate(within, init, step, lambda acc: F.concat(acc["out"], F.array(part(acc["at"], x["end"])).cast(_NO_SPANS)))
-        return F.when(F.size(within) == 0, F.array(x).cast(_NO_SPANS)).otherwise(cut)
+        return F.transform(F.filter(cut, lambda g: g["to"] - g["from"] >= WINDOW), part)
 
     def open_to_doubt(x: Column) -> Column:
-        ok = F.length(x["hit"]) >= WINDOW
+        ok = F.lit(True)
         for pattern in ALLOWED:
             ok = ok & ~x["hit"].rlike(pattern)
         return ok
 
-    parts = F.filter(F.flatten(F.transform(candidates, left_over)), open_to_doubt)
+    left = _let(free, lambda free: F.flatten(F.transform(candidates, lambda x: left_over(free, x))))
+    parts = F.filter(left, open_to_doubt)
     return F.filter(F.transform(parts, judged), lambda x: x["end"].isNotNull())
 
 
@@ -163,7 +225,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts have no span, and ``base_sha256`` of the empty string. Repeated rows are scanned each;
     an empty table gives an empty result; other columns are not looked at. No shuffle, no Python: a text's
-    spans are found in its own row, and texts that hold no match cost one search for each pattern.
+    spans are found in its own row, texts that hold no match cost one search for each pattern, and many spans cost little more
+    than their number.
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -172,13 +235,14 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     found = rows.select(
         "doc_id",
+        F.length(text).alias("length"),
         assign.alias("assign"),
         spans_of(text, ACCESS, "access", 1).alias("access"),
         spans_of(text, HEX, "hex", 2).alias("hex"),
         spans_of(text, CANDIDATE, "candidate", 3).alias("candidates"),
     )
     base = found.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
-    both = base.withColumn("entropy", _entropy_spans(F.col("candidates"), F.col("base"), 3))
+    both = base.withColumn("free", _free_of(F.col("base"), F.col("length"))).withColumn("entropy", _entropy_spans(F.col("candidates"), F.col("free"), 3))
     count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
     return both.select(
         "doc_id", count("assign"), count("access"), count("hex"), count("entropy"),

@@ -284,6 +284,33 @@ def test_entropy_decides(spark):
     assert {h: got[i] for i, h in rows} == found
 
 
+def test_entropy_of_random_keys(spark):
+    import string
+
+    rng, every = np.random.default_rng(6), {"hex": "0123456789abcdef", "alnum": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    rows = [(f"{name}{n}", "key is " + "".join(rng.choice(list(alphabet), n)) + " here") for name, alphabet in every.items() for n in (20, 32, 40) for _ in range(100)]
+    found = Counter(r.doc_id for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect() if r.spans)
+    for name in every:
+        assert min(found[f"{name}{n}"] for n in (20, 32, 40)) >= 90, found
+    words = [(i, " ".join(rng.choice(["some/path/of/words", "aWordWithManyLettersTogether", "2026-11-27", "internationalization"], 9))) for i in range(50)]
+    clean = secret_scan.secret_scan(spark.createDataFrame(words, "doc_id long, text string")).where("spans <> ''").count()
+    assert clean == 0
+
+
+def test_many_spans_take_little_more_than_their_number(spark):
+    import time
+
+    hits = " x ".join(f"{i:024x}" for i in range(16_000))
+    blobs = "-".join(f"{i:024x}" + "Zk" * 3 for i in range(4_000)) + " password=abcdef" * 2_000
+    start = time.time()
+    rows = spark.createDataFrame([(1, hits), (2, blobs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.secret_scan(rows).collect()}
+    assert time.time() - start < 60
+    assert (got[1].n_hex, got[2].n_hex, got[2].n_assign) == (16_000, 4_000, 2_000)
+    joined = ",".join(f"hex:{27 * i}:{27 * i + 24}" for i in range(16_000))
+    assert got[1].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
 # 6
 
 
