@@ -29,7 +29,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_e
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes. A
     target stops at ``max_epochs`` times its source; the excess goes to the others by weight until none is
     above. That fixed point is a water level: sources are sorted by the level at which they fill up, and the
-    first whose level isn't reached by what is left sets it. The windows run over one row a source.
+    first whose level isn't reached by what is left sets it. The windows run over one row a source, in one task: sources are kinds of
+    data, and their number doesn't grow with it. Hosts, of which there may be millions, should be grouped into such kinds first.
     """
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -90,7 +91,9 @@ def mix(
 
 
 def _row_key(*columns: str) -> Column:
-    return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+    """128 bits of a row; lengths keep what one column ends with apart from what the next begins with."""
+    parts = [F.col(c).cast("string") for c in columns]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])))
 
 
 def mixed_documents(
@@ -107,12 +110,18 @@ def mixed_documents(
 
     Of the one document of a source into which its budget's end falls, the words before the cut are taken too, joined
     by spaces. Documents of which nothing is taken are not in the mix. Rows that repeat id, source and text
-    share what is taken of the most favoured of them.
+    share evenly what is taken of all of them, so the mix stays within its budgets.
     """
     taken = mix(docs, weights, max_epochs, seed, id_col, source_col, text_col, keyed=True)
-    taken = taken.where("taken > 0").groupBy("row_key").agg(F.max("taken").alias("taken"), F.first("size").alias("size"))
+    taken = taken.groupBy("row_key").agg(F.sum("taken").alias("taken"), F.first("size").alias("words"), F.count("*").alias("n_rows"))
+    taken = materialise(taken.where("taken > 0"), "taken")
     joined = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), _row_key(id_col, source_col, text_col).alias("row_key"))
-    joined = joined.join(taken.withColumnRenamed("size", "words"), "row_key")
+    alone = joined.join(taken.where("n_rows = 1"), "row_key")
+    # only rows that are repeated are numbered
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
+    share = F.floor(F.col("taken") / F.col("n_rows")) + (nth <= F.pmod("taken", "n_rows")).cast("long")
+    repeated = joined.join(taken.where("n_rows > 1"), "row_key").withColumn("taken", share).where("taken > 0")
+    joined = alone.unionByName(repeated)
     whole, rest = F.floor(F.col("taken") / F.col("words")).cast("int"), F.pmod("taken", "words").cast("int")
     copies = joined.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int"))).alias("nth"))
     words = F.array_remove(F.split(F.col(f"row.{text_col}"), r"[\x20\x09-\x0D]+"), "")

@@ -51,6 +51,8 @@ class Policy:
 
 BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
 STANDARD = Policy("standard", 1, tuple(r.name for r in RULES))
+#: For sources of code, lists and tables, where symbols, short words and repeated lines are no fault.
+LENIENT = Policy("lenient", 1, ("too_few_words", "repeated_windows", "shouting"))
 
 
 def words_of(text: Column) -> Column:

@@ -11,13 +11,13 @@ from corvane.llm.html_extract import extract_main_text
 from corvane.llm.line_dedup import LineIndex, dedup_lines
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
-from corvane.llm.quality_rules import apply_policy, ledger
+from corvane.llm.quality_rules import LENIENT, STANDARD, ablation, apply_policy, ledger
 from corvane.llm.secret_scan import secret_scan
 from corvane.llm.simhash_dedup import near_duplicates
 from corvane.llm.substring_dedup import dedup_substrings
 from corvane.llm.token_counts import folded_content, token_counts
 from corvane.llm.topk_search import integer_vectors, top_k
-from corvane.session import fresh_path, table
+from corvane.session import fresh_path, materialise, table
 
 
 def vocabulary(name: str) -> str:
@@ -81,6 +81,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def mix_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each source in all."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    taken = op8_source_mixing(spark, sf_dir)
+    by_source = taken.join(docs, F.col("doc_id") == F.col("id")).groupBy("source", "source_size")
+    return by_source.agg(F.round(F.max("target"), 3).alias("target"), F.sum("taken").alias("taken"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policies rejects alone and in all, from one written ledger."""
+    stored = materialise(ledger(table(spark, sf_dir, "documents")), "ledger")
+    each = [ablation(stored, p).select(F.lit(f"{p.name}-{p.version}").alias("policy"), "*") for p in (STANDARD, LENIENT)]
+    return each[0].unionByName(each[1])
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_main_text(table(spark, sf_dir, "pages"))
@@ -111,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "mix_totals": mix_totals,
+    "quality_ablation": quality_ablation,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
     "line_index_after_retraction": line_index_after_retraction,
@@ -177,3 +194,17 @@ SQL: dict[str, str] = {
 }
 # the same over the documents that stay
 SQL["line_index_after_retraction"] = SQL["op10_line_dedup"].replace("FROM documents)", "FROM documents WHERE lang IS NULL OR lang <> 'fr')")
+SQL["quality_ablation"] = f"""
+    WITH l AS ({SQL["op4_quality_rules"]}),
+    p(policy, rule, bit, mask) AS (VALUES ('standard-1', 'too_few_words', 1, 63), ('standard-1', 'repeated_windows', 2, 63), ('standard-1', 'symbol_heavy', 4, 63),
+        ('standard-1', 'repeated_lines', 8, 63), ('standard-1', 'shouting', 16, 63), ('standard-1', 'odd_word_length', 32, 63),
+        ('lenient-1', 'too_few_words', 1, 19), ('lenient-1', 'repeated_windows', 2, 19), ('lenient-1', 'shouting', 16, 19))
+    SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only FROM l, p GROUP BY policy, rule"""
+SQL["mix_totals"] = f"""
+    WITH s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY source),
+    n AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 AS w, 3.0 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+    -- the level that would give all, were just the sources full that fill up at or below a point: the true one is the highest of them
+    v AS (SELECT a.cap / a.w AS at, any_value(a.total) AS total, sum(b.cap) FILTER (b.cap / b.w <= a.cap / a.w) AS full_up,
+        sum(b.w) FILTER (b.cap / b.w > a.cap / a.w) AS others FROM n a, n b GROUP BY a.cap / a.w),
+    g AS (SELECT max(x) AS level FROM (SELECT (SELECT any_value(total) / sum(w) FROM n) AS x UNION ALL SELECT (total - full_up) / others FROM v WHERE others > 0))
+    SELECT source, source_size, round(least(cap, level * w), 3) AS target, CAST(round(least(cap, level * w)) AS BIGINT) AS taken FROM n, g"""

@@ -103,9 +103,20 @@ def near_duplicates(
 def first_of_each_group(
     docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near-duplicates; rows that repeat it in id and text are one."""
+    """``docs`` with the smallest doc_id of each group of near-duplicates; rows that repeat it in id and text are one.
+
+    Which ids stay, and whether rows repeat them, is found from ids alone. Texts travel once, to meet the ids that stay; only rows with
+    a repeated id are compared by a digest of their text.
+    """
     groups = near_duplicates(docs, radius, shingle, id_col, text_col)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["stay_id"]), "left_semi")
-    alike = Window.partitionBy(id_col, F.xxhash64(F.col(text_col))).orderBy(F.lit(1))
-    return kept.select("*", F.row_number().over(alike).alias("__nth")).where("__nth = 1").drop("__nth")
+    firsts = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n_rows"))
+    firsts = materialise(firsts.where("stays"), "firsts")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("id"))
+
+    def kept(which: str) -> DataFrame:
+        stay = firsts.where(which).select("doc_id")
+        return rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]), "left_semi")
+
+    alike = Window.partitionBy("id", F.md5(F.col(f"row.{text_col}"))).orderBy(F.lit(1))
+    repeated = kept("n_rows > 1").withColumn("nth", F.row_number().over(alike)).where("nth = 1")
+    return kept("n_rows = 1").select("row.*").unionByName(repeated.select("row.*"))

@@ -555,6 +555,27 @@ def test_cuckoo_filter():
     assert not known.has(alike).any()
 
 
+def test_repeated_rows_stay_within_the_budget(spark):
+    # a source of nothing but equal rows, which its budget takes more than once, and one that is cut
+    rows = [(1, "a b c", "x", "en", 5)] * 7 + [(2, "d e f g h", "x", "en", 9), (3, "w " * 40, "y", "en", 80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").selectExpr("*", "1 AS row_key", "2 AS taken", "3 AS nth")
+    wanted = {r.doc_id: r.n for r in mixing.mix(frame).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+    got = Counter()
+    for r in mixing.mixed_documents(frame).collect():
+        assert (r.row_key, r.taken, r.nth) == (1, 2, 3)
+        got[r.doc_id] += len(WORD.findall(r.text))
+    assert got == wanted
+
+
+def test_first_of_each_group_with_clashing_names(spark, rows):
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    clash = frame.selectExpr("*", "1 AS id", "2 AS nth", "'s' AS stays", "3 AS n_rows", "4 AS row", "5 AS __nth", "6 AS stay_id")
+    plain, got = simhash_dedup.first_of_each_group(frame, 2), simhash_dedup.first_of_each_group(clash, 2)
+    assert got.columns == clash.columns
+    assert by(got, "doc_id", "text") == by(plain, "doc_id", "text")
+    assert {tuple(r)[2:] for r in got.collect()} == {(1, 2, "s", 3, 4, 5, 6)}
+
+
 # all
 
 
