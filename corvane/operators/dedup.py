@@ -121,19 +121,23 @@ def staged_parents(docs: DataFrame, stages: list[tuple[str, DataFrame]]) -> Data
 
 
 def forest_roots(parents: DataFrame, max_hops: int = 8) -> DataFrame:
-    """(doc_id, root): parents followed to their roots by pointer jumping; more hops than allowed is an error."""
-    now = materialise(parents.select("doc_id", F.coalesce("parent", "doc_id").alias("root")), "roots")
-    hops = 1
+    """(doc_id, root): parents followed to their roots by pointer jumping; a chain of more hops than allowed is an error.
+
+    Each row carries the hops it has jumped, which double in each round, so the bound is exact.
+    """
+    start = F.coalesce("parent", "doc_id").alias("root")
+    now = materialise(parents.select("doc_id", start, F.when(F.col("parent") != F.col("doc_id"), 1).otherwise(0).alias("hops")), "roots")
     while True:
-        up = now.select(F.col("doc_id").alias("root"), F.col("root").alias("above"))
-        new = materialise(now.join(up, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
-        moved = not new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if not moved:
-            return now
-        hops *= 2
-        if hops > 4 * max_hops:
+        up = now.select(F.col("doc_id").alias("root"), F.col("root").alias("above"), F.col("hops").alias("more"))
+        moved = (F.col("above") != F.col("root")).alias("moved")
+        new = now.join(up, "root", "left").select("doc_id", F.coalesce("above", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), moved)
+        new = materialise(new, "roots")
+        longest, any_moved = new.agg(F.max("hops"), F.max("moved")).first()
+        if (longest or 0) > max_hops:
             raise ValueError(f"a chain of duplicates is longer than {max_hops}")
+        now = new.drop("moved")
+        if not any_moved:
+            return now.drop("hops")
 
 
 def duplicate_groups(staged: DataFrame, roots: DataFrame) -> DataFrame:

@@ -132,18 +132,35 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
 
 
-def neighbour_jaccard(edges: DataFrame, least: float = 0.5) -> DataFrame:
+def neighbour_jaccard(edges: DataFrame, least: float = 0.5, most: int | None = None) -> DataFrame:
     """(a, c, jaccard): pairs a < c two hops apart, with no edge of their own, by the share of neighbours in common.
 
-    Counted through what they share: |A and C| is the number of ways over a middle, so no neighbour set is built.
+    Two sets that reach ``least`` are of sizes within that ratio, and share one of the first members of each in any fixed order, as many as
+    could be missing and one more. With the rarest first a hub is among them only for nodes with little else, so
+    it doesn't bring all pairs of its neighbours together. What meets so is then counted exactly. With ``most`` each node is only
+    compared with the first so many in id order, which misses others.
     """
-    links = both_ways(edges).select("a", "b").distinct()
-    degree = links.groupBy("a").agg(F.count("*").alias("n"))
-    via = links.join(links.select(F.col("a").alias("c"), "b"), "b").where("a < c").groupBy("a", "c").agg(F.count("*").alias("shared"))
-    apart = via.join(links.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")
-    sized = apart.join(degree, "a").join(degree.select(F.col("a").alias("c"), F.col("n").alias("m")), "c")
+    from pyspark.sql import Window
+
+    links = materialise(both_ways(edges).select("a", "b").distinct(), "links")
+    degree = materialise(links.groupBy("a").agg(F.count("*").alias("n")), "degrees")
+    order = Window.partitionBy("a").orderBy("popular", "b")
+    sized = links.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("popular")), "b")
+    # the margin keeps a pair that is at the bound but for rounding
+    first = sized.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    first = materialise(first.select("a", "b", "n"), "first-links")
+    other = first.select(F.col("a").alias("c"), "b", F.col("n").alias("m"))
+    alike = (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9) & (F.col("a") < F.col("c"))
+    met = first.join(other, "b").where(alike).select("a", "c", "n", "m").distinct()
+    met = materialise(met.join(links.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti"), "pairs")
+    if most is not None:
+        ends = met.select("a", "c").unionByName(met.select(F.col("c").alias("a"), F.col("a").alias("c")))
+        near = ends.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("c"))).where(F.col("nth") <= most)
+        met = met.join(near.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("c")).distinct(), ["a", "c"], "left_semi")
+    both = met.join(links, "a").join(links.select(F.col("a").alias("c"), "b"), ["c", "b"])
+    shared = both.groupBy("a", "c", "n", "m").agg(F.count("*").alias("shared"))
     score = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
-    return sized.select("a", "c", score.alias("jaccard")).where(F.col("jaccard") >= least)
+    return shared.select("a", "c", score.alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def export_walk(edges: DataFrame, starts: DataFrame, depth: int, merged: DataFrame, per_node: int = 100, most: int = 10_000) -> DataFrame:

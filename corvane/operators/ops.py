@@ -28,13 +28,37 @@ def saturated_backlog(rows: DataFrame, status_col: str = "status", most: int = 1
     return rows.groupBy(F.col(status_col).alias("status")).agg(F.least(n, F.lit(most)).alias("n"), (n >= most).alias("saturated"))
 
 
+def _fold(by: list[str], amount: str, budget: int):
+    def run(batches):
+        import pyarrow as pa
+
+        group, used = None, 0
+        for b in batches:
+            totals, passed = [], []
+            keys = zip(*[b.column(c).to_pylist() for c in by]) if by else [()] * b.num_rows
+            for key, asked in zip(keys, b.column(amount).to_pylist()):
+                if key != group:
+                    group, used = key, 0
+                ok = asked is not None and used + asked <= budget
+                used += asked if ok else 0
+                totals.append(used)
+                passed.append(ok)
+            arrays = [*b.columns, pa.array(totals, pa.int64()), pa.array(passed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "used", "allowed"])
+
+    return run
+
+
 def within_budget(requests: DataFrame, budget: int, by: list[str], order: list[str], amount: str = "amount") -> DataFrame:
-    """``requests`` with ``allowed``: in order, each is let through if what came before and itself fit the day's budget.
+    """``requests`` with ``used`` and ``allowed``: in order, each is let through if it still fits the group's budget.
 
-    The running sum counts refused requests too, as the budget is checked against what was asked for so far.
+    Only what is let through is used, so a small request after a refused large one may pass, and whether one passes rests on all before it:
+    a fold, for which each group's rows are streamed in order through one task, with nothing held but the sum. Amounts are
+    whole; a request without one is refused. Columns are not called used or allowed.
     """
-    used = F.sum(amount).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("used", used).withColumn("allowed", F.col("used") <= budget)
+    sorted_rows = requests.repartition(*by).sortWithinPartitions(*by, *order) if by else requests.orderBy(*order).coalesce(1)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    return sorted_rows.mapInArrow(_fold(by, amount, budget), f"{columns}, used long, allowed boolean")
 
 
 def daily_usage(rows: DataFrame, day, limit: int = 20) -> DataFrame:

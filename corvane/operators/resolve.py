@@ -18,6 +18,18 @@ def _pairs(left: DataFrame, on: list[str], differ: Column | None, method: str) -
     return met.select(F.col("entity").alias("a"), F.col("entity_2").alias("b"), F.lit(method).alias("method"), F.lit(SCORES[method]).alias("score")).distinct()
 
 
+def star_links(rows: DataFrame, on: list[str], method: str) -> DataFrame:
+    """(a, b, method, score): every entity that agrees on ``on`` with others, linked to the first of them.
+
+    The same groups as the pairs of ``by_alias`` and ``by_domain`` make, in a row a member: where very many share a key, all pairs of
+    them are too many to write down, and a merge needs only the group.
+    """
+    held = rows.select("entity", *on).distinct()
+    first = held.groupBy(*on).agg(F.min("entity").alias("a"), F.count("*").alias("n")).where("n > 1")
+    met = held.join(first, on).where(F.col("entity") > F.col("a"))
+    return met.select("a", F.col("entity").alias("b"), F.lit(method).alias("method"), F.lit(SCORES[method]).alias("score")).distinct()
+
+
 def by_normalized_name(entities: DataFrame) -> DataFrame:
     """Entities (entity, entity_type, name_key) of different types with one name."""
     return _pairs(entities.select("entity", "entity_type", "name_key"), ["name_key"], F.col("entity_type") != F.col("entity_type_2"), "normalized_name")

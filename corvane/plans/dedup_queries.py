@@ -99,14 +99,14 @@ _ROOTS = f"""{_STAGED.replace('WITH', 'WITH RECURSIVE', 1)},
 @query(f"{_ROOTS} SELECT doc_id, root FROM up WHERE done")
 def forest_roots(spark, d):
     docs, stages = _stages(spark, d)
-    return dedup.forest_roots(dedup.staged_parents(docs, stages))
+    return dedup.forest_roots(dedup.staged_parents(docs, stages), MANY_HOPS)
 
 
 @query(f"{_ROOTS} SELECT u.root AS canonical, doc_id, stage FROM up u JOIN staged USING (doc_id) WHERE done AND parent IS NOT NULL")
 def duplicate_groups(spark, d):
     docs, stages = _stages(spark, d)
     staged = materialise(dedup.staged_parents(docs, stages), "staged")
-    return dedup.duplicate_groups(staged, dedup.forest_roots(staged))
+    return dedup.duplicate_groups(staged, dedup.forest_roots(staged, MANY_HOPS))
 
 
 @query(f"{_STAGED} SELECT count(*) AS examined, count(parent) AS duplicates, count(parent)::DOUBLE / count(*) AS rate FROM staged")

@@ -15,8 +15,12 @@ def backlog_saturated(spark, d):
 
 
 @query("""
-    SELECT event_id, user_id, CAST(used AS BIGINT) AS used, used <= 20 AS allowed FROM (SELECT event_id, user_id,
-        sum(event_id % 7) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM events)""")
+    WITH RECURSIVE r AS (SELECT event_id, user_id, date_trunc('day', ts) AS day, event_id % 7 AS amount,
+        row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT event_id, user_id, day, n, CASE WHEN amount <= 20 THEN amount ELSE 0 END AS used, amount <= 20 AS allowed FROM r WHERE n = 1
+        UNION ALL SELECT r.event_id, r.user_id, r.day, r.n, f.used + CASE WHEN f.used + r.amount <= 20 THEN r.amount ELSE 0 END, f.used + r.amount <= 20
+        FROM f JOIN r ON r.user_id = f.user_id AND r.day = f.day AND r.n = f.n + 1)
+    SELECT event_id, user_id, CAST(used AS BIGINT) AS used, allowed FROM f""")
 def daily_budget_running(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), (F.col("event_id") % 7).alias("amount"))
     return ops.within_budget(rows, 20, ["user_id", "day"], ["ts", "event_id"]).select("event_id", "user_id", "used", "allowed")

@@ -118,6 +118,64 @@ def test_forest_roots(spark):
     assert {r.root for r in dedup.forest_roots(chain).collect()} == {0}
 
 
+def test_forest_roots_bound_is_exact(spark):
+    chain = lambda n: spark.createDataFrame([(0, None)] + [(i, i - 1) for i in range(1, n + 1)], "doc_id long, parent long")
+    assert dedup.forest_roots(chain(5), 5).where("root <> 0").isEmpty()
+    for n, most in ((6, 5), (9, 8), (20, 8)):
+        with pytest.raises(ValueError, match="longer"):
+            dedup.forest_roots(chain(n), most)
+
+
+def test_budget_passes_over_what_is_refused(spark):
+    rows = [("c", i, n) for i, n in enumerate([6, 5, 4, 1, 0, None])] + [("d", 1, 11), ("d", 2, 10), (None, 1, 3), (None, 2, 8), (None, 3, 7)]
+    got = ops.within_budget(spark.createDataFrame(rows, "k string, at int, amount long"), 10, ["k"], ["at"]).collect()
+    found = {(r.k, r.at): (r.used, r.allowed) for r in got}
+    assert [found["c", i] for i in range(6)] == [(6, True), (6, False), (10, True), (10, False), (10, True), (10, False)]
+    assert [found["d", i] for i in (1, 2)] == [(0, False), (10, True)]
+    assert [found[None, i] for i in (1, 2, 3)] == [(3, True), (3, False), (10, True)]
+
+
+def test_jaccard_against_sets(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = {(f"e{rng.randrange(30)}", f"m{rng.randrange(12)}") for _ in range(120)} | {(f"e{i}", "hub") for i in range(30)} | {("e1", "e2")}
+    frame = spark.createDataFrame([(f"{a}{b}", a, b) for a, b in pairs], "edge_id string, src string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for least in (0.2, 0.5, 2 / 3, 1.0):
+        wanted = {}
+        for a in near:
+            for c in near:
+                if a < c and c not in near[a] and near[a] & near[c]:
+                    j = len(near[a] & near[c]) / len(near[a] | near[c])
+                    if j >= least:
+                        wanted[a, c] = j
+        assert {(r.a, r.c): r.jaccard for r in graph.neighbour_jaccard(frame, least).collect()} == wanted
+        few = {(r.a, r.c) for r in graph.neighbour_jaccard(frame, least, most=2).collect()}
+        assert few <= set(wanted)
+
+
+def test_star_links_make_the_groups_of_pairs(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (3, "y"), (4, "y"), (5, "z"), (5, "z")], "entity long, alias string")
+    assert sorted((r.a, r.b) for r in resolve.star_links(rows, ["alias"], "alias").collect()) == [(1, 2), (1, 3), (3, 4)]
+
+
+def test_scratch_folder_of_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    from corvane.session import scratch_dir
+
+    conf = {}
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(cluster)
+    cluster.sparkContext.master = "local[2]"
+    assert scratch_dir(cluster) == conf["spark.checkpoint.dir"]
+
+
 EDGES = [("ab", "A", "B", "mentions", 0.9, 0, 100, 1), ("bc", "B", "C", "associated_with", 0.4, 100, 200, 2), ("ac", "A", "C", "mentions", 0.5, 0, 10, 3), ("cd", "C", "D", "uses", 0.5, 0, 10, 1)]
 EDGE = "edge_id string, src string, dst string, edge_type string, confidence double, first_seen int, last_seen int, evidence_count long"
 
