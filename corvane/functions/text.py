@@ -157,10 +157,54 @@ SOFT_DENY = (
 
 
 def ipv4_class(ip: Column) -> Column:
-    number = ipv4_number(ip)
-    return F.when(number.isNull(), None).when(_within(number, HARD_DENY), "hard_deny").when(_within(number, SOFT_DENY), "soft_deny").otherwise("public")
+    """hard_deny, soft_deny or public; null for what is no IPv4 address."""
+
+    def judged(number: Column) -> Column:
+        return F.when(number.isNull(), None).when(_within(number, HARD_DENY), "hard_deny").when(_within(number, SOFT_DENY), "soft_deny").otherwise("public")
+
+    # the number is computed once, and not in each of the comparisons
+    return F.element_at(F.transform(F.array(ipv4_number(ip)), judged), 1)
 
 
 def json_merge_sources(*columns: str) -> Column:
     """First column that has something."""
     return F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in columns])
+
+
+# Names of cloud metadata servers; the same as an address; ranges of IPv6 that are not public.
+HARD_DENY_HOSTS = ("metadata.google.internal", "metadata.google.com", "metadata.goog")
+HARD_DENY_V6 = "fd00:ec2::254"
+SOFT_DENY_V6 = ("::/128", "::1/128", "fe80::/10", "fc00::/7", "ff00::/8")
+
+
+def _v6_parts(host):
+    """For IPv6 addresses: the IPv4 address within, or else the class; empty for what is none."""
+    import ipaddress
+
+    import pandas as pd
+
+    deny = [ipaddress.ip_network(n) for n in SOFT_DENY_V6]
+    within, kinds = [], []
+    for h in host:
+        try:
+            ip = ipaddress.IPv6Address(h) if h and ":" in h else None
+        except ValueError:
+            ip = None
+        v4 = ip and (ip.ipv4_mapped or (ipaddress.IPv4Address(int(ip)) if 1 < int(ip) < 1 << 32 else None))
+        within.append(str(v4) if v4 else None)
+        kinds.append(None if ip is None or v4 else "hard_deny" if ip == ipaddress.IPv6Address(HARD_DENY_V6) else "soft_deny" if any(ip in n for n in deny) else "public")
+    return pd.DataFrame({"v4": within, "kind": kinds}, dtype="object")
+
+
+def host_class(host: Column) -> Column:
+    """Class of an IPv4 or IPv6 address or a known host name; null for other names, which must be resolved first."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def parts(hosts):
+        return _v6_parts(hosts)
+
+    parts.__annotations__ = {"hosts": pd.Series, "return": pd.DataFrame}
+    plain = F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
+    v6 = pandas_udf(parts, "v4 string, kind string")(plain)
+    return F.when(plain.isin(*HARD_DENY_HOSTS), "hard_deny").otherwise(F.coalesce(v6["kind"], ipv4_class(F.coalesce(v6["v4"], plain))))

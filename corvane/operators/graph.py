@@ -180,3 +180,17 @@ def export_walk(edges: DataFrame, starts: DataFrame, depth: int, merged: DataFra
             break
         seen = seen.unionByName(frontier)
     return seen.orderBy("hop", "node").limit(most)
+
+
+def source_expansion(found: DataFrame, sources: DataFrame, cap: int, score: float = 0.4) -> DataFrame:
+    """(collection, method, id, score): candidates of a run, those of the graph (collection, id, score) before those by source (collection, id).
+
+    A collection takes at most ``cap`` in all, which is its budget: sources come in as far as the graph leaves room. The first by id
+    are taken of each.
+    """
+    from pyspark.sql import Window
+
+    both = found.select("collection", F.lit("graph_expansion").alias("method"), "id", F.col("score").cast("double"), F.lit(0).alias("later"))
+    both = both.unionByName(sources.select("collection", F.lit("source_expansion").alias("method"), "id", F.lit(score).alias("score"), F.lit(1).alias("later")))
+    nth = F.row_number().over(Window.partitionBy("collection").orderBy("later", "id"))
+    return both.withColumn("nth", nth).where(F.col("nth") <= cap).select("collection", "method", "id", "score")

@@ -18,6 +18,13 @@ THROTTLE_LAG, PAUSE_LAG = 5000, 50_000
 LEVELS = ("normal", "elevated", "high", "critical")
 
 
+# What a collection may use where nothing else is set.
+DEFAULT_BUDGET = {
+    "max_candidates_per_run": 200, "max_requests_per_run": 500, "max_ai_calls_per_run": 50, "max_depth": 3,
+    "daily_request_budget": 5000, "daily_ai_budget": 500,
+}
+
+
 def can_transition(before: Column, after: Column) -> Column:
     return F.concat_ws(">", before, after).isin(*[f"{a}>{b}" for a, b in TRANSITIONS])
 
@@ -70,6 +77,23 @@ def lag_state(lag: Column) -> Column:
     return F.when(lag >= PAUSE_LAG, "pause").when(lag >= THROTTLE_LAG, "throttle").otherwise("normal")
 
 
+def lag_sleep_factor(lag: Column, threshold: int, most: int = 8) -> Column:
+    """By how many rests a consumer slows down: none up to the threshold, then one for each time it is reached, to a bound."""
+    return F.when(lag <= threshold, 0).otherwise(F.least(F.greatest(F.floor(lag / max(1, threshold)), F.lit(1)), F.lit(most))).cast("long")
+
+
+def token_cost(prompt: Column, completion: Column, prompt_price: float, completion_price: float) -> Column:
+    """Cost of a request; prices are for a thousand tokens."""
+    return prompt / 1000.0 * prompt_price + completion / 1000.0 * completion_price
+
+
+def reclaim_orphans(jobs: DataFrame, job_types: tuple[str, ...], now, error: str) -> DataFrame:
+    """``jobs`` where those of some types that still run have failed: after a restart nobody works on them."""
+    orphan = F.col("job_type").isin(*job_types) & (F.col("status") == "running")
+    new = {"status": F.lit("failed"), "completed_at": F.lit(now).cast("timestamp"), "error": F.lit(error)}
+    return jobs.withColumns({c: F.when(orphan, v).otherwise(F.col(c)) for c, v in new.items()}) if job_types else jobs
+
+
 def dispatch_cap(state: Column, most: int) -> Column:
     return F.when(state == "pause", 0).when(state == "throttle", 1).otherwise(max(1, most))
 

@@ -134,7 +134,7 @@ def _close(least: float):
     return run
 
 
-def _all_close(rows: DataFrame, least: float) -> DataFrame:
+def close_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks."""
     v = F.col("embedding").cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
@@ -171,7 +171,7 @@ def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = N
     if others is None:
         if least <= 0:
             raise ValueError("the least cosine must be over 0")
-        met = _all_close(rows, least).where(F.col("entity") != F.col("other"))
+        met = close_pairs(rows, least).where(F.col("entity") != F.col("other"))
         close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), "cos")
     else:
         nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))

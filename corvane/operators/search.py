@@ -225,3 +225,17 @@ def highlight(text: Column, word: str) -> Column:
 
     at = F.greatest(F.locate(word.lower(), F.lower(text)) - 80, F.lit(1))
     return F.regexp_replace(F.substring(text, at, F.lit(160)), f"(?i)({re.escape(word)})", "<em>$1</em>")
+
+
+def first_page(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    return rows.orderBy(key).limit(limit)
+
+
+def next_cursor(page: DataFrame, key: str, limit: int) -> DataFrame:
+    """(last_id, next_cursor) of a page: a cursor only where the page is full, as a short one is the last."""
+    return page.agg(F.max(key).alias("last_id"), F.when(F.count("*") >= limit, F.max(key)).alias("next_cursor"))
+
+
+def page_with_total(rows: DataFrame, order: list, limit: int) -> DataFrame:
+    """The first ``limit`` rows, each with the exact number of all; the number is one broadcast row."""
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
