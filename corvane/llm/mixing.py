@@ -120,7 +120,9 @@ def mixed_documents(
     # only rows that are repeated are numbered
     nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1)))
     share = F.floor(F.col("taken") / F.col("n_rows")) + (nth <= F.pmod("taken", "n_rows")).cast("long")
-    repeated = joined.join(taken.where("n_rows > 1"), "row_key").withColumn("taken", share).where("taken > 0")
+    # written by itself, so that where there are few or none its size is known and no text moves for it
+    often = materialise(taken.where("n_rows > 1"), "repeated")
+    repeated = joined.join(often, "row_key").withColumn("taken", share).where("taken > 0")
     joined = alone.unionByName(repeated)
     whole, rest = F.floor(F.col("taken") / F.col("words")).cast("int"), F.pmod("taken", "words").cast("int")
     copies = joined.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), whole + (rest > 0).cast("int"))).alias("nth"))
