@@ -120,6 +120,22 @@ def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that are left when ``nodes`` go."""
+    gone = nodes.select("node")
+    return edges.join(gone, edges["src"] == gone["node"], "left_anti").join(gone, edges["dst"] == gone["node"], "left_anti")
+
+
+def without_edges(edges: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    return edges.join(gone.select(*key), key, "left_anti")
+
+
+def apply_changes(edges: DataFrame, changed: DataFrame, canonical: DataFrame, key: list[str]) -> DataFrame:
+    """``edges`` after a batch of changes, which say only what to read again (``key``): what canonical rows hold is put, what they no longer hold goes."""
+    touched = changed.select(*key).distinct()
+    return without_edges(edges, touched, key).unionByName(canonical.select(edges.columns).join(touched, key, "left_semi"))
+
+
 def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are among ``nodes``."""
     ids = nodes.select("node")

@@ -155,6 +155,15 @@ def bm25_scores(docs: DataFrame, query_terms: list[str], text_col: str = "text")
     return counted.where(held).select("doc_id", F.round(score, 6).alias("score"))
 
 
+def boosted(docs: DataFrame, query_terms: list[str], fields: dict[str, float]) -> DataFrame:
+    """(doc_id, score): the best of each document's fields that hold all terms, a field's score times its boost."""
+    each = [bm25_scores(docs, query_terms, f).select("doc_id", (F.col("score") * float(boost)).alias("score")) for f, boost in fields.items()]
+    both = each[0]
+    for e in each[1:]:
+        both = both.unionByName(e)
+    return both.groupBy("doc_id").agg(F.max("score").alias("score"))
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, where: Column | None = None, metric: str = "cosine") -> DataFrame:
     """(vec_id, score): the ``k`` nearest (k within 1 and 200) by cosine or l2, filtered before, ties by id."""
     k = max(1, min(k, MAX_POOL))

@@ -155,7 +155,7 @@ def extract_account(spark, d):
 @query("""
     WITH h AS (SELECT DISTINCT regexp_extract(url, '://([^/:?#]+)', 1) AS host FROM pages)
     SELECT host, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS domain FROM h WHERE host LIKE '%.example.%'""")
-def registrable_domains(spark, d):
+def registrable_hosts(spark, d):
     hosts = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host")).distinct().where("host LIKE '%.example.%'")
     return hosts.select("host", extract.registrable_domain(F.col("host"), ("com", "net", "org", "example.com", "example.net", "example.org")).alias("domain"))
 
