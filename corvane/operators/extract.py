@@ -40,6 +40,12 @@ def _item(rows: DataFrame, kind, key: Column, confidence) -> DataFrame:
     return rows.select("doc_id", as_col(kind).alias("entity_type"), key.alias("entity_key"), as_col(confidence).cast("double").alias("confidence"), "at", "text", "hit")
 
 
+def to_extract(docs: DataFrame) -> DataFrame:
+    """Documents that are no duplicates. A row that doesn't say (column is_duplicate) fails the job: neither answer is a safe default."""
+    unsaid = F.raise_error(F.concat(F.lit("is_duplicate is missing: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("no id")))).cast("boolean")
+    return docs.where(F.when(F.col("is_duplicate").isNull(), unsaid).otherwise(~F.col("is_duplicate")))
+
+
 def extract_cves(docs: DataFrame) -> DataFrame:
     return _item(_found(docs, CVE), "vulnerability", F.upper("hit"), 1.0)
 

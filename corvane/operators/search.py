@@ -121,6 +121,18 @@ def query_condition(text: str, terms: Column) -> Column:
     return found
 
 
+def read_index(spark, path: str, schema: str) -> DataFrame:
+    """A stored index; one that nobody has written yet holds nothing. Any other failure to read it is an error."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def bm25(docs: DataFrame, query_terms: list[str], k: int = 10, text_col: str = "text") -> DataFrame:
     """(rank, doc_id, score): the best ``k`` documents that hold all terms, ties by id."""
     best = bm25_scores(docs, query_terms, text_col).orderBy(F.desc("score"), "doc_id").limit(k)

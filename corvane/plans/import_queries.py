@@ -163,6 +163,21 @@ def derived_links(spark, d):
     return extract.derived_edges(items.unionByName(urls))
 
 
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 9")
+def documents_to_extract(spark, d):
+    docs = table(spark, d, "documents").withColumn("is_duplicate", F.col("doc_id") % 10 == 9)
+    return extract.to_extract(docs).select("doc_id", "source")
+
+
+@query("SELECT 'stored' AS index, doc_id FROM documents WHERE doc_id % 50 = 0")
+def missing_index(spark, d):
+    """Of two indexes one isn't there."""
+    path = fresh_path(spark, "index")
+    table(spark, d, "documents").where("doc_id % 50 = 0").select("doc_id").write.parquet(path)
+    each = [search.read_index(spark, p, "doc_id long").select(F.lit(name).alias("index"), "doc_id") for name, p in (("stored", path), ("none", path + "-none"))]
+    return each[0].unionByName(each[1])
+
+
 @query("SELECT o_custkey, o_orderkey, nth FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS nth FROM orders) WHERE nth <= 5")
 def collection_objects(spark, d):
     """The first links of each collection, ascending."""

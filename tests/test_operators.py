@@ -416,3 +416,28 @@ def test_no_cap_or_single_task_in_paging_and_turns(spark):
     kept = sorted(r for r in due if not r[1]) + sorted((r for r in due if r[1]), key=key)[:8]
     assert [r.id for r in sorted(got.collect(), key=lambda r: r.turn)] == [r[0] for r in sorted(kept, key=key)]
     assert [r.turn for r in sorted(got.collect(), key=lambda r: r.turn)] == list(range(1, len(kept) + 1))
+
+
+def test_graph_changes_and_deletes(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "a", 3), (None, "a", 4)], "src string, dst string, v int")
+    got = lambda df: sorted((r["src"] or "", r["dst"], r["v"]) for r in df.collect())
+    assert got(graph.without_nodes(edges, spark.createDataFrame([("b",)], "node string"))) == [("", "a", 4), ("c", "a", 3)]
+    assert got(graph.without_nodes(edges, spark.createDataFrame([], "node string"))) == got(edges)
+    changed = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b"), ("x", "y")], "src string, dst string")
+    canonical = spark.createDataFrame([("a", "b", 9), ("x", "y", 8), ("z", "z", 7)], "src string, dst string, v int")
+    assert got(graph.apply_changes(edges, changed, canonical, ["src", "dst"])) == [("", "a", 4), ("a", "b", 9), ("c", "a", 3), ("x", "y", 8)]
+
+
+def test_boosted_fields(spark):
+    docs = spark.createDataFrame([(1, "Fox", "a dog"), (2, "Dog", "the fox"), (3, None, None), (4, "", "")], "doc_id int, title string, body string")
+    score = {r["doc_id"]: r["score"] for r in search.boosted(docs, ["fox"], {"title": 3, "body": 1}).collect()}
+    alone = {r["doc_id"]: r["score"] for f in ("title", "body") for r in search.bm25_scores(docs, ["fox"], f).collect()}
+    assert score == {1: 3 * alone[1], 2: alone[2]} and score[1] > score[2]
+    assert search.boosted(docs.limit(0), ["fox"], {"title": 3, "body": 1}).count() == 0
+
+
+def test_documents_must_say_whether_they_are_duplicates(spark):
+    docs = spark.createDataFrame([(1, True), (2, False)], "doc_id int, is_duplicate boolean")
+    assert [r["doc_id"] for r in extract.to_extract(docs).collect()] == [2]
+    with pytest.raises(Exception, match="is_duplicate is missing: 3"):
+        extract.to_extract(docs.union(spark.createDataFrame([(3, None)], docs.schema))).collect()
