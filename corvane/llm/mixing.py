@@ -72,15 +72,15 @@ def mix(
     sized = materialise(rows, "sizes")
     targets = materialise(source_targets(sized, weights, max_epochs), "targets")
     shares = max(256, sized.count() // 50_000)
-    key = F.xxhash64("doc_id", F.lit(seed))
-    share = F.floor(F.shiftrightunsigned(key, 33) * F.lit(shares) / F.lit(float(1 << 31)))
+    # 60 bits of a digest that any engine has, so that SQL can state the order too
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", F.lit(seed))), 1, 15), 16, 10).cast("long")
+    share = F.shiftright(F.shiftright(key, 29) * F.lit(shares), 31)
     known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop("source")
     dealt = known.withColumn("key", key).withColumn("share", share)
     ahead = Window.partitionBy("source_no").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source_no", "share").agg(F.sum("size").alias("words"))
     bases = sums.select("source_no", "share", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
-    # the key in unsigned order, as the shares are
-    own = Window.partitionBy("source_no", "share").orderBy(F.shiftrightunsigned("key", 1), "key", "doc_id", "size")
+    own = Window.partitionBy("source_no", "share").orderBy("key", "doc_id", "size")
     before = F.coalesce(F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ordered = dealt.withColumn("before", before).join(bases, ["source_no", "share"])
     budget = F.round("target").cast("long")

@@ -12,7 +12,7 @@ from corvane.llm.line_dedup import LineIndex, dedup_lines
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
 from corvane.llm.quality_rules import LENIENT, STANDARD, ablation, apply_policy, ledger
-from corvane.llm.secret_scan import secret_scan
+from corvane.llm.secret_scan import ALLOWED, CANDIDATE, CLASSES, WINDOW, secret_scan
 from corvane.llm.simhash_dedup import near_duplicates
 from corvane.llm.substring_dedup import dedup_substrings
 from corvane.llm.token_counts import folded_content, token_counts
@@ -161,6 +161,31 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
             CAST(len(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]{{16,}}')) AS BIGINT) AS n_access,
             CAST(len(regexp_extract_all(coalesce(text, ''), '[0-9a-f]{{24,}}')) AS BIGINT) AS n_hex FROM documents""",
+    "op5_secret_scan": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        p(no, kind, pattern) AS (VALUES (0, 'assign', '{_ASSIGN}'), (1, 'access', 'AKIA[A-Z0-9]{{16,}}'), (2, 'hex', '[0-9a-f]{{24,}}'), (3, 'entropy', '{CANDIDATE}')),
+        m AS (SELECT doc_id, no, kind, regexp_extract_all(text, pattern) AS hits, regexp_split_to_array(text, pattern) AS gaps FROM d, p),
+        u AS (SELECT doc_id, no, kind, unnest(hits) AS hit, unnest(gaps[1 : len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM m),
+        spans AS (SELECT doc_id, no, kind, hit, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, no ORDER BY i) AS stop FROM u),
+        base AS (SELECT doc_id, no, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM spans
+            WHERE no < 3 AND (no > 0 OR length(regexp_extract(hit, '{_ASSIGN}', 2)) >= 6)),
+        -- the characters of candidates that no base span holds, in runs
+        chars AS (SELECT doc_id, stop, CAST(stop - length(hit) AS BIGINT) + unnest(range(length(hit))) AS pos, unnest(string_split(hit, '')) AS c FROM spans WHERE no = 3),
+        free AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, stop ORDER BY pos) AS run FROM chars
+            WHERE NOT EXISTS (FROM base b WHERE b.doc_id = chars.doc_id AND b.start <= pos AND pos < b.stop)),
+        parts AS (SELECT doc_id, min(pos) AS start, string_agg(c, '' ORDER BY pos) AS hit FROM free GROUP BY doc_id, stop, run HAVING count(*) >= {WINDOW}),
+        judged AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(hit, '{c.pattern}') THEN {c.least_bits}" for c in CLASSES)} END AS least FROM parts
+            WHERE {" AND ".join(f"NOT regexp_matches(hit, '{x}')" for x in ALLOWED)}),
+        windows AS (SELECT doc_id, start, least, i, unnest(string_split(hit[i + 1 : i + {WINDOW}], '')) AS c
+            FROM judged, LATERAL (SELECT unnest(range(length(hit) - {WINDOW - 1})) AS i)),
+        counts AS (SELECT doc_id, start, least, i, c, count(*) AS n FROM windows GROUP BY ALL),
+        random AS (SELECT doc_id, start, i FROM counts GROUP BY doc_id, start, least, i HAVING log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} >= least - 1e-10),
+        every AS (FROM base UNION ALL SELECT doc_id, 3, 'entropy', start + min(i), start + max(i) + {WINDOW} FROM random GROUP BY doc_id, start),
+        listed AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex, count(*) FILTER (no = 3) AS n_entropy,
+            string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, no, stop) FILTER (no < 3) AS base,
+            string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, no, stop) AS spans FROM every GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (doc_id)""",
     "op6_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS w FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
@@ -200,11 +225,22 @@ SQL["quality_ablation"] = f"""
         ('standard-1', 'repeated_lines', 8, 63), ('standard-1', 'shouting', 16, 63), ('standard-1', 'odd_word_length', 32, 63),
         ('lenient-1', 'too_few_words', 1, 19), ('lenient-1', 'repeated_windows', 2, 19), ('lenient-1', 'shouting', 16, 19))
     SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only FROM l, p GROUP BY policy, rule"""
-SQL["mix_totals"] = f"""
-    WITH s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY source),
-    n AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 AS w, 3.0 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+# what every source has and is to give
+_TARGETS = f"""
+    s AS (SELECT source, CAST(sum(len({_WORDS})) AS BIGINT) AS source_size FROM documents GROUP BY source),
+    n AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap,
+        CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
     -- the level that would give all, were just the sources full that fill up at or below a point: the true one is the highest of them
     v AS (SELECT a.cap / a.w AS at, any_value(a.total) AS total, sum(b.cap) FILTER (b.cap / b.w <= a.cap / a.w) AS full_up,
         sum(b.w) FILTER (b.cap / b.w > a.cap / a.w) AS others FROM n a, n b GROUP BY a.cap / a.w),
-    g AS (SELECT max(x) AS level FROM (SELECT (SELECT any_value(total) / sum(w) FROM n) AS x UNION ALL SELECT (total - full_up) / others FROM v WHERE others > 0))
-    SELECT source, source_size, round(least(cap, level * w), 3) AS target, CAST(round(least(cap, level * w)) AS BIGINT) AS taken FROM n, g"""
+    g AS (SELECT max(x) AS level FROM (SELECT (SELECT any_value(total) / sum(w) FROM n) AS x UNION ALL SELECT (total - full_up) / others FROM v WHERE others > 0)),
+    targets AS (SELECT source, source_size, least(cap, level * w) AS target FROM n, g)"""
+SQL["mix_totals"] = f"WITH {_TARGETS} SELECT source, source_size, round(target, 3) AS target, CAST(round(target) AS BIGINT) AS taken FROM targets"
+SQL["op8_source_mixing"] = f"""
+    WITH {_TARGETS},
+    d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, CAST('0x' || md5(concat_ws(':', doc_id, 42))[1:15] AS BIGINT) AS key FROM documents),
+    o AS (SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS budget,
+        CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+        FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+    e AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS epochs FROM o)
+    SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS taken FROM e"""
