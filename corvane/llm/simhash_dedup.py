@@ -105,18 +105,17 @@ def first_of_each_group(
 ) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of near-duplicates; rows that repeat it in id and text are one.
 
-    Which ids stay, and whether rows repeat them, is found from ids alone. Texts travel once, to meet the ids that stay; only rows with
-    a repeated id are compared by a digest of their text.
+    Which ids go, and whether rows repeat those that stay, is found from ids alone. Only what goes or is repeated is written and
+    joined with the texts: where that is small, as its size as a table tells, no text moves; where it isn't, texts travel once.
+    Only rows with a repeated id are compared by a digest of their text.
     """
     groups = near_duplicates(docs, radius, shingle, id_col, text_col)
-    firsts = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n_rows"))
-    firsts = materialise(firsts.where("stays"), "firsts")
+    ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n_rows"))
+    marked = materialise(ids.where("NOT stays OR n_rows > 1"), "marked")
+    often = materialise(marked.where("stays").select("doc_id"), "repeated")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{id_col}`"].cast("long").alias("id"))
-
-    def kept(which: str) -> DataFrame:
-        stay = firsts.where(which).select("doc_id")
-        return rows.join(stay, rows["id"].eqNullSafe(stay["doc_id"]), "left_semi")
-
+    alone = rows.join(marked.select("doc_id"), rows["id"].eqNullSafe(F.col("doc_id")), "left_anti")
+    repeated = rows.join(often, rows["id"].eqNullSafe(often["doc_id"]), "left_semi")
     alike = Window.partitionBy("id", F.md5(F.col(f"row.{text_col}"))).orderBy(F.lit(1))
-    repeated = kept("n_rows > 1").withColumn("nth", F.row_number().over(alike)).where("nth = 1")
-    return kept("n_rows = 1").select("row.*").unionByName(repeated.select("row.*"))
+    repeated = repeated.withColumn("nth", F.row_number().over(alike)).where("nth = 1")
+    return alone.select("row.*").unionByName(repeated.select("row.*"))
