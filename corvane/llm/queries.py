@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where SQL can say the same."""
+"""The registered queries of the numbered operators, and their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from corvane.llm.simhash_dedup import near_duplicates
 from corvane.llm.substring_dedup import dedup_substrings
 from corvane.llm.token_counts import folded_content, token_counts
 from corvane.llm.topk_search import integer_vectors, top_k
+from corvane.llm.vector_codes import codebooks_digest, scaled_vectors, vector_codes
 from corvane.session import fresh_path, materialise, table
 
 
@@ -116,6 +117,12 @@ def line_index_after_retraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: 8 parts, 16 entries, 6 rounds."""
+    codes, books = vector_codes(scaled_vectors(table(spark, sf_dir, "embeddings"), scale=4096), parts=8, entries=16, rounds=6)
+    return codes.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_topk_search": op2_topk_search,
@@ -131,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
     "line_index_after_retraction": line_index_after_retraction,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -244,3 +252,28 @@ SQL["op8_source_mixing"] = f"""
         FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
     e AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS epochs FROM o)
     SELECT doc_id, size, source_size, target, epochs * size + greatest(0, least(size, budget - epochs * source_size - before)) AS taken FROM e"""
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round assigns every part to its nearest entry and then makes new entries of floored means."""
+    distance = "list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+    assigned = f"SELECT rid, p, any_value(x) AS x, arg_min(e, {distance} * {entries} + e) AS e, min({distance}) AS d FROM v JOIN {{}} USING (p) GROUP BY rid, p"
+    floored = "CAST((s - ((s % n + n) % n)) // n AS BIGINT)"
+    steps = [f"""
+        a{k} AS MATERIALIZED ({assigned.format(f"e{k}")}),
+        s{k} AS (SELECT p, e, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY p, e, j),
+        m{k} AS (SELECT p, e, list({floored} ORDER BY j) AS c FROM s{k} GROUP BY p, e),
+        e{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, e{k}.c) AS c FROM e{k} LEFT JOIN m{k} USING (p, e))""" for k in range(rounds)]
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS f,
+            row_number() OVER (ORDER BY vec_id NULLS LAST, f) AS rid FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        v AS MATERIALIZED (SELECT rid, p, f[p * len(f) // {parts} + 1 : (p + 1) * len(f) // {parts}] AS x FROM kept, range({parts}) r(p)),
+        e0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM v WHERE rid <= {entries}),{",".join(steps)},
+        placed AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+            FROM ({assigned.format(f"e{rounds}")}) GROUP BY rid)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM e{rounds}) AS codebooks_sha256
+        FROM placed JOIN kept USING (rid)"""
+
+
+SQL["op11_vector_codes"] = _codes_sql()
