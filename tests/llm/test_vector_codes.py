@@ -61,7 +61,7 @@ def test_search_is_exact_and_looks_at_few():
     rng = np.random.default_rng(4)
     centres = rng.integers(-4000, 4000, (16, 8))
     entries = np.concatenate([centres[:15], centres[3:4]])  # an entry twice
-    x = np.concatenate([centres[rng.integers(0, 16, 2000)] + rng.integers(-50, 50, (2000, 8)), (entries[:1] + entries[1:2]) // 2])
+    x = np.concatenate([centres[rng.integers(0, 15, 2000)] + rng.integers(-50, 50, (2000, 8)), (entries[:1] + entries[1:2]) // 2])
     d = np.square(x[:, None] - entries[None]).sum(axis=2)
     for before in (np.zeros(len(x), np.uint8), d.argmin(axis=1).astype(np.uint8), rng.integers(0, 16, len(x)).astype(np.uint8)):
         at, best, computed = nearest(x, before, entries)
