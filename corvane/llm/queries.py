@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.html_extract import extract_main_text
+from corvane.llm.jaccard_join import similar_sets
 from corvane.llm.line_dedup import LineIndex, dedup_lines
 from corvane.llm.mixing import mix
 from corvane.llm.packing import pack
+from corvane.llm.prefix_trie import numbered_turns, prefix_trie, with_shared_heads
 from corvane.llm.quality_rules import LENIENT, STANDARD, ablation, apply_policy, ledger
 from corvane.llm.secret_scan import ALLOWED, CANDIDATE, CLASSES, WINDOW, secret_scan
 from corvane.llm.simhash_dedup import near_duplicates
@@ -123,6 +125,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.withColumn("codebooks_sha256", F.lit(codebooks_digest(books)))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, linked at a similarity of 0.9 of three-word shingles."""
+    return similar_sets(table(spark, sf_dir, "documents"), percent=90, shingle=3)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin like the first one of their hundred."""
+    turns = materialise(numbered_turns(table(spark, sf_dir, "conversations")), "numbered-turns")
+    return prefix_trie(*with_shared_heads(turns, group=100, most=6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_topk_search": op2_topk_search,
@@ -139,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "line_index_after_retraction": line_index_after_retraction,
     "op11_vector_codes": op11_vector_codes,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -277,3 +292,38 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int =
 
 
 SQL["op11_vector_codes"] = _codes_sql()
+
+# CRC-32 of a decimal id, a bit at a time
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"""
+SQL["op13_prefix_trie"] = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {_CRC} % 6 AS h, list({{'turn': concat(strlen(role), ':', role, strlen(text), ':', text), 'size': length(text)}}
+        ORDER BY turn NULLS FIRST, md5(concat(strlen(role), ':', role, text))) AS own FROM t GROUP BY conv_id),
+    p AS (SELECT c.conv_id, list_concat(coalesce(b.own[1 : c.h], []), c.own[c.h + 1 :]) AS path FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+    occ AS MATERIALIZED (SELECT conv_id, d, len(path) = d AS ends, coalesce(path[d].size, 0) AS size,
+        md5(array_to_string(list_transform(path[1 : d], lambda x: x.turn), '')) AS key FROM p, LATERAL (SELECT unnest(range(len(path) + 1)) AS d)),
+    n AS MATERIALIZED (SELECT d, key, min(conv_id) AS owner, count(*) AS n_convs, any_value(size) AS size,
+        string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends) AS ended FROM occ GROUP BY d, key),
+    up AS (SELECT n.d, n.key, p.key AS above FROM n JOIN occ p ON p.conv_id = n.owner AND p.d = n.d - 1),
+    kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM up GROUP BY ALL),
+    sub AS (SELECT a.d, a.key, sum((n.n_convs - 1) * n.size) AS saved, count(*) FILTER (n_children IS NULL) AS n_leaves
+        FROM n LEFT JOIN kids USING (d, key) JOIN occ a ON a.conv_id = n.owner AND a.d <= n.d GROUP BY a.d, a.key)
+    SELECT n.owner AS conv_id, n.d AS depth, p.owner AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+        CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ended, '')) AS ends_sha256
+    FROM n JOIN sub USING (d, key) LEFT JOIN kids USING (d, key) LEFT JOIN up USING (d, key) LEFT JOIN n p ON p.d = n.d - 1 AND p.key = up.above"""
+
+_LOWER_WORDS = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+SQL["op12_jaccard_join"] = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+    s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 2], ' ') AS shingle FROM d, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i) WHERE len(ws) > 0),
+    sets AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS digest FROM s GROUP BY doc_id),
+    one AS MATERIALIZED (SELECT min(doc_id) AS doc_id, any_value(n) AS n, digest FROM sets GROUP BY digest),
+    t AS MATERIALIZED (SELECT doc_id, n, shingle FROM s JOIN one USING (doc_id)),
+    links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+    edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(x, y) AS (SELECT doc_id, doc_id FROM one UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x),
+    c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+    FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN one USING (digest) LEFT JOIN c ON c.doc_id = one.doc_id"""
