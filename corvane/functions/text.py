@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions import addresses
+
 # Query parameters that only track, and prefixes of such.
 TRACKING_PARAMS = (
     "gclid", "gclsrc", "dclid", "gbraid", "wbraid", "fbclid", "msclkid", "yclid", "_openstat", "mc_cid", "mc_eid",
@@ -173,38 +175,22 @@ def json_merge_sources(*columns: str) -> Column:
 
 # Names of cloud metadata servers; the same as an address; ranges of IPv6 that are not public.
 HARD_DENY_HOSTS = ("metadata.google.internal", "metadata.google.com", "metadata.goog")
-HARD_DENY_V6 = "fd00:ec2::254"
+HARD_DENY_V6 = "fd00:ec2::254/128"
 SOFT_DENY_V6 = ("::/128", "::1/128", "fe80::/10", "fc00::/7", "ff00::/8")
 
 
-def _v6_parts(host):
-    """For IPv6 addresses: the IPv4 address within, or else the class; empty for what is none."""
-    import ipaddress
-
-    import pandas as pd
-
-    deny = [ipaddress.ip_network(n) for n in SOFT_DENY_V6]
-    within, kinds = [], []
-    for h in host:
-        try:
-            ip = ipaddress.IPv6Address(h) if h and ":" in h else None
-        except ValueError:
-            ip = None
-        v4 = ip and (ip.ipv4_mapped or (ipaddress.IPv4Address(int(ip)) if 1 < int(ip) < 1 << 32 else None))
-        within.append(str(v4) if v4 else None)
-        kinds.append(None if ip is None or v4 else "hard_deny" if ip == ipaddress.IPv6Address(HARD_DENY_V6) else "soft_deny" if any(ip in n for n in deny) else "public")
-    return pd.DataFrame({"v4": within, "kind": kinds}, dtype="object")
-
-
 def host_class(host: Column) -> Column:
-    """Class of an IPv4 or IPv6 address or a known host name; null for other names, which must be resolved first."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """Class of an IPv4 or IPv6 address or a known host name; null for other names, which must be resolved first.
 
-    def parts(hosts):
-        return _v6_parts(hosts)
+    An IPv4 address within an IPv6 one (mapped, or in the last 32 bits) counts as itself.
+    """
 
-    parts.__annotations__ = {"hosts": pd.Series, "return": pd.DataFrame}
-    plain = F.lower(F.regexp_replace(F.trim(host), r"\.+$", ""))
-    v6 = pandas_udf(parts, "v4 string, kind string")(plain)
-    return F.when(plain.isin(*HARD_DENY_HOSTS), "hard_deny").otherwise(F.coalesce(v6["kind"], ipv4_class(F.coalesce(v6["v4"], plain))))
+    def judged(number: Column) -> Column:
+        compatible = (number["upper"] == 0) & (number["lower"] > 1) & (number["lower"] < 1 << 32)
+        mapped = F.struct(number["upper"].alias("upper"), F.when(compatible, number["lower"].bitwiseOR(F.lit(0xFFFF << 32))).otherwise(number["lower"]).alias("lower"))
+        deny = lambda ranges: addresses.in_ranges(mapped, ranges)
+        kind = F.when(deny((*HARD_DENY, HARD_DENY_V6)), "hard_deny").when(deny((*SOFT_DENY, *SOFT_DENY_V6)), "soft_deny").otherwise("public")
+        return F.when(number.isNotNull(), kind)
+
+    plain = F.lower(F.rtrim(F.trim(host), F.lit(".")))
+    return F.when(plain.isin(*HARD_DENY_HOSTS), "hard_deny").otherwise(F.element_at(F.transform(F.array(addresses.address_number(plain)), judged), 1))

@@ -16,21 +16,59 @@ CHUNK = "doc_id long, strategy string, seq int, start int, end int, token_count
 
 @dataclass(frozen=True)
 class ChunkConfig:
+    """Sizes in tokens. ``limit`` is the model's, with ``prefix`` and ``specials`` in; a header has at most ``header`` tokens."""
+
     target: int = 300
     overlap: int = 100
     header: int = 64
     limit: int = 512
+    prefix: str = "passage: "
+    specials: int = 2
 
     def __post_init__(self) -> None:
-        if self.overlap >= self.target or self.target + self.header + 16 > self.limit:
+        if not 0 <= self.overlap < self.target or self.target + self.header + 16 > self.limit:
             raise ValueError("overlap must be under the target, and target, header and 16 within the limit")
 
 
-def tokens_of(text: str) -> list[tuple[int, int]]:
-    """Bounds of tokens: words, single CJK characters and marks. Stands in for a model's tokenizer."""
-    import re
+class PlainTokens:
+    """Words, single CJK characters and marks, for where no vocabulary is at hand."""
+
+    def starts(self, text: str) -> list[int]:
+        import re
+
+        return [m.start() for m in re.finditer(r"[⺀-鿿豈-﫿]|[^\W⺀-鿿豈-﫿]+|[^\w\s]", text)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(self.starts(t)) for t in texts]
+
+
+class VocabularyTokens:
+    """The tokens of a vocabulary file of the tokenizers library; special strings in texts are ordinary text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    return [m.span() for m in re.finditer(r"[⺀-鿿豈-﫿]|[^\W⺀-鿿豈-﫿]+|[^\w\s]", text)]
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+
+    def starts(self, text: str) -> list[int]:
+        """Code points at which tokens begin; the tokens of one character begin at it together."""
+        return sorted({a for a, _ in self._tokenizer.encode(text, add_special_tokens=False).offsets})
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+_LOADED: dict[str | None, PlainTokens | VocabularyTokens] = {}
+
+
+def tokens_of(vocabulary: str | None) -> PlainTokens | VocabularyTokens:
+    """The tokenizer of a vocabulary file, loaded once a worker."""
+    if vocabulary not in _LOADED:
+        _LOADED[vocabulary] = PlainTokens() if vocabulary is None else VocabularyTokens(vocabulary)
+    return _LOADED[vocabulary]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -61,16 +99,30 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [*spans, (start, n)] if start < n else spans
 
 
-def packed(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
+def hard_cut(text: str, a: int, b: int, budget: int, tokens) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of pieces that cover a span, cut where tokens begin, each of at most ``budget`` tokens when it is counted by itself.
+
+    A piece by itself may have more tokens than it had within the span; then it is cut once more. One character is never cut.
+    """
+    done, todo = [], [(a, b, max(1, budget - 1))]
+    while todo:
+        a, b, step = todo.pop()
+        starts = [x for x in tokens.starts(text[a:b])[step::step] if 0 < x < b - a]
+        cuts = [a, *[a + x for x in starts], b]
+        pieces = list(zip(cuts, cuts[1:]))
+        for (x, y), n in zip(pieces, tokens.counts([text[x:y] for x, y in pieces])):
+            if n <= budget or y - x == 1 or step == 1:
+                done.append((x, y, n))
+            else:
+                todo.append((x, y, step // 2))
+    return sorted(done)
+
+
+def packed(text: str, config: ChunkConfig, tokens=PlainTokens()) -> list[tuple[int, int]]:
     """Spans of whole sentences up to the target; each begins with up to ``overlap`` tokens of the last, and goes on."""
-    units = []
-    for a, b in sentences(text):
-        found = tokens_of(text[a:b])
-        if len(found) <= config.target:
-            units.append((a, b, len(found)))
-            continue
-        cuts = [a, *[a + found[i][0] for i in range(config.target, len(found), config.target)], b]
-        units += [(x, y, min(config.target, len(found) - i * config.target)) for i, (x, y) in enumerate(zip(cuts, cuts[1:]))]
+    units, spans = [], sentences(text)
+    for (a, b), n in zip(spans, tokens.counts([text[a:b] for a, b in spans])):
+        units += [(a, b, n)] if n <= config.target else hard_cut(text, a, b, config.target, tokens)
     spans, first = [], 0
     while first < len(units):
         last, total = first, units[first][2]
@@ -88,12 +140,47 @@ def packed(text: str, config: ChunkConfig) -> list[tuple[int, int]]:
     return spans
 
 
-def _chunks(config: ChunkConfig, max_bytes: int | None):
+def capped_header(title: str, most: int, tokens) -> str:
+    """The longest beginning of a title, up to where a token begins, that has at most ``most`` tokens by itself."""
+    if tokens.counts([title])[0] <= most:
+        return title
+    starts = tokens.starts(title)
+    for at in reversed(starts[: most + 1]):
+        if tokens.counts([title[:at]])[0] <= most:
+            return title[:at]
+    return ""
+
+
+def document_chunks(title: str | None, text: str, strategy: str, config: ChunkConfig, tokens) -> list[tuple[int, int, int, str]]:
+    """(start, end, token_count, header) of a document's chunks; token_count is of the header, a line's end and the chunk.
+
+    What the model is given - prefix, header, chunk and special tokens - never exceeds the limit. A chunk that begins with the whole title
+    has no header; spans of nothing but white space are left out.
+    """
+    head = capped_header(title, config.header, tokens) if title else ""
+    within = len(title) if title and text.startswith(title) else None
+    header = lambda a, b: "" if within is not None and a == 0 and b >= within else head
+    given = lambda a, b: f"{header(a, b)}\n{text[a:b]}" if header(a, b) else text[a:b]
+    fits = lambda spans: [n + config.specials <= config.limit for n in tokens.counts([config.prefix + given(a, b) for a, b in spans])]
+    spans = [(0, len(text))] if strategy in ("record", "whole") and fits([(0, len(text))])[0] else packed(text, config, tokens)
+    spans = [(a, b) for a, b in spans if text[a:b].strip()]
+    out = []
+    for (a, b), ok in zip(spans, fits(spans)):
+        if ok:
+            out.append((a, b))
+            continue
+        room = config.limit - config.specials - tokens.counts([f"{config.prefix}{head}\n"])[0] - 4
+        out += [(x, y) for x, y, _ in hard_cut(text, a, b, max(1, room), tokens) if text[x:y].strip()]
+    return [(a, b, n, header(a, b)) for (a, b), n in zip(out, tokens.counts([given(a, b) for a, b in out]))]
+
+
+def _chunks(config: ChunkConfig, max_bytes: int | None, vocabulary: str | None):
     columns = [c.split()[0] for c in CHUNK.split(", ")] + ["truncated"] * (max_bytes is not None)
 
     def run(batches):
         import pandas as pd
 
+        tokens = tokens_of(vocabulary)
         for pdf in batches:
             rows = []
             for doc, title, text, strategy in zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["strategy"]):
@@ -101,27 +188,33 @@ def _chunks(config: ChunkConfig, max_bytes: int | None):
                 if max_bytes is not None:
                     source = text.encode()
                     text, cut = source[:max_bytes].decode(errors="ignore"), (len(source) > max_bytes,)
-                head_tokens = tokens_of(title or "")
-                head = (title or "")[: head_tokens[min(config.header, len(head_tokens)) - 1][1]] if head_tokens else ""
-                room = config.limit - len(tokens_of(head)) - 16
-                whole = strategy in ("record", "whole") and len(tokens_of(text)) <= room
-                spans = [(0, len(text))] if whole else packed(text, config)
-                spans = [(a, b) for a, b in spans if text[a:b].strip()]
-                for seq, (a, b) in enumerate(spans):
-                    piece = text[a:b]
-                    rows.append((doc, strategy, seq, a, b, len(tokens_of(piece)), "" if head in piece else head, piece, *cut))
+                for seq, (a, b, n, head) in enumerate(document_chunks(title, text, strategy, config, tokens)):
+                    rows.append((doc, strategy, seq, a, b, n, head, text[a:b], *cut))
             yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), max_bytes: int | None = None) -> DataFrame:
+def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig(), max_bytes: int | None = None, vocabulary: str | None = None) -> DataFrame:
     """Chunks of (doc_id, title, text, object_type): imports are records, articles stay whole if they fit, else packed.
 
-    The whole text is chunked. With ``max_bytes`` only that much of it is, and a column ``truncated`` tells of which documents.
+    ``vocabulary`` is the path of a vocabulary file of the tokenizers library, by which tokens are counted and over-long sentences cut; without
+    one a plain rule is. The whole text is chunked. With ``max_bytes`` only that much of it is, and a column ``truncated`` tells of which documents.
     """
     kind = F.when(F.col("object_type") == "imported", "record").when(F.col("object_type") == "article", "whole").otherwise("fixed")
-    return docs.select(F.col("doc_id").cast("long"), "title", "text", kind.alias("strategy")).mapInPandas(_chunks(config, max_bytes), CHUNK + ", truncated boolean" * (max_bytes is not None))
+    chunks = _chunks(config, max_bytes, vocabulary)
+    return docs.select(F.col("doc_id").cast("long"), "title", "text", kind.alias("strategy")).mapInPandas(chunks, CHUNK + ", truncated boolean" * (max_bytes is not None))
+
+
+def coverage(chunks: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, n_covered, largest): code points that chunks cover, overlaps once, and the largest token count.
+
+    Chunks come in the order of their starts, so what a chunk adds is what lies beyond the furthest end so far.
+    """
+    before = Window.partitionBy("doc_id", "strategy").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0)))
+    added = chunks.select("doc_id", "token_count", F.greatest(F.lit(0), F.col("end") - reached).alias("new"))
+    return added.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("new").alias("n_covered"), F.max("token_count").alias("largest"))
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -5,39 +5,113 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.addresses import LOOPBACK, PRIVATE, UNSPECIFIED, address_number, canonical_ipv6, in_ranges
+
 # ASCII word bounds: an indicator beside a CJK character counts.
 _L, _R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+# a bound between a word character and another one, for patterns that may begin or end with a mark
+_B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 CVE = rf"(?i){_L}CVE-\d{{4}}-\d{{4,}}{_R}"
 IPV4 = rf"{_L}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_R}"
-EMAIL = rf"(?i){_L}[a-z0-9._%+\-]+@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)+{_R}"
+EMAIL = rf"(?i){_B}[a-z0-9._%+\-]+@[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)+{_R}"
 URL = rf"""(?i){_L}https?://[^\s<>"'`\\]+"""
 HASH = rf"(?i){_L}(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}}){_R}"
 ACCOUNT = rf"(?i){_L}(?:https?://)?(?:www\.)?(github\.com|twitter\.com|x\.com|t\.me)/([A-Za-z0-9_]{{1,32}})(?![A-Za-z0-9_-])"
-#: How far an excerpt reaches to either side.
-EXCERPT = 240
+IPV6 = rf"(?i){_B}(?:[0-9a-f]{{0,4}}:){{2,7}}[0-9a-f]{{0,4}}{_B}"
+DOMAIN = rf"(?i){_L}[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?)*\.[a-z]{{2,}}{_R}"
+#: How far an excerpt reaches to either side, and the pieces of a text that excerpts are cut from.
+EXCERPT, PIECE = 240, 4096
+
+# First parts of paths that are pages of a platform and no one's account.
+RESERVED_PATHS = (
+    "orgs", "settings", "marketplace", "sponsors", "notifications", "login", "signup", "join", "features", "topics", "collections", "explore", "about",
+    "pricing", "enterprise", "security", "new", "search", "site", "apps", "gist", "pulls", "issues", "organizations", "users", "account", "copilot",
+    "codespaces", "discussions", "home", "i", "messages", "compose", "intent", "hashtag", "tos", "privacy", "share", "joinchat", "addstickers",
+    "proxy", "socks", "setlanguage", "addlist",
+)
+
+# Names of files that look like domains.
+FILE_NAMES = (
+    "readme.md", "changelog.md", "license.md", "contributing.md", "security.md", "index.md", "setup.py", "main.py", "app.py", "test.py", "__init__.py",
+    "index.js", "app.js", "main.js", "server.js", "config.js", "package.json", "index.php", "config.php", "shell.php", "cmd.php", "main.go", "main.rs",
+    "lib.rs", "mod.rs", "build.rs", "makefile.am", "configure.ac", "cargo.toml", "package.lock", "install.sh", "build.sh", "run.sh", "entrypoint.sh",
+    "setup.sh", "start.sh", "index.html", "index.htm", "default.aspx",
+)
+
+
+def let(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def scan(values: Column, zero: Column, op) -> Column:
+    """Of every element what ``op``, which is associative, makes of all before it, from ``zero`` on; whole numbers.
+
+    A fold that adds to an array copies it each time, so folds run within blocks of about the root of the length.
+    """
+
+    def fold(part: Column, start: Column) -> Column:
+        init = F.struct(start.alias("now"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct(op(a["now"], x).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out"))
+        return F.aggregate(part, init, step, lambda a: a["out"])
+
+    def blocked(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
+        starts = lambda bs: fold(F.transform(bs, lambda b: F.aggregate(b, zero, op)), zero)
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, starts(bs), fold)))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, blocked(v)).otherwise(F.array().cast("array<int>")))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (at, hit): code point offsets and texts of all matches."""
+    """Array of (at, hit, excerpt): code point offsets, texts and surroundings of all matches."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<at:int,hit:string>>"
-    init = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
+    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), h.alias("hit")))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["end"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["hit"])).alias("end"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), x["hit"].alias("hit")))).alias("out"))
+    def placed(ps: Column) -> Column:
+        starts = scan(F.transform(ps, lambda p: p["gap"] + F.length(p["hit"])), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(ps, starts, lambda p, s: F.struct((s + p["gap"]).alias("at"), p["hit"].alias("hit")))
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, init, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
+    # excerpts are cut from pieces, as reaching into a long text takes time by the distance
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = lambda ms: let(pieces, lambda ws: F.transform(ms, lambda m: F.struct(m["at"].alias("at"), m["hit"].alias("hit"), _excerpt(ws, m).alias("excerpt"))))
+    found = let(let(pairs, placed), cut)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<at:int,hit:string,excerpt:string>>"))
+
+
+def _excerpt(pieces: Column, m: Column) -> Column:
+    start = F.greatest(m["at"] - EXCERPT, F.lit(0))
+    n = m["at"] - start + F.length(m["hit"]) + EXCERPT
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((start + n) / PIECE).cast("int")
+    return F.trim(F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, n))
+
+
+def last_before(points: Column, spans: Column) -> Column:
+    """Of every point (field at, ascending) the index of the last span (field at, ascending) that starts no later; -1 if none does."""
+    event = lambda kind: lambda x, i: F.struct(x["at"].alias("at"), F.lit(kind).alias("kind"), i.cast("int").alias("i"))
+
+    def merged(events: Column) -> Column:
+        last = scan(F.transform(events, lambda e: F.when(e["kind"] == 0, e["i"]).otherwise(-1)), F.lit(-1), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(events, last, lambda e, n: F.struct(e["kind"].alias("kind"), n.alias("n")))
+        return F.transform(F.filter(both, lambda x: x["kind"] == 1), lambda x: x["n"])
+
+    return let(F.array_sort(F.concat(F.transform(spans, event(0)), F.transform(points, event(1)))), merged)
 
 
 def _found(docs: DataFrame, pattern: str) -> DataFrame:
-    return docs.select("doc_id", "text", F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "text", "m.at", "m.hit")
+    return docs.select("doc_id", F.explode(matches(F.col("text"), pattern)).alias("m")).select("doc_id", "m.at", "m.hit", "m.excerpt")
+
+
+_ITEM = ["doc_id", "entity_type", "entity_key", "confidence", "at", "excerpt", "attributes"]
 
 
-def _item(rows: DataFrame, kind, key: Column, confidence) -> DataFrame:
+def _item(rows: DataFrame, kind, key: Column, confidence, **attributes: Column) -> DataFrame:
+    """Items; attributes that are null are left out."""
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return rows.select("doc_id", as_col(kind).alias("entity_type"), key.alias("entity_key"), as_col(confidence).cast("double").alias("confidence"), "at", "text", "hit")
+    named = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in attributes.items()]
+    given = F.filter(F.array(*named), lambda x: x["value"].isNotNull()) if named else F.array().cast("array<struct<key:string,value:string>>")
+    return rows.select("doc_id", as_col(kind).alias("entity_type"), key.alias("entity_key"), as_col(confidence).cast("double").alias("confidence"), "at", "excerpt", F.map_from_entries(given).alias("attributes"))
 
 
 def to_extract(docs: DataFrame) -> DataFrame:
@@ -53,63 +127,132 @@ def extract_cves(docs: DataFrame) -> DataFrame:
 def extract_ipv4(docs: DataFrame) -> DataFrame:
     """Addresses whose parts are at most 255 and have no leading zero."""
     ok = F.forall(F.split("hit", r"\."), lambda p: (p.cast("int") <= 255) & (p.cast("int").cast("string") == p))
-    return _item(_found(docs, IPV4).where(ok), "ip", F.col("hit"), 0.75)
+    return _address(_found(docs, IPV4).where(ok), F.col("hit"), 4, 0.75)
+
+
+def extract_ipv6(docs: DataFrame) -> DataFrame:
+    """Addresses in their canonical form; what only looks like one, such as a time of day, is left out."""
+    rows = _found(docs, IPV6).withColumn("key", canonical_ipv6(F.col("hit"))).where("key IS NOT NULL")
+    return _address(rows, F.col("key"), 6, 0.95)
+
+
+def _address(rows: DataFrame, key: Column, version: int, confidence: float) -> DataFrame:
+    rows = rows.withColumn("number", address_number(key))
+    kind = lambda ranges: in_ranges(F.col("number"), ranges)
+    private, loopback, nothing = kind(PRIVATE), kind(LOOPBACK), kind(UNSPECIFIED)
+    return _item(rows, "ip", key, confidence, ip_version=F.lit(version), is_loopback=loopback, is_private=private, is_globally_routable=~(private | loopback | nothing))
 
 
 def extract_emails(docs: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """Addresses, lower-cased; with ``suffixes`` only those whose domain ends in a known one."""
-    items = _item(_found(docs, EMAIL), "email", F.lower("hit"), 0.95)
+    key = F.lower("hit")
+    items = _item(_found(docs, EMAIL), "email", key, 0.95, domain=F.substring_index(key, "@", -1))
     return items if suffixes is None else items.where(F.substring_index("entity_key", ".", -1).isin(*suffixes))
 
 
 def extract_hashes(docs: DataFrame) -> DataFrame:
-    """MD5, SHA-1 and SHA-256 by length; forty digits may be something else and count less."""
-    return _item(_found(docs, HASH), "hash", F.lower("hit"), F.when(F.length("hit") == 40, 0.7).otherwise(0.9))
+    """MD5, SHA-1 and SHA-256 by length; forty digits may be something else and count less. No run of digits in a UUID is as long."""
+    n = F.length("hit")
+    algorithm = F.when(n == 32, "md5").when(n == 40, "sha1").otherwise("sha256")
+    return _item(_found(docs, HASH), "hash", F.lower("hit"), F.when(n == 40, 0.7).otherwise(0.9), algorithm=algorithm, ambiguous_sha1=F.when(n == 40, True))
 
 
-def extract_accounts(docs: DataFrame, reserved: tuple[str, ...] = ("about", "login", "search", "settings", "explore", "home", "share", "intent")) -> DataFrame:
+def extract_accounts(docs: DataFrame, reserved: tuple[str, ...] = RESERVED_PATHS) -> DataFrame:
     host, handle = F.lower(F.regexp_extract("hit", ACCOUNT, 1)), F.lower(F.regexp_extract("hit", ACCOUNT, 2))
     platform = F.when(host == "github.com", "github").when(host == "t.me", "telegram").otherwise("twitter")
-    return _item(_found(docs, ACCOUNT).where(~handle.isin(*reserved)), "account", F.concat_ws(":", platform, handle), 0.75)
+    rows = _found(docs, ACCOUNT).where(~handle.isin(*reserved))
+    return _item(rows, "account", F.concat_ws(":", platform, handle), 0.75, platform=platform, handle=handle)
 
 
 def trim_url_tail(url: Column) -> Column:
-    """Punctuation at the end, and a closing bracket that nothing opens, are not the url's."""
-    return F.regexp_replace(F.regexp_replace(url, r"[.,;:!?。，；：！？、]+$", ""), r"^([^(]*)\)+$", "$1")
-
+    """Marks at the end are not the url's, nor are closing brackets that nothing opens."""
 
-def extract_urls(docs: DataFrame) -> DataFrame:
-    from corvane.functions.urls import canonical_url
+    def without_surplus(text: Column, opens: str, closes: str) -> Column:
+        surplus = F.regexp_count(text, F.lit(rf"\{closes}")) - F.regexp_count(text, F.lit(rf"\{opens}"))
+        tail = F.length(text) - F.length(F.rtrim(text, F.lit(closes)))
+        return F.substring(text, F.lit(1), F.length(text) - F.greatest(F.lit(0), F.least(surplus, tail)))
 
-    rows = _found(docs, URL).withColumn("hit", trim_url_tail(F.col("hit")))
-    return _item(rows, "url", F.coalesce(canonical_url("hit"), F.col("hit")), 0.95)
+    def once(text: Column) -> Column:
+        plain = F.regexp_replace(text, r"""[.,;:!?"'。，；：！？、]+$""", "")
+        return let(let(plain, lambda t: without_surplus(t, "(", ")")), lambda t: without_surplus(t, "[", "]"))
 
+    # brackets and marks may alternate
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), url, lambda text, _: once(text))
 
-def email_domains(emails: DataFrame) -> DataFrame:
-    """A domain for each address."""
-    return emails.select("doc_id", F.lit("domain").alias("entity_type"), F.substring_index("entity_key", "@", -1).alias("entity_key"), "confidence", "at", "text", "hit")
 
+def extract_urls(docs: DataFrame) -> DataFrame:
+    from corvane.functions.urls import canonical_url
 
-def extract_all(docs: DataFrame, max_items: int | None = None) -> DataFrame:
-    """(doc_id, entity_type, entity_key, confidence, at, excerpt) of all extractors; with ``max_items`` only the first so many a document."""
-    emails = extract_emails(docs)
-    parts = [extract_cves(docs), extract_ipv4(docs), emails, email_domains(emails), extract_hashes(docs), extract_accounts(docs), extract_urls(docs)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    found = rows.withColumn("excerpt", excerpt(F.col("text"), F.col("at"), F.length("hit"))).drop("text", "hit")
+    rows = _found(docs, URL).withColumn("hit", trim_url_tail(F.col("hit")))
+    host = F.nullif(F.lower(F.regexp_extract("hit", r"^[A-Za-z]+://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    return _item(rows, "url", F.coalesce(canonical_url("hit"), F.col("hit")), 0.95, scheme=F.lower(F.substring_index("hit", ":", 1)), host=host)
+
+
+def derived_domains(items: DataFrame) -> DataFrame:
+    """The domain of each address and of each url whose host is no IP address."""
+    host = F.rtrim(F.coalesce(F.col("attributes")["domain"], F.col("attributes")["host"]), F.lit("."))
+    rows = items.where(F.col("entity_type").isin("url", "email")).withColumn("key", host)
+    rows = rows.where("key IS NOT NULL").where(~F.col("key").rlike(r"^\d{1,3}(\.\d{1,3}){3}$|^\["))
+    return _item(rows, "domain", F.col("key"), 0.95)
+
+
+def bare_domains(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, hit, excerpt, in_url, in_email) of names in running text that look like domains.
+
+    ``in_url`` tells that the name lies in a url, ``in_email`` is the domain of the address in which it lies.
+    """
+    text = F.col("text")
+    points, emails = matches(text, DOMAIN), matches(text, EMAIL)
+    urls = F.transform(matches(text, URL), lambda m: F.struct(m["at"].alias("at"), trim_url_tail(m["hit"]).alias("hit")))
+    covering = lambda ps, spans: let(spans, lambda ss: F.zip_with(ps, last_before(ps, ss), lambda p, i: F.when(p["at"] < F.get(ss, i)["at"] + F.length(F.get(ss, i)["hit"]), F.get(ss, i)["hit"])))
+    covered = let(points, lambda ps: F.arrays_zip(ps.alias("p"), covering(ps, urls).alias("url"), covering(ps, emails).alias("email")))
+    each = docs.where(text.rlike(DOMAIN)).select("doc_id", F.explode(covered).alias("m")).select("doc_id", "m.p", "m.url", "m.email")
+    in_email = F.lower(F.substring_index("email", "@", -1))
+    return each.select("doc_id", "p.at", F.lower("p.hit").alias("hit"), "p.excerpt", F.col("url").isNotNull().alias("in_url"), in_email.alias("in_email"))
+
+
+def extract_domains(docs: DataFrame, derived_from: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Domains of urls and addresses (``derived_from``), and those that stand by themselves, under known ``suffixes`` (column suffix).
+
+    A name by itself counts if it is no suffix, no file's name and not all digits before its suffix, and lies neither in a url nor in an
+    address that counts.
+    """
+    from corvane.functions.domains import with_suffix
+
+    derived = derived_domains(derived_from).select(*_ITEM[:-1])
+    plain = bare_domains(docs).where("NOT in_url AND length(hit) <= 253").where(~F.col("hit").isin(*FILE_NAMES))
+    plain = with_suffix(plain, "in_email", suffixes).where("suffix IS NULL").drop("suffix", "registrable")
+    plain = _item(plain, "domain", F.col("hit"), 0.8).select(*_ITEM[:-1])
+    rows = with_suffix(derived.unionByName(plain.withColumn("confidence", F.col("confidence"))), "entity_key", suffixes)
+    numbers = F.substring(F.col("entity_key"), F.lit(1), F.length("entity_key") - F.length(F.substring_index("entity_key", ".", -1))).rlike(r"^[0-9.]*$")
+    rows = rows.where("suffix IS NOT NULL").where((F.col("confidence") == 0.95) | (F.col("registrable").isNotNull() & ~numbers))
+    registrable = F.col("registrable")
+    return _item(rows, "domain", F.col("entity_key"), F.col("confidence"), public_suffix=F.col("suffix"), registrable_domain=registrable, is_registrable_domain=registrable == F.col("entity_key"))
+
+
+def extract_all(docs: DataFrame, max_items: int | None = None, suffixes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, entity_type, entity_key, confidence, at, excerpt, attributes) of all extractors; with ``max_items`` only the first so many a document.
+
+    With ``suffixes``, a table of public suffixes, addresses and domains must end in one, and domains in running text are found. Without it
+    domains are those of urls and addresses, whatever they end in.
+    """
+    from corvane.functions.domains import with_suffix
+
+    emails, urls = extract_emails(docs), extract_urls(docs)
+    if suffixes is not None:
+        known = with_suffix(emails.withColumn("host", F.col("attributes")["domain"]), "host", suffixes)
+        emails = known.where("suffix IS NOT NULL").select(*_ITEM)
+    linked = emails.unionByName(urls)
+    domains = derived_domains(linked) if suffixes is None else extract_domains(docs, linked, suffixes)
+    found = linked
+    for p in (extract_cves(docs), extract_ipv4(docs), extract_ipv6(docs), domains, extract_hashes(docs), extract_accounts(docs)):
+        found = found.unionByName(p)
     if max_items is None:
         return found
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "entity_key", "entity_type"))
     return found.withColumn("nth", nth).where(F.col("nth") <= max_items).drop("nth")
 
 
-def excerpt(text: Column, at: Column, n: Column) -> Column:
-    """What stands around a match."""
-    start = F.greatest(at - EXCERPT, F.lit(0))
-    return F.trim(F.substring(text, start + 1, at - start + n + EXCERPT))
-
-
 def entities(items: DataFrame) -> DataFrame:
     """One row an entity: greatest confidence, first and last document, number of documents."""
     return items.groupBy("entity_type", "entity_key").agg(
@@ -118,6 +261,26 @@ def entities(items: DataFrame) -> DataFrame:
     )
 
 
+def overlaid_attributes(items: DataFrame, order: tuple[str, ...] = ("doc_id", "at")) -> DataFrame:
+    """(entity_type, entity_key, attributes): of every key what the last item in ``order`` that has it says; other keys stay.
+
+    Each (entity, key) is one grouped maximum, which tasks take of their own rows first, so a frequent entity moves as few rows as any. At
+    one place the greater value wins. Entities without attributes have an empty map.
+    """
+    named = items.select("entity_type", "entity_key", *order, F.explode_outer("attributes").alias("name", "value"))
+    last = named.groupBy("entity_type", "entity_key", "name").agg(F.max_by("value", F.struct(*order, "value")).alias("value"))
+    entries = F.sort_array(F.filter(F.collect_list(F.struct("name", "value")), lambda x: x["name"].isNotNull()))
+    return last.groupBy("entity_type", "entity_key").agg(F.map_from_entries(entries).alias("attributes"))
+
+
+def upsert_entities(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored entities (entity_type, entity_key, confidence, attributes map) with new ones over them: the greater confidence, and attributes overlaid by key."""
+    key = ["entity_type", "entity_key"]
+    rows = stored.select(*key, "confidence", "attributes", F.lit(0).alias("at")).unionByName(new.select(*key, "confidence", "attributes", F.lit(1).alias("at")))
+    best = rows.groupBy(*key).agg(F.max("confidence").alias("confidence"))
+    return best.join(overlaid_attributes(rows, ("at",)), key)
+
+
 def mention_type(entity_type: Column) -> Column:
     return F.when(entity_type == "person", "authored_by").when(entity_type == "organization", "published_by").when(entity_type == "url", "references").otherwise("mentions")
 
@@ -166,18 +329,3 @@ def derived_edges(items: DataFrame) -> DataFrame:
     host = F.when(F.col("entity_type") == "email", F.substring_index("entity_key", "@", -1)).otherwise(F.regexp_extract("entity_key", r"^[a-z]+://([^/:?#]+)", 1))
     kind = F.when(F.col("entity_type") == "email", "associated_with").otherwise("belongs_to")
     return ends.select(host.alias("domain"), kind.alias("relationship_type"), "entity_type", "entity_key").distinct()
-
-
-def public_suffix(host, suffixes: tuple[str, ...]):
-    """The longest of ``suffixes`` that a host ends in; null if none does."""
-    best = F.lit(None).cast("string")
-    for s in sorted(suffixes, key=len):
-        best = F.when((host == s) | F.endswith(host, F.lit(f".{s}")), F.lit(s)).otherwise(best)
-    return best
-
-
-def registrable_domain(host, suffixes: tuple[str, ...]):
-    """The suffix and one label more."""
-    suffix = public_suffix(host, suffixes)
-    rest = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
-    return F.when(suffix.isNotNull() & (rest != "") & (host != suffix), F.concat_ws(".", F.substring_index(rest, ".", -1), suffix))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import text as T
+from corvane.functions import domains
 from corvane.operators import embed, extract, graph, ops, resolve, search
 from corvane.plans.catalog import query
 from corvane.session import materialise, table
@@ -157,14 +157,5 @@ def extract_account(spark, d):
     SELECT host, array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') AS domain FROM h WHERE host LIKE '%.example.%'""")
 def registrable_hosts(spark, d):
     hosts = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host")).distinct().where("host LIKE '%.example.%'")
-    return hosts.select("host", extract.registrable_domain(F.col("host"), ("com", "net", "org", "example.com", "example.net", "example.org")).alias("domain"))
-
-
-@query("""
-    SELECT * FROM (VALUES ('10.1.2.3', 'soft_deny'), ('8.8.8.8', 'public'), ('169.254.169.254', 'hard_deny'), ('::ffff:10.1.2.3', 'soft_deny'), ('fd00:ec2::254', 'hard_deny'),
-        ('::1', 'soft_deny'), ('::', 'soft_deny'), ('fe80::1', 'soft_deny'), ('fd12::9', 'soft_deny'), ('ff02::1', 'soft_deny'), ('2001:4860:4860::8888', 'public'),
-        ('Metadata.Google.Internal.', 'hard_deny'), ('example.com', NULL), ('1.2.3', NULL)) v(host, class)""")
-def host_classes(spark, d):
-    hosts = "10.1.2.3 8.8.8.8 169.254.169.254 ::ffff:10.1.2.3 fd00:ec2::254 ::1 :: fe80::1 fd12::9 ff02::1 2001:4860:4860::8888 Metadata.Google.Internal. example.com 1.2.3"
-    rows = spark.createDataFrame([(h,) for h in hosts.split()], "host string")
-    return rows.select("host", T.host_class(F.col("host")).alias("class"))
+    suffixes = spark.createDataFrame([(s,) for s in ("com", "net", "org", "example.com", "example.net", "example.org")], "suffix string")
+    return domains.with_suffix(hosts, "host", suffixes).select("host", F.col("registrable").alias("domain"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import domains
 from corvane.operators import extract, graph, project, resolve
 from corvane.plans.catalog import query
 from corvane.plans.graph_queries import _EDGES, edges
@@ -137,10 +138,9 @@ def extract_organization(spark, d):
         split_part(split_part(host, '.example.', 1), '.', -1) || '.example.' || split_part(host, '.example.', 2) AS domain FROM h""")
 def registrable_domains(spark, d):
     """With example.com, example.net and example.org as suffixes, the first label before is a site's."""
-    suffixes = ("example.com", "example.net", "example.org", "com", "net", "org")
+    suffixes = spark.createDataFrame([(s,) for s in ("example.com", "example.net", "example.org", "com", "net", "org")], "suffix string")
     rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^/:?#]+)", 1).alias("host"))
-    host = F.col("host")
-    return rows.select("page_id", "host", extract.public_suffix(host, suffixes).alias("suffix"), extract.registrable_domain(host, suffixes).alias("domain"))
+    return domains.with_suffix(rows, "host", suffixes).withColumnRenamed("registrable", "domain")
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, w0 AS (SELECT edge_id, src AS a, dst AS b FROM edges UNION ALL SELECT edge_id, dst, src FROM edges),

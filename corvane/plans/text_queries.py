@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import chunk, extract, stix
 from corvane.plans.catalog import query
-from corvane.session import table
+from corvane.session import materialise, table
 from corvane.sources import imports, web
 
 _SPACE = r"regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g')"
@@ -190,7 +190,13 @@ def extract_excerpts(spark, d):
 
 def _chunks(spark, d):
     docs = table(spark, d, "documents", spread=True).select("doc_id", F.lit("").alias("title"), "text", F.when(F.col("doc_id") % 3 == 0, "imported").when(F.col("doc_id") % 3 == 1, "article").otherwise("message").alias("object_type"))
-    return chunk.chunk_documents(docs)
+    return chunk.chunk_documents(docs, vocabulary=_vocabulary())
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query()
@@ -203,6 +209,17 @@ def chunk_stats(spark, d):
     return chunk.chunk_stats(_chunks(spark, d))
 
 
+@query("""
+    SELECT doc_id, length(text) AS n_covered, true AS within_limit, CASE WHEN doc_id % 3 <> 2 AND length(text) <= 400 THEN 1 END AS n_chunks
+    FROM documents WHERE regexp_matches(text, '\\S')""")
+def chunk_coverage(spark, d):
+    """Written chunks cover the whole text, none has more tokens than the model takes, and short articles and records are one."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"))
+    found = chunk.coverage(materialise(_chunks(spark, d), "chunks")).join(docs, F.col("doc_id") == F.col("id"))
+    one = F.when((F.col("doc_id") % 3 != 2) & (F.col("n") <= 400), F.col("n_chunks").cast("int"))
+    return found.select("doc_id", F.col("n_covered"), (F.col("largest") <= 510).alias("within_limit"), one.alias("n_chunks"))
+
+
 @query("SELECT NULL::BIGINT AS doc_id, NULL::INTEGER AS seq WHERE false")
 def chunk_validation(spark, d):
     """Chunks that break the numbering: there must be none."""
