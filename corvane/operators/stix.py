@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.addresses import canonical_ipv6
+from corvane.functions.urls import canonical_url
+
 # Relationship names outside and inside.
 TO_CORE = {
     "indicates": "indicates", "attributed-to": "attributed_to", "targets": "targets", "mitigates": "mitigates", "uses": "uses",
@@ -14,7 +17,8 @@ OBJECT_TYPES = {
     "threat-actor": "threat_actor", "malware": "malware", "vulnerability": "vulnerability", "indicator": "indicator",
     "domain-name": "domain", "ipv4-addr": "ip", "url": "url", "email-addr": "email",
 }
-CUSTOM_TYPE = "x-osint-core-entity"
+#: What entities are outside that have no counterpart there.
+CUSTOM_TYPE = "x-entity"
 ID = r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?--[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 OBJECT = "id string, type string, name string, value string, description string, identity_class string, relationship_type string, source_ref string, target_ref string"
 
@@ -44,18 +48,25 @@ def core_type(object_type: Column, identity_class: Column) -> Column:
     return kind
 
 
-def stix_type(entity_type: Column) -> Column:
+def stix_type(entity_type: Column, custom: str = CUSTOM_TYPE) -> Column:
     """What an entity is outside; types without a counterpart are custom objects."""
     kind = F.when(entity_type.isin("person", "organization"), "identity")
     for outside, inside in OBJECT_TYPES.items():
         kind = kind.when(entity_type == inside, outside)
-    return kind.otherwise(CUSTOM_TYPE)
+    return kind.otherwise(custom)
 
 
 def name_key(entity_type: Column, name: Column) -> Column:
-    """Names under which entities of a type meet."""
+    """Names under which entities of a type meet: addresses and urls in their canonical form, CVEs in capitals, all else in lower case.
+
+    What can't be read as what it is stays as it is.
+    """
     flat = F.trim(F.regexp_replace(name, r"\p{IsWhite_Space}+", " "))
-    return F.when(entity_type == "vulnerability", F.upper(flat)).otherwise(F.lower(flat))
+    dotless = F.rtrim(F.lower(name), F.lit("."))
+    return (
+        F.when(entity_type == "vulnerability", F.upper(flat)).when(entity_type.isin("domain", "email"), dotless)
+        .when(entity_type == "ip", F.coalesce(canonical_ipv6(name), name)).when(entity_type == "url", F.coalesce(canonical_url(name), name)).otherwise(F.lower(flat))
+    )
 
 
 def read_bundle(spark, path: str) -> DataFrame:
@@ -97,16 +108,16 @@ def import_entities(stored: DataFrame, found: DataFrame, least: float = 0.8) ->
     )
 
 
-def export_objects(entities: DataFrame) -> DataFrame:
-    """(id, object): every entity (entity_id, entity_type, name) as JSON."""
-    kind = stix_type(F.col("entity_type"))
+def export_objects(entities: DataFrame, custom: str = CUSTOM_TYPE) -> DataFrame:
+    """(id, object): every entity (entity_id, entity_type, name) as JSON; types without a counterpart are objects of type ``custom``."""
+    kind = stix_type(F.col("entity_type"), custom)
     stix_id = F.concat(kind, F.lit("--"), F.col("entity_id"))
     value = kind.isin("domain-name", "ipv4-addr", "url", "email-addr")
     body = F.struct(
         kind.alias("type"), F.lit("2.1").alias("spec_version"), stix_id.alias("id"), F.when(~value, F.col("name")).alias("name"),
         F.when(value, F.col("name")).alias("value"),
         F.when(kind == "identity", F.when(F.col("entity_type") == "person", "individual").otherwise("organization")).alias("identity_class"),
-        F.when(kind == CUSTOM_TYPE, F.col("entity_type")).alias("x_entity_type"),
+        F.when(kind == custom, F.col("entity_type")).alias("x_entity_type"),
     )
     return entities.select(stix_id.alias("id"), F.to_json(body).alias("object"))
 

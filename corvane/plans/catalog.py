@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return register
 
 
-from corvane.plans import dedup_queries, embed_queries, extract_queries, graph_queries, import_queries, ops_queries, project_queries, search_queries, text_queries  # noqa: E402,F401
+from corvane.plans import bundle_queries, dedup_queries, embed_queries, extract_queries, graph_queries, import_queries, ops_queries, project_queries, search_queries, stream_queries, text_queries  # noqa: E402,F401

@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ENVELOPE = "id string, event_type string, schema_version int, source_service string, timestamp timestamp, correlation_id string, payload string"
+ENVELOPE = "id string, event_type string, schema_version string, source_service string, timestamp timestamp, correlation_id string, payload string"
+#: State of processors with timers is kept in RocksDB.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_events(spark, path: str, per_trigger: int = 100) -> DataFrame:
-    """Envelopes from JSON files, as a topic's stand-in."""
-    return spark.readStream.schema(ENVELOPE).option("maxFilesPerTrigger", per_trigger).json(path)
+def read_events(spark, path: str, per_trigger: int | None = 100) -> DataFrame:
+    """Envelopes from JSON files, as a topic's stand-in; without ``per_trigger`` a trigger takes all files that are there.
+
+    Files come by the time they were written. Within a trigger events may be in any order, but one that is behind the watermark when its
+    trigger begins is late, so where order matters a trigger should take all that one writer wrote at once.
+    """
+    reader = spark.readStream.schema(ENVELOPE)
+    return (reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)).json(path)
+
+
+def envelopes(rows: DataFrame, event_type, source_service: str, id_col: str, at_col: str, payload: list[str]) -> DataFrame:
+    """Rows as envelopes; the payload is JSON of some columns, and the id goes by type and row, so that a repeated row repeats it."""
+    kind = F.lit(event_type) if isinstance(event_type, str) else event_type
+    return rows.select(
+        F.concat_ws(":", kind, F.col(id_col).cast("string")).alias("id"), kind.alias("event_type"), F.lit("1").alias("schema_version"), F.lit(source_service).alias("source_service"),
+        F.col(at_col).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("correlation_id"), F.to_json(F.struct(*payload)).alias("payload"),
+    )
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Add envelopes to a topic's folder."""
+    events.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def run_batches(events: DataFrame, apply: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
@@ -25,35 +47,130 @@ def run_batches(events: DataFrame, apply: Callable[[DataFrame], DataFrame], out:
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_each(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Every envelope id once, however often it comes within the time by which events may be late; older ids are forgotten."""
+    return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
+
+
+def run_to_end(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Append what a stream makes of all that is there now, and wait for it. Run again it goes on where it ended."""
+    spark = rows.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        query = rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+FLUSHED = "key string, batch long, opened_at long, n int, reason string, first_id string, last_id string"
+
+
+class FlushBatches(StatefulProcessor):
+    """Gathers a key's events and lets go of them when there are ``size``, or when the first has waited for ``timeout_ms`` of event time.
+
+    A batch that is full goes at once. One that is old goes with the timer, or before the first event that comes after its time, whichever is
+    seen first; what is in it is the same. The open batch is state: its events, when it was opened, and its number.
+    """
+
+    def __init__(self, size: int, timeout_ms: int):
+        self.size, self.timeout_ms = size, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "id string")
+        self.open = handle.getValueState("open", "opened long, batch long")
+
+    def _flushed(self, key, opened, batch, ids, reason):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], batch, opened, len(ids), reason, ids[0], ids[-1])], columns=[c.split()[0] for c in FLUSHED.split(", ")])
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        opened, batch = self.open.get() if self.open.exists() else (None, 0)
+        ids = [x[0] for x in self.waiting.get()] if self.waiting.exists() else []
+        for at, event_id in pd.concat(list(rows)).sort_values(["at", "id"])[["at", "id"]].itertuples(index=False):
+            at = int(at)
+            if ids and at - opened >= self.timeout_ms:
+                yield self._flushed(key, opened, batch, ids, "timeout")
+                ids, batch = [], batch + 1
+            opened = opened if ids else at
+            ids.append(event_id)
+            if len(ids) >= self.size:
+                yield self._flushed(key, opened, batch, ids, "full")
+                ids, batch = [], batch + 1
+        self._keep(opened, batch, ids)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        ids = [x[0] for x in self.waiting.get()] if self.waiting.exists() else []
+        opened, batch = self.open.get() if self.open.exists() else (None, 0)
+        if ids and opened + self.timeout_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            yield self._flushed(key, opened, batch, ids, "timeout")
+            self._keep(opened, batch + 1, [])
+
+    def _keep(self, opened, batch, ids):
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.open.update((opened, batch))
+        if ids:
+            self.waiting.put([(x,) for x in ids])
+            self.handle.registerTimer(opened + self.timeout_ms)
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def flushed_batches(events: DataFrame, key, size: int = 200, timeout_ms: int = 1000) -> DataFrame:
+    """(key, batch, opened_at, n, reason, first_id, last_id) of a stream of envelopes with a watermark: its micro-batches by key."""
+    keyed = events.select((F.col(key) if isinstance(key, str) else key).alias("key"), F.unix_millis("timestamp").alias("at"), "id", "timestamp")
+    return keyed.groupBy("key").transformWithStateInPandas(FlushBatches(size, timeout_ms), FLUSHED, "append", "eventtime")
+
+
 def failed_events(batch: DataFrame, schema: str) -> DataFrame:
     """Envelopes whose payload isn't what its schema says: the dead letters."""
     return batch.where(F.from_json("payload", schema).isNull() | F.col("payload").isNull())
 
 
-def next_level(level: int, target: int, since_change_s: float, cooldown_s: float) -> tuple[int, bool]:
+def next_level(level: int, target: int, since_change: float, cooldown: float) -> tuple[int, bool]:
     """Pressure rises at once and falls one level a cooldown; the new level, and whether it changed."""
     if target > level:
         return target, True
-    if target < level and since_change_s >= cooldown_s:
+    if target < level and since_change >= cooldown:
         return level - 1, True
     return level, False
 
 
-def pressure_levels(samples: DataFrame, cooldown_s: float = 30.0) -> DataFrame:
-    """(model, at, level) of a stream or table of (model, at, target): hysteresis, state kept by model."""
+class Hysteresis(StatefulProcessor):
+    """The level of each key, which rises at once and falls by one a cooldown; state is the level and when it last changed."""
+
+    def __init__(self, cooldown_ms: int):
+        self.cooldown_ms = cooldown_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", "level int, changed long")
 
-    def step(key, batches, state):
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        level, changed = state.get if state.exists else (0, 0.0)
-        rows = []
-        for pdf in batches:
-            for at, target in zip(pdf["at"], pdf["target"]):
-                now = at.timestamp()
-                level, moved = next_level(level, int(target), now - changed, cooldown_s)
-                changed = now if moved else changed
-                rows.append((key[0], at, level))
-        state.update((level, changed))
-        yield pd.DataFrame(rows, columns=["model", "at", "level"])
-
-    return samples.groupBy("model").applyInPandasWithState(step, "model string, at timestamp, level int", "level int, changed double", "append", "NoTimeout")
+        level, changed = self.now.get() if self.now.exists() else (0, -(1 << 62))
+        samples = pd.concat(list(rows)).sort_values(["at", "id"])
+        out = []
+        for at, sample, target in samples[["at", "id", "target"]].itertuples(index=False):
+            level, moved = next_level(level, int(target), int(at) - changed, self.cooldown_ms)
+            changed = int(at) if moved else changed
+            out.append((key[0], sample, level))
+        self.now.update((level, changed))
+        yield pd.DataFrame(out, columns=["model", "id", "level"])
+
+    def close(self) -> None:
+        pass
+
+
+def pressure_levels(samples: DataFrame, cooldown_ms: int = 30_000) -> DataFrame:
+    """(model, id, level) of a stream of (model, id as a number, at in milliseconds, target); samples of a trigger are taken by time, then id."""
+    return samples.groupBy("model").transformWithStateInPandas(Hysteresis(cooldown_ms), "model string, id long, level int", "append", "none")
