@@ -19,7 +19,7 @@ from corvane.session import materialise
 MIN_CHARS, MIN_DOCS = 20, 3
 LOG = "key binary, doc_id long, sign int"
 FILTERS = "shard int, filter binary"
-ENTRY = "parent int, shards int, min_chars int, logs array<string>, filters string"
+ENTRY = "parent int, shards int, min_chars int, logs array<string>, filters string, base long"
 PROBED = "shard int, key binary, maybe boolean, filter binary"
 
 
@@ -101,9 +101,10 @@ class LineIndex:
     thousand or so, since a shard's filter (a few bytes a key) is one row. Keys are spread by their digest, and only
     distinct keys are grouped by shard, so a line that every document holds is one key there.
 
-    The folder holds ``manifest/N``, one row an entry, and the files that entries name. The highest entry counts. A change writes its files under names
-    of its own and then its entry, which fails if another change was faster; files without an entry are not part
-    of the index, so a change that is broken off leaves it as it was.
+    The folder holds ``manifest/N``, one row an entry, and the files that entries name. The highest whole entry counts. A change writes its files under
+    names of its own and then its entry, under the next number that no folder has, be it whole or what a broken write left; files without
+    a whole entry are not part of the index, so a change that is broken off leaves it as it was, and the next one goes on. An entry tells which one it
+    was made of: a change fails where another was faster, and an index in which two whole entries were made of one can't be opened.
     """
 
     def __init__(self, spark: SparkSession, path: str, shards: int = 256, min_chars: int = MIN_CHARS):
@@ -113,11 +114,19 @@ class LineIndex:
         if self.version:
             self._enter(self._entry(self.version))
 
-    def _last(self) -> int:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+    def _numbers(self, whole: bool) -> list[int]:
+        """Numbers of the entries, ascending: of those that were written to their end, or of all folders."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        at = path(f"{self.path}/manifest")
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [f.getPath() for f in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(at, "*/_SUCCESS")) or ()]
-        return max((int(p.getParent().getName()) for p in done), default=0)
+        found = [f.getPath() for f in fs.globStatus(path(at, "*/_SUCCESS" if whole else "*")) or ()]
+        return sorted(int((p.getParent() if whole else p).getName()) for p in found)
+
+    def _last(self) -> int:
+        whole = self._numbers(whole=True)
+        if len(whole) > 1 and self._entry(whole[-1]).base != whole[-2]:
+            raise RuntimeError(f"two changes of entry {self._entry(whole[-1]).base} were made at once: {whole[-2]} and {whole[-1]}")
+        return whole[-1] if whole else 0
 
     def _entry(self, version: int):
         return self.spark.read.schema(ENTRY).parquet(f"{self.path}/manifest/{version}").first()
@@ -140,24 +149,35 @@ class LineIndex:
         return self._read([self._filters] if self._filters else [], FILTERS)
 
     def present(self) -> DataFrame:
-        """(key, doc_id): the references that hold now."""
+        """(key, doc_id): the references that hold now, each once.
+
+        An insertion logs only references that didn't hold before it, so as long as nothing was deleted the log is what holds.
+        """
         log = self._read(self._logs, LOG)
+        if not self._grouped():
+            return log.select("key", "doc_id")
         return log.groupBy("key", "doc_id").agg(F.sum("sign").alias("n")).where("n > 0").select("key", "doc_id")
 
+    def _grouped(self) -> bool:
+        return any(p.rsplit("/", 1)[1].startswith("gone-") for p in self._logs)
+
     def counts(self) -> DataFrame:
         """(key, n_docs, last_doc): the exact reference counts."""
         return self.present().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
-    def _commit(self, log: DataFrame, filters: DataFrame) -> None:
-        to_log, to_filters = self._fresh("log"), self._fresh("filters")
+    def _commit(self, log: DataFrame, filters: DataFrame, label: str = "log") -> None:
+        to_log, to_filters = self._fresh(label), self._fresh("filters")
         filters.write.parquet(to_filters)
         log.write.parquet(to_log)
         self._record(self.version, [*self._logs, to_log], to_filters)
 
     def _record(self, parent: int, logs: list[str], filters: str | None) -> None:
-        entry = self.spark.createDataFrame([(parent, self.shards, self.min_chars, logs, filters)], ENTRY)
-        entry.coalesce(1).write.parquet(f"{self.path}/manifest/{self.version + 1}")
-        self.version += 1
+        if self._last() != self.version:
+            raise RuntimeError(f"PATH_ALREADY_EXISTS: {self.path}/manifest has an entry after {self.version}; open the index again")
+        number = max(self._numbers(whole=False), default=0) + 1
+        entry = self.spark.createDataFrame([(parent, self.shards, self.min_chars, logs, filters, self.version)], ENTRY)
+        entry.coalesce(1).write.parquet(f"{self.path}/manifest/{number}")
+        self.version = number
         self.parent, self._logs, self._filters = parent, logs, filters
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -185,7 +205,7 @@ class LineIndex:
         touched = gone.groupBy("key").agg(F.count("*").alias("minus"))
         empty = touched.join(self.counts(), "key").where("n_docs = minus").select("key").withColumn("shard", self._shard())
         filters = empty.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(_change(add=False), FILTERS)
-        self._commit(gone.withColumn("sign", F.lit(-1)), filters)
+        self._commit(gone.withColumn("sign", F.lit(-1)), filters, "gone")
 
     def undo(self) -> None:
         """Back to the state before the last change that isn't undone; that is a new entry, so nothing is overwritten."""
@@ -199,8 +219,9 @@ class LineIndex:
 
     def dropped_keys(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(doc_id, keys): the keys whose lines each document loses."""
-        common = materialise(self.counts().where(F.col("n_docs") >= min_docs), "common-lines")
-        present = self.present()
+        present = materialise(self.present(), "present-lines") if self._grouped() else self.present()
+        counts = present.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        common = materialise(counts.where(F.col("n_docs") >= min_docs), "common-lines")
         lost = join_counted(present, common, "key", "n_docs", present.count()).where(F.col("doc_id") < F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 

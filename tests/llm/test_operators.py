@@ -500,6 +500,27 @@ def test_line_index_changes_and_undo(spark, docs, rows):
         line_dedup.LineIndex(spark, index.path).undo()
 
 
+def test_line_index_goes_on_after_a_broken_commit(spark, docs, rows):
+    index = line_dedup.LineIndex(spark, fresh_path(spark, "lines"), shards=4)
+    index.insert(docs.where("doc_id < 57"))
+    jvm, manifest = spark._jvm, f"{index.path}/manifest"
+    left = jvm.org.apache.hadoop.fs.Path(f"{manifest}/2/_temporary")
+    left.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(left)
+    again = line_dedup.LineIndex(spark, index.path)
+    assert again.version == 1
+    again.insert(docs.where("doc_id >= 57"))
+    assert again.version == 3 and line_dedup.LineIndex(spark, index.path).version == 3
+    expect(again.clean(docs), LINE_COLUMNS, clean_lines(rows))
+    again.undo()
+    with pytest.raises(RuntimeError):  # this one still looks at entry 1
+        index.insert(docs)
+    # an entry made of the same one as another, which a race could leave
+    entry = spark.createDataFrame([(3, 4, 20, [], None, 3)], line_dedup.ENTRY)
+    entry.coalesce(1).write.parquet(f"{manifest}/9")
+    with pytest.raises(RuntimeError, match="at once"):
+        line_dedup.LineIndex(spark, index.path)
+
+
 def test_filters_tell_what_is_known(spark, docs):
     from corvane.llm.cuckoo import CuckooFilter
 
