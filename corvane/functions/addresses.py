@@ -82,9 +82,9 @@ def _shortened(joined: Column) -> Column:
     out = joined
     for n in range(2, 9):  # the longest run comes last, and so decides
         run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
-        part = lambda i, run=run: F.regexp_extract(joined, run, i)
+        before, after = F.regexp_extract(joined, run, 1), F.regexp_extract(joined, run, 2)
         colon = lambda c: F.when(c == "", F.lit(":")).otherwise(c)
-        out = F.when(joined.rlike(run), F.concat(colon(part(1)), colon(part(2)))).otherwise(out)
+        out = F.when(joined.rlike(run), F.concat(colon(before), colon(after))).otherwise(out)
     return out
 
 

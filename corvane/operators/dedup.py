@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.extract import let
 from corvane.session import materialise
 
 MIN_TOKENS, MAX_DISTANCE, SCAN_BACK = 16, 3, 500
@@ -23,45 +24,51 @@ def parent_by_key(docs: DataFrame, key: Column, id_col: str = "doc_id") -> DataF
     return keyed.join(first, "key").where(F.col(id_col) > F.col("parent")).select(id_col, "parent")
 
 
-def _simhash(batches):
-    from hashlib import sha256
-
-    import numpy as np
-    import pyarrow as pa
-    import regex
-
-    split = regex.compile(r"[\p{L}\p{N}]+")
-    known: dict[str, bytes] = {}
-    for b in batches:
-        prints = []
-        for text in b.column("text").to_pylist():
-            words = [w for w in split.findall((text or "").lower()) if len(w) > 1]
-            if len(words) < MIN_TOKENS:
-                prints.append(None)
-                continue
-            for w in set(words).difference(known):
-                if len(known) > 500_000:
-                    known.clear()
-                known[w] = sha256(w.encode()).digest()[:8]
-            raw = b"".join([known[w] if w in known else sha256(w.encode()).digest()[:8] for w in words])
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(raw), 1 << 19):
-                part = np.frombuffer(raw[at : at + (1 << 19)], np.uint8).reshape(-1, 8)
-                ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            prints.append(int(np.packbits(2 * ones > len(words), bitorder="little").view(np.int64)[0]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+#: Words that a sixteen-bit lane can count.
+LANE_WORDS = 65_535
+
+
+def simhash(words: Column) -> Column:
+    """The 64-bit SimHash of an array of words: a bit is set where it is in over half of their digests (first 8 bytes of SHA-256, little end first).
+
+    Bits are counted four at a time: a digest, shifted by 0 to 15 and masked, adds one to each of the four sixteen-bit lanes of a long whose bit is
+    set. Longer texts are counted in parts.
+    """
+    lanes, zero = 0x0001000100010001, F.lit(0).cast("long")
+    digest = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 16), 16, -10).cast("long")
+    parts = lambda hs: F.transform(F.sequence(F.lit(0), F.floor((F.size(hs) - 1) / LANE_WORDS).cast("int")), lambda i: F.slice(hs, i * LANE_WORDS + 1, LANE_WORDS))
+    lane = lambda part, s: F.aggregate(part, zero, lambda a, h: a + F.shiftright(h, s).bitwiseAND(F.lit(lanes)))
+    counted = lambda part: F.array(*[lane(part, s) for s in range(16)])
+    total = lambda sums, bit: F.aggregate(sums, zero, lambda a, each: a + F.shiftrightunsigned(each[bit % 16], bit // 16 * 16).bitwiseAND(F.lit(0xFFFF)))
+
+    def printed(x: Column) -> Column:
+        out = zero
+        for bit in range(64):
+            n = total(x["sums"], bit)
+            at = 8 * (7 - bit // 8) + bit % 8  # the digest was read big end first
+            out = out.bitwiseOR(F.when(2 * n > x["n"], F.lit(1 << at if at < 63 else -(1 << 63)).cast("long")).otherwise(zero))
+        return out
+
+    summed = lambda hs: F.struct(F.size(hs).alias("n"), F.transform(parts(hs), counted).alias("sums"))
+    return let(let(F.transform(words, digest), summed), printed)
 
 
 def simhash_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): 64-bit SimHash over lower-cased words of two and more characters; none under 16 words."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_simhash, "doc_id long, print long").where("print IS NOT NULL")
+    """(doc_id, print): 64-bit SimHash over lower-cased words of two and more characters; none under 16 words. No Python worker runs."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
+    hashed = let(words, lambda ws: F.when(F.size(ws) >= MIN_TOKENS, simhash(ws)))
+    return docs.select(F.col("doc_id").cast("long"), hashed.alias("print")).where("print IS NOT NULL")
 
 
-def ranked_by_id(rows: DataFrame, id_col: str = "doc_id", shares: int = 1024) -> DataFrame:
-    """``rows`` with ``rank``, the place (from 1) by id, without sorting all in one task."""
-    lo, hi = rows.agg(F.min(id_col), F.max(id_col)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // shares))
-    dealt = rows.withColumn("share", F.floor((F.col(id_col) - (lo or 0)) / width))
+def ranked_by_id(rows: DataFrame, id_col: str = "doc_id", share_rows: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``rank``, the place (from 1) by id, without sorting all in one task.
+
+    Ranges of ids are cut where Spark's sample of them says, so gaps don't matter; they are written, so that what a row's range is stays. One
+    row a range is summed in one task.
+    """
+    held = rows.count()
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, held // share_rows)
+    dealt = materialise(rows.repartitionByRange(n, id_col).withColumn("share", F.spark_partition_id()), "ranges")
     ahead = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("share").count().select("share", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("base"))
     own = F.row_number().over(Window.partitionBy("share").orderBy(id_col))

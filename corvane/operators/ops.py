@@ -25,6 +25,12 @@ DEFAULT_BUDGET = {
 }
 
 
+def with_default_budget(collections: DataFrame) -> DataFrame:
+    """``collections`` with all limits of DEFAULT_BUDGET: a collection's own where it has one."""
+    own = {c: F.coalesce(F.col(c).cast("long"), F.lit(n).cast("long")) if c in collections.columns else F.lit(n).cast("long") for c, n in DEFAULT_BUDGET.items()}
+    return collections.withColumns(own)
+
+
 def can_transition(before: Column, after: Column) -> Column:
     return F.concat_ws(">", before, after).isin(*[f"{a}>{b}" for a, b in TRANSITIONS])
 
@@ -68,6 +74,54 @@ def within_budget(requests: DataFrame, budget: int, by: list[str], order: list[s
     return sorted_rows.mapInArrow(_fold(by, amount, budget), f"{columns}, used long, allowed boolean")
 
 
+def _quota_fold(collection: str, run: str, day: str, amount: str, per_run: str, per_day: str):
+    def fold(batches):
+        import pyarrow as pa
+
+        group, today, used_day, runs = object(), None, 0, {}
+        for b in batches:
+            out = []
+            for key, run_id, date, asked, run_limit, day_limit in zip(*[b.column(c).to_pylist() for c in (collection, run, day, amount, per_run, per_day)]):
+                if key is None:  # the system's own calls have no quota
+                    out.append((True, None, None, None))
+                    continue
+                if key != group:
+                    group, runs, today = key, {}, None
+                if date != today:
+                    today, used_day = date, 0
+                used_run = runs.get(run_id, 0)
+                refused = "no_amount" if asked is None else "run" if run_id is not None and used_run + asked > run_limit else "day" if used_day + asked > day_limit else None
+                if refused is None:
+                    used_day += asked
+                    if run_id is not None:
+                        used_run = runs[run_id] = used_run + asked
+                out.append((refused is None, refused, used_run if run_id is not None else None, used_day))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.bool_(), pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, "allowed", "refused_by", "used_run", "used_day"])
+
+    return fold
+
+
+def within_quotas(
+    calls: DataFrame, limits: DataFrame, order: list[str], collection: str = "collection", run: str = "run", day: str = "day", amount: str = "amount"
+) -> DataFrame:
+    """``calls`` with ``allowed``, ``refused_by`` (run, day or no_amount), ``used_run`` and ``used_day``, in order, ``day`` first.
+
+    A call passes if it fits what is left of its run and of its collection's day; only what passes is used, and a call that its run
+    refuses uses nothing of the day. ``limits`` has (collection, max_ai_calls_per_run, daily_ai_budget); what it lacks is by default. Calls without an amount
+    are refused, those without a run have the day's quota alone, and those without a collection, the system's own, pass. A collection's
+    calls stream through one task, which holds a count for each of its runs.
+    """
+    own = limits.select(F.col(collection).alias("_of"), F.col("max_ai_calls_per_run").cast("long").alias("_per_run"), F.col("daily_ai_budget").cast("long").alias("_per_day"))
+    known = calls.join(own, calls[collection] == own["_of"], "left").drop("_of")
+    known = known.withColumns({"_per_run": F.coalesce("_per_run", F.lit(DEFAULT_BUDGET["max_ai_calls_per_run"])), "_per_day": F.coalesce("_per_day", F.lit(DEFAULT_BUDGET["daily_ai_budget"]))})
+    ranged = known.withColumn("_spread", F.when(F.col(collection).isNull(), F.xxhash64(*calls.columns)))  # the system's calls need not meet
+    streamed = ranged.repartition(collection, "_spread").drop("_spread").sortWithinPartitions(collection, day, *order)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in streamed.schema)
+    folded = streamed.mapInArrow(_quota_fold(collection, run, day, amount, "_per_run", "_per_day"), f"{columns}, allowed boolean, refused_by string, used_run long, used_day long")
+    return folded.drop("_per_run", "_per_day")
+
+
 def daily_usage(rows: DataFrame, day, limit: int = 20) -> DataFrame:
     """Collections with any usage on a day, by calls, then requests, then id."""
     return rows.where((F.col("day") == F.lit(day)) & (F.col("ai_calls") + F.col("requests") > 0)).orderBy(F.desc("ai_calls"), F.desc("requests"), "collection").limit(limit)

@@ -18,16 +18,25 @@ def _pairs(left: DataFrame, on: list[str], differ: Column | None, method: str) -
     return met.select(F.col("entity").alias("a"), F.col("entity_2").alias("b"), F.lit(method).alias("method"), F.lit(SCORES[method]).alias("score")).distinct()
 
 
-def star_links(rows: DataFrame, on: list[str], method: str) -> DataFrame:
+def star_links(rows: DataFrame, on: list[str], method: str, differ: str | None = None) -> DataFrame:
     """(a, b, method, score): every entity that agrees on ``on`` with others, linked to the first of them.
 
-    The same groups as the pairs of ``by_alias`` and ``by_domain`` make, in a row a member: where very many share a key, all pairs of
-    them are too many to write down, and a merge needs only the group.
+    The same groups as the pairs of ``by_alias`` and its like make, in a row a member: where very many share a key, all pairs of
+    them are too many to write down, and a merge needs only the group. With ``differ`` only entities that differ in that column link:
+    to the first of all, and those that are like it to the first that isn't.
     """
-    held = rows.select("entity", *on).distinct()
-    first = held.groupBy(*on).agg(F.min("entity").alias("a"), F.count("*").alias("n")).where("n > 1")
-    met = held.join(first, on).where(F.col("entity") > F.col("a"))
-    return met.select("a", F.col("entity").alias("b"), F.lit(method).alias("method"), F.lit(SCORES[method]).alias("score")).distinct()
+    held = rows.select("entity", *on, *([differ] if differ else [])).distinct()
+    score = F.lit(SCORES[method]).alias("score")
+    if differ is None:
+        first = held.groupBy(*on).agg(F.min("entity").alias("a"), F.count("*").alias("n")).where("n > 1")
+        met = held.join(first, on).where(F.col("entity") > F.col("a"))
+        return met.select("a", F.col("entity").alias("b"), F.lit(method).alias("method"), score).distinct()
+    first = held.groupBy(*on).agg(F.min(F.struct("entity", differ)).alias("first"), F.countDistinct(differ).alias("n")).where("n > 1").drop("n")
+    known = held.join(first, on)
+    other = known.where(F.col(differ) != F.col(f"first.{differ}")).groupBy(*on).agg(F.min("entity").alias("second"))
+    hub = F.when(F.col(differ) != F.col(f"first.{differ}"), F.col("first.entity")).otherwise(F.col("second"))
+    met = known.join(other, on).select("entity", hub.alias("hub")).where("entity <> hub")
+    return met.select(F.least("entity", "hub").alias("a"), F.greatest("entity", "hub").alias("b"), F.lit(method).alias("method"), score).distinct()
 
 
 def by_normalized_name(entities: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import domains
-from corvane.operators import embed, extract, graph, ops, resolve, search
+from corvane.operators import embed, extract, graph, ops, rebuild, resolve, search
 from corvane.plans.catalog import query
-from corvane.session import materialise, table
+from corvane.session import fresh_path, materialise, table
 
 
 @query("""
@@ -109,9 +109,46 @@ def source_expansion(spark, d):
     return graph.source_expansion(found, rows.where("id % 3 <> 0"), 2)
 
 
-@query("SELECT * FROM (VALUES ('max_candidates_per_run', 200), ('max_requests_per_run', 500), ('max_ai_calls_per_run', 50), ('max_depth', 3), ('daily_request_budget', 5000), ('daily_ai_budget', 500)) v(name, amount)")
+@query("""
+    SELECT n_nationkey::BIGINT AS collection, CASE WHEN n_nationkey % 3 = 0 THEN 10 * n_nationkey ELSE 200 END::BIGINT AS max_candidates_per_run, 500::BIGINT AS max_requests_per_run, 50::BIGINT AS max_ai_calls_per_run,
+        CASE WHEN n_nationkey % 5 = 0 THEN n_nationkey ELSE 3 END::BIGINT AS max_depth, 5000::BIGINT AS daily_request_budget, 500::BIGINT AS daily_ai_budget FROM nation""")
 def default_budget(spark, d):
-    return spark.createDataFrame(list(ops.DEFAULT_BUDGET.items()), "name string, amount int")
+    """Collections of which some set a limit of their own; all else is by default."""
+    k = F.col("n_nationkey").cast("long")
+    own = table(spark, d, "nation").select(k.alias("collection"), F.when(k % 3 == 0, 10 * k).alias("max_candidates_per_run"), F.when(k % 5 == 0, k).alias("max_depth"))
+    return ops.with_default_budget(own)
+
+
+@query("""
+    WITH l AS (SELECT DISTINCT 's' || s_suppkey AS entity, 'alias ' || s_nationkey AS alias FROM supplier), f AS (SELECT alias, min(entity) AS a FROM l GROUP BY alias HAVING count(*) > 1)
+    SELECT DISTINCT a, entity AS b, 'alias' AS method, 0.55::DOUBLE AS score FROM l JOIN f USING (alias) WHERE entity > a""")
+def resolve_alias_groups(spark, d):
+    rows = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity"), F.concat(F.lit("alias "), "s_nationkey").alias("alias"))
+    return resolve.star_links(rows, ["alias"], "alias")
+
+
+@query("""
+    WITH i AS (SELECT DISTINCT 'p' || p_partkey AS entity, p_brand AS namespace, p_type || p_size AS value FROM part),
+    f AS (SELECT value, min(entity) AS first, arg_min(namespace, entity) AS kind FROM i GROUP BY value HAVING count(DISTINCT namespace) > 1),
+    g AS (SELECT f.value, first, kind, min(entity) AS second FROM f JOIN i ON i.value = f.value AND namespace <> kind GROUP BY ALL),
+    h AS (SELECT entity, CASE WHEN namespace <> kind THEN first ELSE second END AS hub FROM i JOIN g USING (value))
+    SELECT DISTINCT least(entity, hub) AS a, greatest(entity, hub) AS b, 'account_handle' AS method, 0.35::DOUBLE AS score FROM h WHERE entity <> hub""")
+def resolve_handle_groups(spark, d):
+    """Accounts with one handle on different platforms, in a row a member and not in all pairs."""
+    rows = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("entity"), F.col("p_brand").alias("namespace"), F.concat("p_type", "p_size").alias("value"))
+    return resolve.star_links(rows, ["value"], "account_handle", "namespace")
+
+
+@query("SELECT 'o' || o_custkey AS src, 'n' || (o_orderkey % 997) AS dst, CAST(count(*) AS BIGINT) AS evidence_count FROM orders GROUP BY ALL")
+def graph_rebuild(spark, d):
+    """The edges of all orders, built in about four pages: stopped after the first, taken up again, stopped once more, and finished."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    again = rebuild.Rebuild(spark, fresh_path(spark, "graph"))
+    edges = lambda page: page.groupBy(F.concat(F.lit("o"), "o_custkey").alias("src"), F.concat(F.lit("n"), F.col("o_orderkey") % 997).alias("dst")).agg(F.count("*").alias("n"))
+    rows = orders.count() // 4 + 1
+    for stop in (1, 2, None):
+        again.run(orders, "o_orderkey", edges, rows, stop)
+    return again.read("src string, dst string, n long").groupBy("src", "dst").agg(F.sum("n").alias("evidence_count"))
 
 
 _GRAPH = "links AS (SELECT DISTINCT 'o' || o_custkey AS src, 'n' || (o_orderkey % 997) AS dst FROM orders)"

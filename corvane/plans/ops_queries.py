@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import ops
+from corvane.operators import schedule as timetable
 from corvane.plans.catalog import query
 from corvane.session import table
 
@@ -131,11 +132,64 @@ def candidate_survivor_window(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT unnest(['normal', 'elevated', 'high', 'critical']) AS level), p AS (SELECT unnest(range(5))::INT AS priority)
-    SELECT level, priority, priority = 0 OR priority <= CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'elevated' THEN 3 ELSE 4 END AS admitted FROM s, p""")
+    SELECT event_id, ['normal', 'elevated', 'high', 'critical'][event_id % 4 + 1] AS level, CAST(user_id % 5 AS INT) AS priority,
+        user_id % 5 = 0 OR user_id % 5 <= CASE event_id % 4 WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS admitted FROM events""")
 def admission(spark, d):
-    levels = spark.createDataFrame([(x, p) for x in ops.LEVELS for p in range(5)], "level string, priority int")
-    return levels.withColumn("admitted", ops.admitted(F.col("priority"), F.col("level")))
+    """Each event as a call at a level of pressure."""
+    level = F.element_at(F.array(*map(F.lit, ops.LEVELS)), (F.col("event_id") % 4 + 1).cast("int"))
+    calls = table(spark, d, "events").select("event_id", level.alias("level"), (F.col("user_id") % 5).cast("int").alias("priority"))
+    return calls.withColumn("admitted", ops.admitted(F.col("priority"), F.col("level")))
+
+
+@query("""
+    WITH RECURSIVE r AS MATERIALIZED (SELECT event_id, user_id, CASE WHEN event_id % 13 <> 0 THEN event_id % 4 END AS amount, CAST(ts AS DATE) AS day, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 15 AS run,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN user_id % 3 = 0 THEN 12 ELSE 50 END AS per_run, CASE WHEN user_id % 3 = 0 THEN 4 WHEN user_id % 3 = 1 THEN 500 ELSE 5 END AS per_day FROM events),
+    f(event_id, user_id, n, day, run, refused_by, used_run, used_day) AS (
+        SELECT event_id, user_id, n, day, run, CASE WHEN amount IS NULL THEN 'no_amount' WHEN amount > per_run THEN 'run' WHEN amount > per_day THEN 'day' END,
+            CASE WHEN amount <= per_run AND amount <= per_day THEN amount ELSE 0 END, CASE WHEN amount <= per_run AND amount <= per_day THEN amount ELSE 0 END FROM r WHERE n = 1
+        UNION ALL SELECT event_id, user_id, n, day, run, refused_by, CASE WHEN refused_by IS NULL THEN run_before + amount ELSE run_before END, CASE WHEN refused_by IS NULL THEN day_before + amount ELSE day_before END FROM (
+            SELECT *, CASE WHEN amount IS NULL THEN 'no_amount' WHEN run_before + amount > per_run THEN 'run' WHEN day_before + amount > per_day THEN 'day' END AS refused_by FROM (
+                SELECT r.*, CASE WHEN r.run = f.run THEN used_run ELSE 0 END AS run_before, CASE WHEN r.day = f.day THEN used_day ELSE 0 END AS day_before FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)))
+    SELECT event_id, refused_by IS NULL AS allowed, refused_by, CAST(used_run AS BIGINT) AS used_run, CAST(used_day AS BIGINT) AS used_day FROM f""")
+def run_and_day_quotas(spark, d):
+    """Calls under the quotas of their run (fifteen calls in a row) and of their user's day; two thirds of the users have limits of their own."""
+    from pyspark.sql import Window
+
+    events = table(spark, d, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e, u = F.col("event_id"), F.col("user_id")
+    calls = events.select("event_id", u.alias("collection"), F.floor((n - 1) / 15).alias("run"), F.to_date("ts").alias("day"), F.when(e % 13 != 0, e % 4).alias("amount"), "ts")
+    limits = events.select(u.alias("collection")).distinct().where(F.col("collection") % 3 != 1)
+    mine = F.col("collection") % 3 == 0
+    limits = limits.select("collection", F.when(mine, 12).alias("max_ai_calls_per_run"), F.when(mine, 4).otherwise(5).alias("daily_ai_budget"))
+    return ops.within_quotas(calls, limits, ["ts", "event_id"]).select("event_id", "allowed", "refused_by", "used_run", "used_day")
+
+
+_SCHEDULES = ("*/15 * * * *", "0 3 * * 1-5", "30 4 1,15 * fri", "0 0 29 2 *", "5 4 * * 7", "61 * * * *", "not cron", " ", "10 0 5 8 * *")
+
+
+@query("""
+    WITH n AS (SELECT max(ts) AS now, date_trunc('second', max(ts)) AS now_s FROM events),
+    days AS (SELECT CAST(now AS DATE) - CAST(i AS INT) AS day FROM n, range(2930) r(i)), clock AS (SELECT m FROM range(1440) r(m)),
+    s AS (SELECT 0 AS no, max(day + to_minutes(m)) AS due FROM days, clock, n WHERE m % 15 = 0 AND day > CAST(now AS DATE) - 2 AND day + to_minutes(m) <= now
+        UNION ALL SELECT 1, max(day + INTERVAL 180 MINUTE) FROM days, n WHERE dayofweek(day) BETWEEN 1 AND 5 AND day + INTERVAL 180 MINUTE <= now
+        UNION ALL SELECT 2, max(day + INTERVAL 270 MINUTE) FROM days, n WHERE (day(day) IN (1, 15) OR dayofweek(day) = 5) AND day + INTERVAL 270 MINUTE <= now
+        UNION ALL SELECT 3, max(day) FROM days WHERE month(day) = 2 AND day(day) = 29
+        UNION ALL SELECT 4, max(day + INTERVAL 245 MINUTE) FROM days, n WHERE dayofweek(day) = 0 AND day + INTERVAL 245 MINUTE <= now
+        UNION ALL SELECT 8, max(day + to_seconds(5 * 3600 + 10)) FROM days, n WHERE day(day) = 8 AND day + to_seconds(5 * 3600 + 10) <= now),
+    c AS (SELECT event_id, event_id % 9 AS no, event_id % 11 AS kind, CASE WHEN event_id % 7 <> 0 THEN date_trunc('second', ts) END AS last_run, CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END AS errors FROM events)
+    SELECT event_id, CASE WHEN kind = 9 THEN 'import_only' WHEN kind = 10 THEN 'unknown_type' WHEN no = 7 THEN 'unscheduled' WHEN no IN (5, 6) THEN 'invalid_schedule' WHEN last_run IS NOT NULL AND NOT (last_run < now_s AND coalesce(due > last_run, false)) THEN 'not_due'
+        WHEN errors > 0 AND coalesce(last_run + INTERVAL 240 SECOND > now_s, false) THEN 'backing_off' ELSE 'run' END AS plan FROM c LEFT JOIN s USING (no), n""")
+def tick_plan(spark, d):
+    """What a tick at the time of the last event does with each event as a connector: seven outcomes."""
+    events = table(spark, d, "events")
+    e = F.col("event_id")
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    now_s = events.agg(F.max(second)).first()[0] or 0
+    kind = F.when(e % 11 == 9, "upload").when(e % 11 == 10, "odd").otherwise("rss")
+    schedule = F.element_at(F.array(*map(F.lit, _SCHEDULES)), (e % 9 + 1).cast("int"))
+    rows = events.select("event_id", kind.alias("connector_type"), schedule.alias("schedule"), F.when(e % 7 != 0, second).alias("last_run_s"), F.when(e % 5 == 0, 3).otherwise(0).alias("error_count"))
+    return timetable.plan_tick(rows, now_s, ("upload",), ("rss",)).select("event_id", "plan")
 
 
 @query("SELECT event_type AS projection, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M') AS source_at FROM events GROUP BY event_type")

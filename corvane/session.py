@@ -52,3 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     cores = spark.sparkContext.defaultParallelism
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if spread else None
     return rows.repartition(cores) if spread and size < cores * SPREAD_BYTES else rows
+
+
+def whole_entries(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders in ``path`` that were written to their end, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "*/_SUCCESS")) or ()
+    return sorted(int(f.getPath().getParent().getName()) for f in done)
