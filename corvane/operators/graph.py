@@ -153,7 +153,8 @@ def neighbour_jaccard(edges: DataFrame, least: float = 0.5, most: int | None = N
 
     Two sets that reach ``least`` are of sizes within that ratio, and share one of the first members of each in any fixed order, as many as
     could be missing and one more. With the rarest first a hub is among them only for nodes with little else, so
-    it doesn't bring all pairs of its neighbours together. What meets so is then counted exactly. With ``most`` each node is only
+    it doesn't bring all pairs of its neighbours together. What two share of their first members is counted where they meet, and after the last of these
+    they can share no more than either has left; only pairs that may still reach ``least`` are counted exactly. With ``most`` each node is only
     compared with the first so many in id order, which misses others.
     """
     from pyspark.sql import Window
@@ -164,10 +165,12 @@ def neighbour_jaccard(edges: DataFrame, least: float = 0.5, most: int | None = N
     sized = links.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("popular")), "b")
     # the margin keeps a pair that is at the bound but for rounding
     first = sized.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    first = materialise(first.select("a", "b", "n"), "first-links")
-    other = first.select(F.col("a").alias("c"), "b", F.col("n").alias("m"))
+    first = materialise(first.select("a", "b", "n", "nth"), "first-links")
+    other = first.select(F.col("a").alias("c"), "b", F.col("n").alias("m"), F.col("nth").alias("mth"))
     alike = (F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9) & (F.col("a") < F.col("c"))
-    met = first.join(other, "b").where(alike).select("a", "c", "n", "m").distinct()
+    met = first.join(other, "b").where(alike).groupBy("a", "c", "n", "m").agg(F.count("*").alias("shared"), F.max("nth").alias("i"), F.max("mth").alias("j"))
+    needed = F.ceil((F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9)
+    met = met.where(F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed).select("a", "c", "n", "m")
     met = materialise(met.join(links.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti"), "pairs")
     if most is not None:
         ends = met.select("a", "c").unionByName(met.select(F.col("c").alias("a"), F.col("a").alias("c")))
