@@ -219,6 +219,12 @@ def fair_dispatch(due: DataFrame, most_failing: int = 8) -> DataFrame:
     return numbered.withColumn("turn", (F.col("base") + F.col("own")).cast("int")).drop("share", "own", "base")
 
 
+def purgeable_counts(jobs: DataFrame, statuses: tuple[str, ...], before) -> DataFrame:
+    """(job_type, status, n, oldest): finished jobs of before a time, by type and status: what a purge would take in all."""
+    old = jobs.where(F.col("status").isin(*statuses) & (F.col("finished_at") < F.lit(before)))
+    return old.groupBy("job_type", "status").agg(F.count("*").alias("n"), F.min("finished_at").alias("oldest"))
+
+
 def purgeable(jobs: DataFrame, job_type: str, statuses: tuple[str, ...], before, limit: int = 5000) -> DataFrame:
     """The oldest jobs of a type and of some states that ended before a time."""
     return jobs.where((F.col("job_type") == job_type) & F.col("status").isin(*statuses) & (F.col("finished_at") < F.lit(before))).orderBy("finished_at", "job_id").limit(limit)

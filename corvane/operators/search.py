@@ -260,3 +260,19 @@ def next_cursor(page: DataFrame, key: str, limit: int) -> DataFrame:
 def page_with_total(rows: DataFrame, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows, each with the exact number of all; the number is one broadcast row."""
     return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def optional_filters(rows: DataFrame, equal: dict[str, object] | None = None, at_least: dict[str, object] | None = None, at_most: dict[str, object] | None = None, missing: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` under those filters that are set: a value that is None filters nothing, and ``missing`` asks for columns without a value.
+
+    Each is a plain predicate on a column, so it reaches the scan; a filter that isn't set leaves no trace in the plan.
+    """
+    for column, value in (equal or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) == F.lit(value))
+    for column, value in (at_least or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) >= F.lit(value))
+    for column, value in (at_most or {}).items():
+        rows = rows if value is None else rows.where(F.col(column) <= F.lit(value))
+    for column in missing:
+        rows = rows.where(F.col(column).isNull())
+    return rows

@@ -76,6 +76,16 @@ def job_retention_candidates(spark, d):
     return found.select("job_id", F.date_format("finished_at", "yyyy-MM-dd").alias("finished"))
 
 
+@query("""
+    SELECT o_orderpriority AS job_type, o_orderstatus AS status, count(*) AS n, strftime(min(o_orderdate), '%Y-%m-%d') AS oldest FROM orders
+    WHERE o_orderstatus IN ('F', 'P') AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL""")
+def job_retention_counts(spark, d):
+    import datetime
+
+    jobs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("job_type"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("finished_at"))
+    return ops.purgeable_counts(jobs, ("F", "P"), datetime.datetime(1997, 1, 1)).withColumn("oldest", F.date_format("oldest", "yyyy-MM-dd"))
+
+
 _STATES = ("queued", "running", "completed", "failed", "retrying", "cancelled")
 
 

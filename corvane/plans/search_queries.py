@@ -90,3 +90,18 @@ def filtered_listing(spark, d):
     rows = table(spark, d, "orders").where("o_orderdate BETWEEN TIMESTAMP_NTZ '1995-01-01' AND TIMESTAMP_NTZ '1995-03-31'")
     rows = rows.where(F.lower("o_orderstatus") == "f")
     return rows.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.lower("o_orderpriority").alias("priority"))
+
+
+@query("""
+    SELECT 'all' AS filters, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer
+    UNION ALL SELECT 'segment', count(*), coalesce(sum(c_custkey), 0)::BIGINT FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey >= 50
+    UNION ALL SELECT 'missing', count(*), coalesce(sum(c_custkey), 0)::BIGINT FROM customer WHERE c_acctbal < 0 AND c_custkey <= 900""")
+def optional_filters(spark, d):
+    """The same listing with no parameter set, with some, and asking for rows that lack a value."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
+    cases = {
+        "all": {"equal": {"c_mktsegment": None}, "at_least": {"c_custkey": None}}, "segment": {"equal": {"c_mktsegment": "BUILDING"}, "at_least": {"c_custkey": 50}, "at_most": {"c_custkey": None}},
+        "missing": {"at_most": {"c_custkey": 900}, "missing": ("balance",)},
+    }
+    found = [search.optional_filters(rows, **c).agg(F.lit(n).alias("filters"), F.count("*").alias("n"), F.coalesce(F.sum("c_custkey"), F.lit(0)).cast("long").alias("keys")) for n, c in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
