@@ -44,10 +44,11 @@ def semantic_parents(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(doc_id, parent, similarity): for each of (doc_id, model, embedding) the earlier document of its model that is most like it.
 
     Only documents whose cosine reaches ``least``; of equally alike ones the first. All earlier documents are looked at, a
-    block of vectors with a block, not a few neighbours of an approximate index, so nothing goes stale or is missed.
+    block of vectors with a block, not a few neighbours of an approximate index, so nothing goes stale or is missed; of a pair of blocks only
+    each document's best comes out.
     """
     rows = vectors.select(F.col("doc_id").alias("entity"), F.col("model").alias("entity_type"), "embedding")
-    pairs = close_pairs(rows, least).where(F.col("entity") != F.col("other"))
+    pairs = close_pairs(rows, least, best=True).where(F.col("entity") != F.col("other"))
     ordered = pairs.select(F.greatest("entity", "other").alias("doc_id"), F.least("entity", "other").alias("parent"), "cos")
     best = ordered.groupBy("doc_id").agg(F.min(F.struct((-F.col("cos")).alias("away"), F.col("parent"))).alias("best"))
     return best.select("doc_id", "best.parent", (-F.col("best.away")).alias("similarity"))

@@ -118,9 +118,10 @@ def _packed(pdf):
     return pd.DataFrame([row])
 
 
-def _close(least: float):
+def _close(least: float, best: bool):
     def run(batches):
         import numpy as np
+        import pandas as pd
         import pyarrow as pa
 
         for batch in batches:
@@ -138,13 +139,22 @@ def _close(least: float):
                     cos = np.cumsum(v[0][i] * v[1][j], axis=1)[:, -1] / (length[0][i] * length[1][j])
                     ok = cos >= least
                     arrays = [ids[0].take(pa.array(i[ok])), ids[1].take(pa.array(j[ok])), pa.array(cos[ok])]
+                    if best:
+                        one, two = (pd.Series(a.to_pylist(), dtype=object) for a in arrays[:2])
+                        pairs = pd.DataFrame({"entity": np.maximum(one, two), "other": np.minimum(one, two), "cos": cos[ok]})
+                        pairs = pairs[pairs["entity"] != pairs["other"]].sort_values(["cos", "other"], ascending=[False, True]).drop_duplicates("entity")
+                        arrays = [pa.array(pairs[c].tolist(), a.type) for c, a in zip(pairs, arrays)]
                     yield pa.RecordBatch.from_arrays(arrays, names=["entity", "other", "cos"])
 
     return run
 
 
-def close_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks."""
+def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
+    """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks.
+
+    With ``best`` of each pair of blocks (and number of pairs) only the most alike earlier one of each entity comes out, the first of equally
+    alike ones, so that many like entities don't write all their pairs; ``entity`` is then the later one.
+    """
     v = F.col("embedding").cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
     held = rows.where("entity IS NOT NULL AND entity_type IS NOT NULL").where(F.coalesce(usable, F.lit(False))).select("entity", "entity_type", v.alias("v"), F.size(v).alias("dim"))
@@ -162,7 +172,7 @@ def close_pairs(rows: DataFrame, least: float) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"),
     )
     pairs = left.join(right, ["entity_type", "dim", "block", "other_block"])
-    return pairs.mapInArrow(_close(least), f"entity {kind['entity']}, other {kind['entity']}, cos double")
+    return pairs.mapInArrow(_close(least, best), f"entity {kind['entity']}, other {kind['entity']}, cos double")
 
 
 def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = None) -> DataFrame:

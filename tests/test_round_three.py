@@ -135,3 +135,27 @@ def test_ranks_don_t_mind_gaps(spark):
     ids = [1, 2, 3, 10**15, 10**15 + 1, -(10**12)] + list(range(500, 700))
     found = dedup.ranked_by_id(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
     assert {r.doc_id: r["rank"] for r in found.collect()} == {i: n + 1 for n, i in enumerate(sorted(ids))}
+
+
+def test_semantic_parents_write_one_row_a_document(spark, monkeypatch):
+    import numpy as np
+
+    from corvane.operators import embed
+
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(resolve, "EXACT_PAIRS", 50)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 8))
+    v = np.repeat(base, 12, axis=0) + rng.normal(size=(72, 8)) * 0.1
+    v[30] = v[29] = v[25]
+    rows = [(int(i), "m", [float(x) for x in v[i]]) for i in rng.permutation(72)]
+    rows += [(40, "m", rows[0][2]), (99, "other", rows[0][2]), (100, "m", None)]
+    found = {r.doc_id: (r.parent, round(r.similarity, 9)) for r in embed.semantic_parents(spark.createDataFrame(rows, "doc_id long, model string, embedding array<double>"), 0.9).collect()}
+    wanted = {}
+    for i, m, x in rows:
+        for j, n, y in rows:
+            if j < i and m == n and x and y:
+                cos = float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)))
+                if cos >= 0.9 and (round(cos, 9), -j) > (wanted.get(i, (0, 0))[1], -wanted.get(i, (0, 0))[0]):
+                    wanted[i] = (j, round(cos, 9))
+    assert found == wanted and len(found) > 50
