@@ -46,6 +46,9 @@ class VocabularyTokens:
     """The tokens of a vocabulary file of the tokenizers library; special strings in texts are ordinary text."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)

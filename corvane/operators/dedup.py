@@ -53,8 +53,42 @@ def simhash(words: Column) -> Column:
     return let(let(F.transform(words, digest), summed), printed)
 
 
-def simhash_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): 64-bit SimHash over lower-cased words of two and more characters; none under 16 words. No Python worker runs."""
+def _simhash(batches):
+    from hashlib import sha256
+
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    split = regex.compile(r"[\p{L}\p{N}]+")
+    known: dict[str, bytes] = {}
+    for b in batches:
+        prints = []
+        for text in b.column("text").to_pylist():
+            words = [w for w in split.findall((text or "").lower()) if len(w) > 1]
+            if len(words) < MIN_TOKENS:
+                prints.append(None)
+                continue
+            for w in set(words).difference(known):
+                if len(known) > 500_000:
+                    known.clear()
+                known[w] = sha256(w.encode()).digest()[:8]
+            raw = b"".join([known[w] if w in known else sha256(w.encode()).digest()[:8] for w in words])
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(raw), 1 << 19):
+                part = np.frombuffer(raw[at : at + (1 << 19)], np.uint8).reshape(-1, 8)
+                ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            prints.append(int(np.packbits(2 * ones > len(words), bitorder="little").view(np.int64)[0]))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+
+
+def simhash_fingerprints(docs: DataFrame, built_in: bool = False) -> DataFrame:
+    """(doc_id, print): 64-bit SimHash over lower-cased words of two and more characters; none under 16 words.
+
+    With ``built_in`` no Python worker runs and the prints are the same; folding arrays in the JVM takes about ten times as long as numpy in Arrow batches.
+    """
+    if not built_in:
+        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_simhash, "doc_id long, print long").where("print IS NOT NULL")
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) > 1)
     hashed = let(words, lambda ws: F.when(F.size(ws) >= MIN_TOKENS, simhash(ws)))
     return docs.select(F.col("doc_id").cast("long"), hashed.alias("print")).where("print IS NOT NULL")

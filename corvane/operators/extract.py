@@ -39,6 +39,10 @@ FILE_NAMES = (
 )
 
 
+#: What every match of a pattern holds; texts without it are not searched.
+NEEDS = {EMAIL: "@", URL: "://", IPV6: ":", ACCOUNT: "/"}
+
+
 def let(value: Column, f) -> Column:
     """f(value), where value is computed once however often f uses it."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -77,7 +81,8 @@ def matches(text: Column, pattern: str) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
     cut = lambda ms: let(pieces, lambda ws: F.transform(ms, lambda m: F.struct(m["at"].alias("at"), m["hit"].alias("hit"), _excerpt(ws, m).alias("excerpt"))))
     found = let(let(pairs, placed), cut)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<at:int,hit:string,excerpt:string>>"))
+    may = text.contains(NEEDS[pattern]) & text.rlike(pattern) if pattern in NEEDS else text.rlike(pattern)
+    return F.when(may, found).otherwise(F.array().cast("array<struct<at:int,hit:string,excerpt:string>>"))
 
 
 def _excerpt(pieces: Column, m: Column) -> Column:

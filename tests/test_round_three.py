@@ -109,8 +109,9 @@ def test_prints_by_built_ins(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for lane in (65_535, 100):
         monkeypatch.setattr(dedup, "LANE_WORDS", lane)
-        prints = dedup.simhash_fingerprints(docs)
+        prints = dedup.simhash_fingerprints(docs, built_in=True)
         assert {r.doc_id: r.print for r in prints.collect()} == wanted
+    assert {r.doc_id: r.print for r in dedup.simhash_fingerprints(docs).collect()} == wanted
     assert "Python" not in prints._jdf.queryExecution().toString() and "Arrow" not in prints._jdf.queryExecution().toString()
 
 
