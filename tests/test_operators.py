@@ -441,3 +441,33 @@ def test_documents_must_say_whether_they_are_duplicates(spark):
     assert [r["doc_id"] for r in extract.to_extract(docs).collect()] == [2]
     with pytest.raises(Exception, match="is_duplicate is missing: 3"):
         extract.to_extract(docs.union(spark.createDataFrame([(3, None)], docs.schema))).collect()
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 1.0])
+def test_jaccard_of_nodes_that_many_share_tells_them_apart(spark, least, monkeypatch):
+    """What is moved stays near the links, where each of few elements is shared by many nodes and pairs of those would be many; in blocks too."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(3)
+    sets = {f"e{i}": frozenset(rng.sample(range(40), rng.choice((1, 2, 3, 4, 7, 8, 9)))) for i in range(700)}
+    sets |= {f"copy{i}": sets[f"e{i}"] for i in range(40)} | {"big": frozenset(range(1000, 1090)), "big2": frozenset(range(1002, 1090)), "mid": frozenset(range(1000, 1060))}
+    frame = spark.createDataFrame([(f"{a}:{b}", a, f"n{b}") for a, s in sets.items() for b in s], "edge_id string, src string, dst string")
+    ends = {}
+    for a, s in sets.items():
+        for b in s:
+            ends.setdefault(f"n{b}", set()).add(a)
+    near = {a: {f"n{b}" for b in s} for a, s in sets.items()} | ends
+    wanted = {(a, c): j for a, c in combinations(sorted(near), 2) if (j := len(near[a] & near[c]) / len(near[a] | near[c])) >= least and j > 0 and c not in near[a]}
+    for block in (1 << 15, 50):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        got = graph.neighbour_jaccard(frame, least).collect()
+        assert len(got) == len(wanted) and {(r.a, r.c): r.jaccard for r in got} == wanted
+
+
+def test_pieces_of_jaccard_runs_cover_all():
+    import numpy as np
+
+    for costs in ([], [0, 0], [5, 1, 9, 0, 3], [100]):
+        cut = graph._pieces(np.array(costs, np.int64), 4)
+        assert [i for a, b in cut for i in range(a, b)] == list(range(len(costs)))
