@@ -471,3 +471,14 @@ def test_pieces_of_jaccard_runs_cover_all():
     for costs in ([], [0, 0], [5, 1, 9, 0, 3], [100]):
         cut = graph._pieces(np.array(costs, np.int64), 4)
         assert [i for a, b in cut for i in range(a, b)] == list(range(len(costs)))
+
+
+@pytest.mark.parametrize("candidates", [dedup.simhash_candidates, dedup.simhash_candidates_unbounded])
+def test_exploded_fingerprints_are_not_broadcast(spark, candidates):
+    """Twenty (or four) rows a fingerprint look to Spark as small as the fingerprints, and the driver would hold them all."""
+    prints = spark.createDataFrame([(i, i * 0x9E3779B97F4A7C15 % (1 << 64) - (1 << 63)) for i in range(300)], "doc_id long, print long")
+    found = candidates(prints)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = "choice" if candidates is dedup.simhash_candidates_unbounded else "band"
+    assert [x for x in plan.split("\n") if "BroadcastHashJoin" in x and keys in x] == [] and "SortMergeJoin [" in plan
