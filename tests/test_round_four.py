@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import embed, resolve
+from corvane.operators import chunk, embed, resolve
 from corvane.sources import web
 
 
@@ -50,3 +50,46 @@ def test_gate_judges_single_pairs_as_they_come(spark):
     once = resolve.gate(rows, once=True)
     assert once.collect() and set(map(tuple, once.collect())) == set(map(tuple, resolve.gate(rows).collect()))
     assert "Exchange" not in once._jdf.queryExecution().toString()
+
+
+def test_tokens_of_pieces_add_up(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    tokens = chunk.VocabularyTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    parts = ["word", "don't", "it's", " ", "  ", "\n", "\n\n ", "\t", "\r\n", "12345", "é", "見る", "🙂", "<|endoftext|>", "\xa0", "　", "\x0b", "…", "a.b", "###", "'s", "​", "\x85", "_"]
+    texts = ["", " ", "\n \n"] + ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    wanted = tokens._encoded(texts)
+    assert tokens.counts(texts) == wanted and tokens.counts(texts) == wanted
+    assert [tokens.counts([t])[0] for t in texts] == wanted
+    met = []
+    monkeypatch.setattr(tokens, "_encoded", lambda ts: met.extend(ts) or [1] * len(ts))
+    tokens.counts(["word word word"] * 5)  # known by now
+    assert met == []
+
+
+def test_chunks_leave_a_worker_before_there_are_many(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunk, "HELD", 5000)
+    texts = ["A sentence of some words. " * 200] * 20 + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(22)), "title": [""] * 22, "text": texts, "strategy": ["fixed"] * 22})
+    out = list(chunk._chunks(chunk.ChunkConfig(), None, None)(iter([batch])))
+    assert len(out) > 10 and max(sum(map(len, b.column("chunk").to_pylist())) for b in out) < 8000
+    assert set(pa.Table.from_batches(out).column("doc_id").to_pylist()) == set(range(20))
+
+
+def test_chunks_cover_white_space_at_their_bounds():
+    tokens, config = chunk.PlainTokens(), chunk.ChunkConfig(target=10, overlap=2, header=0, limit=30, prefix="")
+    full = "one two three four five six seven eight nine ten"
+    for text in (f"{full}\n\n", f"\n\n{full}\n{full}\n \n", f"{full}\n" * 3 + "\t\n", full * 9 + "\n"):
+        for strategy in ("fixed", "whole"):
+            found, reached = chunk.document_chunks(None, text, strategy, config, tokens), 0
+            assert all(text[a:b].strip() and n + config.specials <= config.limit for a, b, n, _ in found)
+            for a, b, _, _ in found:
+                assert a <= reached <= b
+                reached = b
+            assert reached == len(text)
+    assert chunk.document_chunks(None, " \n\t ", "fixed", config, tokens) == []
