@@ -166,12 +166,8 @@ def _close(least: float, best: bool):
     return run
 
 
-def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
-    """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks.
-
-    With ``best`` of each pair of blocks (and number of pairs) only the most alike earlier one of each entity comes out, the first of equally
-    alike ones, so that many like entities don't write all their pairs; ``entity`` is then the later one.
-    """
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Vectors of (entity, entity_type, embedding) that are like any, packed by type, length and block; with the number of blocks."""
     v = F.col("embedding").cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
     held = rows.where("entity IS NOT NULL AND entity_type IS NOT NULL").where(F.coalesce(usable, F.lit(False))).select("entity", "entity_type", v.alias("v"), F.size(v).alias("dim"))
@@ -181,7 +177,17 @@ def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
     blocks = dealt.select("entity_type", "dim", "block", "entity", "v").groupBy("entity_type", "dim", "block").applyInPandas(
         _packed, f"entity_type {kind['entity_type']}, dim int, block int, ids array<{kind['entity']}>, vectors binary"
     )
-    blocks = blocks.join(sizes, ["entity_type", "dim"])
+    return blocks.join(sizes, ["entity_type", "dim"])
+
+
+def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
+    """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks.
+
+    With ``best`` of each pair of blocks (and number of pairs) only the most alike earlier one of each entity comes out, the first of equally
+    alike ones, so that many like entities don't write all their pairs; ``entity`` is then the later one.
+    """
+    kind = dict(rows.dtypes)
+    blocks = _blocks(rows)
     last = (F.col("n_blocks") - 1).cast("int")
     left = blocks.withColumn("other_block", F.explode(F.sequence("block", last))).drop("n_blocks")
     right = blocks.select(
@@ -192,6 +198,13 @@ def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
     return pairs.mapInArrow(_close(least, best), f"entity {kind['entity']}, other {kind['entity']}, cos double")
 
 
+def close_to(rows: DataFrame, some: DataFrame, least: float) -> DataFrame:
+    """(entity, other, cos) of all pairs of a type that reach ``least``, of ``rows`` with ``some``, in pairs of blocks."""
+    kind = dict(rows.dtypes)
+    few = _blocks(some).select("entity_type", "dim", (-1 - F.col("block")).alias("other_block"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
+    return _blocks(rows).drop("n_blocks").join(few, ["entity_type", "dim"]).mapInArrow(_close(least, False), f"entity {kind['entity']}, other {kind['entity']}, cos double")
+
+
 def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = None) -> DataFrame:
     """Pairs of (entity, entity_type, embedding) of a type by cosine. Types that tell identities are left out.
 
@@ -212,9 +225,12 @@ def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = N
     else:
         nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))
         first = rows.withColumn("nth", nth).where(F.col("nth") <= others + 1).drop("nth")
-        second = first.select("entity_type", F.col("entity").alias("other"), F.col("embedding").alias("v"))
-        met = rows.join(second, "entity_type").where(F.col("entity") != F.col("other"))
-        close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), cosine(F.col("embedding"), F.col("v")).alias("cos"))
+        if least > 0:
+            met = close_to(rows, first, least)
+        else:  # what is like nothing counts too
+            second = first.select("entity_type", F.col("entity").alias("other"), F.col("embedding").alias("v"))
+            met = rows.join(second, "entity_type").select("entity", "other", cosine(F.col("embedding"), F.col("v")).alias("cos"))
+        close = met.where(F.col("entity") != F.col("other")).select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), "cos")
     kept = close.where(F.col("cos") >= least).groupBy("a", "b").agg(F.max("cos").alias("cos"))
     return kept.select("a", "b", F.lit("semantic").alias("method"), F.round(0.8 * F.col("cos"), 6).alias("score"))
 

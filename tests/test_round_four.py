@@ -93,3 +93,26 @@ def test_chunks_cover_white_space_at_their_bounds():
                 reached = b
             assert reached == len(text)
     assert chunk.document_chunks(None, " \n\t ", "fixed", config, tokens) == []
+
+
+def test_first_of_a_type_are_compared_in_blocks(spark, monkeypatch):
+    """Cosines of vectors with each of the first ones come from packed blocks, as the column expression has them; what is like nothing takes no part."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, f"kind{k % 2}", [rng.uniform(-1, 1) for _ in range(6)]) for k in range(90)]
+    rows += [(100, "kind0", None), (101, "kind0", [0.0] * 6), (102, "kind1", [1.0, None] * 3), (103, "kind1", [1.0]), (-1, "kind0", None)]
+    frame = spark.createDataFrame(rows, "entity long, entity_type string, embedding array<double>")
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 16)
+    got = resolve.by_semantics(frame, 0.3, others=4)
+    usable = [r for r in rows if r[2] and None not in r[2] and any(r[2])]
+    first = {t: sorted(k for k, kind, _ in rows if kind == t)[:5] for t in ("kind0", "kind1")}
+    wanted = {}
+    for k, t, v in usable:
+        for o, kind, w in usable:
+            if kind == t and o in first[t] and o != k and len(v) == len(w):
+                c = sum(p * q for p, q in zip(v, w)) / math.sqrt(sum(p * p for p in v) * sum(q * q for q in w))
+                if c >= 0.3:
+                    wanted[min(k, o), max(k, o)] = round(0.8 * c, 6)
+    assert {(r.a, r.b): r.score for r in got.collect()} == wanted and got.count() == len(wanted)
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
