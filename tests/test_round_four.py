@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunk, embed, resolve
+from corvane.operators import chunk, embed, extract, resolve
 from corvane.sources import web
 
 
@@ -116,3 +116,11 @@ def test_first_of_a_type_are_compared_in_blocks(spark, monkeypatch):
                     wanted[min(k, o), max(k, o)] = round(0.8 * c, 6)
     assert {(r.a, r.b): r.score for r in got.collect()} == wanted and got.count() == len(wanted)
     assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_domains_are_searched_for_once(spark):
+    docs = spark.createDataFrame([(1, "see example.com and a@mail.org, not read.me")], "doc_id long, text string")
+    suffixes = spark.createDataFrame([("com",), ("org",)], "suffix string")
+    found = extract.extract_domains(docs, extract.extract_emails(docs), suffixes)
+    assert sorted(r.entity_key for r in found.collect()) == ["example.com", "mail.org"]
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
