@@ -224,31 +224,38 @@ def next_level(level: int, target: int, since_change: float, cooldown: float) ->
 
 
 class Hysteresis(StatefulProcessor):
-    """The level of each key, which rises at once and falls by one a cooldown; state is the level and when it last changed."""
+    """The level of each key, which rises at once and falls by one a cooldown; state is the level and when it last changed.
+
+    Keys come by the bucket, since a call and its state cost far more than a key's few samples: a bucket's levels are read and written at once.
+    """
 
     def __init__(self, cooldown_ms: int):
         self.cooldown_ms = cooldown_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "level int, changed long")
+        self.now = handle.getValueState("now", "models array<string>, levels array<int>, changed array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        level, changed = self.now.get() if self.now.exists() else (0, -(1 << 62))
-        samples = pd.concat(list(rows)).sort_values(["at", "id"])
-        out = []
-        for at, sample, target in samples[["at", "id", "target"]].itertuples(index=False):
-            level, moved = next_level(level, int(target), int(at) - changed, self.cooldown_ms)
-            changed = int(at) if moved else changed
-            out.append((key[0], sample, level))
-        self.now.update((level, changed))
-        yield pd.DataFrame(out, columns=["model", "id", "level"])
+        now = {model: (level, changed) for model, level, changed in zip(*self.now.get())} if self.now.exists() else {}
+        samples, levels = by_time(rows), []
+        for model, at, target in zip(*(samples[c].to_pylist() for c in ("model", "at", "target"))):
+            level, changed = now.get(model, (0, -(1 << 62)))
+            level, moved = next_level(level, target, at - changed, self.cooldown_ms)
+            now[model] = level, at if moved else changed
+            levels.append(level)
+        self.now.update((list(now), *map(list, zip(*now.values()))))
+        yield pd.DataFrame({"model": samples["model"].to_pylist(), "id": samples["id"].to_numpy(), "level": levels})
 
     def close(self) -> None:
         pass
 
 
-def pressure_levels(samples: DataFrame, cooldown_ms: int = 30_000) -> DataFrame:
-    """(model, id, level) of a stream of (model, id as a number, at in milliseconds, target); samples of a trigger are taken by time, then id."""
-    return samples.groupBy("model").transformWithStateInPandas(Hysteresis(cooldown_ms), "model string, id long, level int", "append", "none")
+def pressure_levels(samples: DataFrame, cooldown_ms: int = 30_000, buckets: int = 256) -> DataFrame:
+    """(model, id, level) of a stream of (model, id as a number, at in milliseconds, target); samples of a trigger are taken by time, then id.
+
+    Models are dealt into ``buckets`` by their hash. Their number belongs to the checkpoint, as the state does.
+    """
+    dealt = packed(samples.select(F.pmod(F.xxhash64("model"), F.lit(buckets)).alias("key"), "model", "id", "at", "target"))
+    return dealt.groupBy("key").transformWithStateInPandas(Hysteresis(cooldown_ms), "model string, id long, level int", "append", "none")

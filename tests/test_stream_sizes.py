@@ -90,3 +90,33 @@ def test_events_reach_a_processor_packed(spark):
     assert found.count() == 6  # three keys in each of two tasks
     table = jobs.by_time(iter([found.where("key IS NULL").toPandas()]))
     assert table["at"].to_pylist() == list(range(0, 20_000, 3)) and table["id"].to_pylist() == [str(i) for i in range(0, 20_000, 3)]
+
+
+def test_levels_of_a_bucket_are_read_and_written_at_once():
+    rng, base = random.Random(9), 1_700_000_000_000
+    samples = [(rng.choice([None, *(f"m{k}" for k in range(200))]), i, base + 10 * (i // 3), rng.randrange(4)) for i in range(6000)]
+    processor, state, got, calls = jobs.Hysteresis(4000), State(), {}, 0
+    processor.init(state)
+    for part in (samples[:900], samples[900:4000], samples[4000:]):
+        for frame in processor.handleInputRows((0,), frames(0, rng.sample(part, len(part)), ["model", "id", "at", "target"]), None):
+            got |= {(r.id): (r.model, r.level) for r in frame.itertuples(index=False)}
+        calls += 1
+    assert state.writes == calls
+    now, wanted = {}, {}
+    for model, i, at, target in samples:
+        level, changed = now.get(model, (0, -(1 << 62)))
+        level, moved = jobs.next_level(level, target, at - changed, 4000)
+        now[model], wanted[i] = (level, at if moved else changed), (model, level)
+    assert got == wanted
+
+
+def test_levels_of_more_models_than_buckets(spark, tmp_path):
+    schema, found = "model string, id long, at long, target int", {}
+    for run in range(2):
+        rows = [(None if k == 39 else f"m{k}", 100 * run + k, 40_000 * run + k, 3 * (1 - run)) for k in range(40)]
+        spark.createDataFrame(rows, schema).write.mode("append").option("ignoreNullFields", "false").json(f"{tmp_path}/samples")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/samples")
+        jobs.run_to_end(jobs.pressure_levels(stream, 30_000, buckets=3), f"{tmp_path}/levels", f"{tmp_path}/state")
+    for r in spark.read.parquet(f"{tmp_path}/levels").collect():
+        found[r.id] = (r.model, r.level)
+    assert found == {100 * run + k: (None if k == 39 else f"m{k}", 3 - run) for run in range(2) for k in range(40)}
