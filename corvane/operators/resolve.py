@@ -126,16 +126,19 @@ BLOCK_ROWS, EXACT_PAIRS = 2048, 1 << 15
 
 
 def _packed(pdf):
-    """A block's vectors as one row."""
+    """A block's vectors as one row, in the order of their ids: a block is packed for either side of its pairs, and rows reach tasks in any order."""
     import numpy as np
     import pandas as pd
 
+    pdf = pdf.sort_values("entity", kind="stable")
     first, vectors = pdf.iloc[0], np.stack(pdf["v"].to_numpy()).astype(np.float64)
     row = {"entity_type": first["entity_type"], "dim": vectors.shape[1], "block": int(first["block"]), "ids": pdf["entity"].tolist(), "vectors": vectors.tobytes()}
     return pd.DataFrame([row])
 
 
-def _close(least: float, best: bool):
+def _close(least: float, best: bool, two_roots: bool = False):
+    """Pairs of blocks to pairs of vectors that reach ``least``; of a block with itself each once, as both sides have one order."""
+
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -153,7 +156,8 @@ def _close(least: float, best: bool):
                 x, y = np.nonzero(np.triu(near, 1) if value("block").as_py() == value("other_block").as_py() else near)
                 for at in range(0, len(x), EXACT_PAIRS):
                     i, j = x[at : at + EXACT_PAIRS], y[at : at + EXACT_PAIRS]
-                    cos = np.clip(np.cumsum(v[0][i] * v[1][j], axis=1)[:, -1] / np.sqrt(square[0][i] * square[1][j]), -1, 1)
+                    norms = np.sqrt(square[0][i]) * np.sqrt(square[1][j]) if two_roots else np.sqrt(square[0][i] * square[1][j])
+                    cos = np.clip(np.cumsum(v[0][i] * v[1][j], axis=1)[:, -1] / norms, -1, 1)
                     ok = cos >= least
                     arrays = [ids[0].take(pa.array(i[ok])), ids[1].take(pa.array(j[ok])), pa.array(cos[ok])]
                     if best:
@@ -180,9 +184,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return blocks.join(sizes, ["entity_type", "dim"])
 
 
-def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
+def close_pairs(rows: DataFrame, least: float, best: bool = False, two_roots: bool = False) -> DataFrame:
     """(entity, other, cos) of all pairs of a type that reach ``least``, in pairs of blocks.
 
+    A cosine is divided by one root of both squares, or with ``two_roots`` by the product of their roots, which may differ in its last bit.
+
     With ``best`` of each pair of blocks (and number of pairs) only the most alike earlier one of each entity comes out, the first of equally
     alike ones, so that many like entities don't write all their pairs; ``entity`` is then the later one.
     """
@@ -195,14 +201,14 @@ def close_pairs(rows: DataFrame, least: float, best: bool = False) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("block"))).alias("block"),
     )
     pairs = left.join(right, ["entity_type", "dim", "block", "other_block"])
-    return pairs.mapInArrow(_close(least, best), f"entity {kind['entity']}, other {kind['entity']}, cos double")
+    return pairs.mapInArrow(_close(least, best, two_roots), f"entity {kind['entity']}, other {kind['entity']}, cos double")
 
 
 def close_to(rows: DataFrame, some: DataFrame, least: float) -> DataFrame:
     """(entity, other, cos) of all pairs of a type that reach ``least``, of ``rows`` with ``some``, in pairs of blocks."""
     kind = dict(rows.dtypes)
     few = _blocks(some).select("entity_type", "dim", (-1 - F.col("block")).alias("other_block"), F.col("ids").alias("other_ids"), F.col("vectors").alias("other_vectors"))
-    return _blocks(rows).drop("n_blocks").join(few, ["entity_type", "dim"]).mapInArrow(_close(least, False), f"entity {kind['entity']}, other {kind['entity']}, cos double")
+    return _blocks(rows).drop("n_blocks").join(few, ["entity_type", "dim"]).mapInArrow(_close(least, False, two_roots=True), f"entity {kind['entity']}, other {kind['entity']}, cos double")
 
 
 def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = None) -> DataFrame:
@@ -220,7 +226,7 @@ def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = N
     if others is None:
         if least <= 0:
             raise ValueError("the least cosine must be over 0")
-        met = close_pairs(rows, least).where(F.col("entity") != F.col("other"))
+        met = close_pairs(rows, least, two_roots=True).where(F.col("entity") != F.col("other"))
         close = met.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), "cos")
     else:
         nth = F.row_number().over(Window.partitionBy("entity_type").orderBy("entity"))
