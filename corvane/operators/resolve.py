@@ -124,6 +124,9 @@ IDENTITY_TYPES = ("person", "organization", "threat_actor")
 #: Vectors of a block, and pairs whose products are summed at once.
 BLOCK_ROWS, EXACT_PAIRS = 2048, 1 << 15
 
+#: Blocks of a type from which on they grow, each up to so many times BLOCK_ROWS, as a block is shuffled once for each other.
+MANY_BLOCKS, BLOCK_GROWTH = 32, 8
+
 
 def _packed(pdf):
     """A block's vectors as one row, in the order of their ids: a block is packed for either side of its pairs, and rows reach tasks in any order."""
@@ -136,6 +139,18 @@ def _packed(pdf):
     return pd.DataFrame([row])
 
 
+def _near(unit, least: float, own: bool):
+    """Places of those in the first block and those in the second whose product reaches ``least``, some at a time; ``own`` if the blocks are one."""
+    import numpy as np
+
+    for a in range(0, len(unit[0]), BLOCK_ROWS):
+        for b in range(a if own else 0, len(unit[1]), BLOCK_ROWS):
+            near = unit[0][a : a + BLOCK_ROWS] @ unit[1][b : b + BLOCK_ROWS].T >= least
+            x, y = np.nonzero(np.triu(near, 1) if own and a == b else near)
+            for at in range(0, len(x), EXACT_PAIRS):
+                yield x[at : at + EXACT_PAIRS] + a, y[at : at + EXACT_PAIRS] + b
+
+
 def _close(least: float, best: bool, two_roots: bool = False):
     """Pairs of blocks to pairs of vectors that reach ``least``; of a block with itself each once, as both sides have one order."""
 
@@ -152,10 +167,8 @@ def _close(least: float, best: bool, two_roots: bool = False):
                 # sums in order, as the column expression's
                 square = [np.cumsum(x * x, axis=1)[:, -1] for x in v]
                 unit = [x / np.sqrt(np.where(k > 0, k, 1))[:, None] for x, k in zip(v, square)]
-                near = unit[0] @ unit[1].T >= least - 1e-9
-                x, y = np.nonzero(np.triu(near, 1) if value("block").as_py() == value("other_block").as_py() else near)
-                for at in range(0, len(x), EXACT_PAIRS):
-                    i, j = x[at : at + EXACT_PAIRS], y[at : at + EXACT_PAIRS]
+                own = value("block").as_py() == value("other_block").as_py()
+                for i, j in _near(unit, least - 1e-9, own):
                     norms = np.sqrt(square[0][i]) * np.sqrt(square[1][j]) if two_roots else np.sqrt(square[0][i] * square[1][j])
                     cos = np.clip(np.cumsum(v[0][i] * v[1][j], axis=1)[:, -1] / norms, -1, 1)
                     ok = cos >= least
@@ -175,7 +188,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
     held = rows.where("entity IS NOT NULL AND entity_type IS NOT NULL").where(F.coalesce(usable, F.lit(False))).select("entity", "entity_type", v.alias("v"), F.size(v).alias("dim"))
-    sizes = held.groupBy("entity_type", "dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("n_blocks"))
+    n = F.count("*")
+    n_blocks = F.greatest(F.least(F.ceil(n / BLOCK_ROWS), F.lit(MANY_BLOCKS)), F.ceil(n / (BLOCK_GROWTH * BLOCK_ROWS)))
+    sizes = held.groupBy("entity_type", "dim").agg(n_blocks.alias("n_blocks"))
     dealt = held.join(sizes, ["entity_type", "dim"]).withColumn("block", F.pmod(F.xxhash64("entity"), F.col("n_blocks")).cast("int"))
     kind = dict(rows.dtypes)
     blocks = dealt.select("entity_type", "dim", "block", "entity", "v").groupBy("entity_type", "dim", "block").applyInPandas(
@@ -215,8 +230,8 @@ def by_semantics(vectors: DataFrame, least: float = 0.85, others: int | None = N
     """Pairs of (entity, entity_type, embedding) of a type by cosine. Types that tell identities are left out.
 
     All pairs of a type are compared, a block of vectors with a block, so tasks are even and of bounded memory; vectors that
-    are null, zero or not finite, and those of other lengths, are like nothing. With ``others`` each is compared only with
-    that many of its type, the first by id, which misses links between all others.
+    are null, zero or not finite, and those of other lengths, are like nothing. Only a caller who gives ``others`` gets less: each is then
+    compared with that many of its type, the first by id, and links between all others are missed. No query does.
     """
     from pyspark.sql import Window
 

@@ -26,3 +26,38 @@ def test_semantic_pairs_are_divided_by_both_roots(spark):
     rows = spark.createDataFrame([(1, "tool", [1.0, 2.0, 0.0]), (2, "tool", [2.0, 0.0, 1.0]), (3, "tool", [2.0, 0.0, 1.0])], "entity long, entity_type string, embedding array<double>")
     for others in (None, 100):
         assert {(r.a, r.b) for r in resolve.by_semantics(rows, 0.4, others).collect()} == {(2, 3)}
+
+
+def test_semantic_query_has_no_cap(spark, tmp_path):
+    """The query finds like vectors behind the first hundred of their type, as its SQL does."""
+    import duckdb
+    import numpy as np
+
+    import __spark_entry__
+
+    v = np.random.default_rng(6).normal(size=(260, 16))
+    v[250] = 3 * v[150]
+    rows = [(i, [float(x) for x in r], 3) for i, r in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.score for r in __spark_entry__.queries()["resolve_semantic"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == {(a, b): score for a, b, _, score in con.sql(__spark_entry__.oracle_sql()["resolve_semantic"]).fetchall()}
+    assert got[150, 250] == 0.8
+
+
+def test_large_blocks_are_compared_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    v = np.random.default_rng(7).normal(size=(70, 5))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    cos = unit @ unit.T
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(resolve, "EXACT_PAIRS", 9)
+    places = lambda parts: sorted((int(i), int(j)) for x, y in parts for i, j in zip(x, y))
+    assert places(resolve._near([unit, unit], 0.5, True)) == [(i, j) for i in range(70) for j in range(i + 1, 70) if cos[i, j] >= 0.5]
+    assert places(resolve._near([unit[:30], unit[30:]], 0.5, False)) == [(i, j) for i in range(30) for j in range(40) if cos[i, j + 30] >= 0.5]
+    monkeypatch.setattr(resolve, "MANY_BLOCKS", 2)
+    rows = spark.createDataFrame([(i, "tool", [float(x) for x in r]) for i, r in enumerate(v)], "entity long, entity_type string, embedding array<double>")
+    assert resolve._blocks(rows).count() == 2
+    assert {(r.a, r.b) for r in resolve.by_semantics(rows, 0.5).collect()} == {(i, j) for i in range(70) for j in range(i + 1, 70) if cos[i, j] >= 0.5}
