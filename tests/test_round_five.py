@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import resolve
+from corvane.operators import extract, resolve
 
 
 def test_blocks_meet_themselves_in_one_order():
@@ -93,3 +93,35 @@ def test_written_pairs_take_little(spark, tmp_path):
     n = 3000 * 2999 // 2 - 25 * (120 * 119 // 2)
     assert spark.read.parquet(f"{tmp_path}/pairs").count() == n
     assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < n
+
+
+def test_search_finds_what_patterns_find_anywhere(spark):
+    """Runs around a mark hold every match: the same as trying each pattern at every character, offsets and excerpts too."""
+    import random
+    import re
+
+    rng = random.Random(10)
+    parts = ["a", "b-", "_", ".", "@", "://", "http", "HTTPS", "x.com", "mail.org", "al@x.net", "co.uk", " ", "\n", "\xa0", "見", "ſ", "🙂", "(", ")", "]", '"', "。", "/", "%", "1.2", "x.yz_"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)] + [None, "", "y" * 3000 + " a@b.co " + "z" * 3000 + " https://q.com/(a). "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.kind, r["at"], r.hit, r.excerpt) for r in extract.search(docs, extract.EMAIL, extract.URL, extract.DOMAIN).collect())
+    wanted = []
+    for n, text in enumerate(texts):
+        found = {k: [(m.start(), m.group()) for m in re.compile(p, re.ASCII).finditer(text or "")] for k, p in (("email", extract.EMAIL), ("url", extract.URL), ("domain", extract.DOMAIN))}
+        urls = [(at, extract.trim_url_tail(hit), hit) for at, hit in found["url"]]
+        free = [(at, hit) for at, hit in found["domain"] if not any(a <= at < a + len(u) for a, u, _ in urls)]
+        around = lambda at, hit: text[max(at - 240, 0) : at + len(hit) + 240].strip(" ")  # noqa: B023, E731
+        wanted += [(n, k, at, hit, around(at, hit)) for k, hits in (("email", found["email"]), ("domain", free)) for at, hit in hits]
+        wanted += [(n, "url", at, u, around(at, hit)) for at, u, hit in urls]
+    assert got == sorted(wanted) and len(got) > 1000
+    assert extract.trim_url_tail("http://x.com/a_(b).])\"") == "http://x.com/a_(b)" and extract.trim_url_tail("http://x.com/a. ") == "http://x.com/a "
+
+
+def test_texts_are_searched_once_for_domains(spark, monkeypatch):
+    searched, plain = [], extract.search
+    monkeypatch.setattr(extract, "search", lambda docs, *patterns: searched.append(patterns) or plain(docs, *patterns))
+    docs = spark.createDataFrame([(1, "see example.com, https://www.site.org/a.b.com). and a@mail.org, not read.me or x@nowhere.lan")], "doc_id long, text string")
+    suffixes = spark.createDataFrame([("com",), ("org",)], "suffix string")
+    found = extract.extract_all(docs, suffixes=suffixes).where("entity_type = 'domain'")
+    assert sorted(r.entity_key for r in found.collect()) == ["example.com", "mail.org", "www.site.org"]
+    assert searched == [(extract.EMAIL, extract.URL, extract.DOMAIN)]
